@@ -81,3 +81,18 @@ class Recent(dict):
                 self.clear()
             self[key] = value
         return value
+
+
+def filter_texts(df: DataFrame, text_col: str, keep: Callable[[bytes, str], bool]) -> DataFrame:
+    """The rows, all columns as they are, whose text (null: empty) ``keep`` accepts. One pass, no shuffle."""
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            yield batch.filter(pa.array([keep((t or "").encode("utf-8"), t or "") for t in texts], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
