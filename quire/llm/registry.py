@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import byte_bpe, decontaminate, quality, sharding, simhash, token_counts
+from quire.llm import byte_bpe, decontaminate, pii, quality, sharding, simhash, token_counts
 from quire.llm.common import table
 
 BPE_FILE, PIECE_FILE = "byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model"
@@ -37,12 +37,24 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.detect(table(spark, sf_dir, "documents"))
+
+    def digest(spans: str) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return out.select("doc_id", *map(count, pii.BASE_KINDS), F.sha2(digest("base"), 256).alias("base_sha256"), digest("spans").alias("spans"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), [1.0] * 24).withColumn("law", F.lit("key"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_byte_bpe, op3_quality, op4_decontaminate, op5_token_counts, op7_simhash, op10_sharding)}
+    return {f.__name__: f for f in (op1_byte_bpe, op3_quality, op4_decontaminate, op5_token_counts, op7_simhash, op8_pii, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
