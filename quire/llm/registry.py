@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import byte_bpe, chat, decontaminate, pii, quality, sharding, simhash, substrings, token_counts
+from quire.llm import byte_bpe, chat, decontaminate, licenses, pii, quality, sharding, simhash, substrings, token_counts
 from quire.llm.common import table
 
 BPE_FILE, PIECE_FILE = "byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model"
@@ -57,13 +57,18 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *map(count, pii.BASE_KINDS), F.sha2(digest("base"), 256).alias("base_sha256"), digest("spans").alias("spans"))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.scan(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), [1.0] * 24).withColumn("law", F.lit("key"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_substrings, op3_quality, op4_decontaminate, op5_token_counts, op6_chat, op7_simhash, op8_pii, op10_sharding)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_substrings, op3_quality, op4_decontaminate, op5_token_counts, op6_chat, op7_simhash, op8_pii, op9_licenses, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substrings": substrings.ORACLE, "op6_chat": chat.ORACLE}
+    return {"op2_substrings": substrings.ORACLE, "op6_chat": chat.ORACLE, "op9_licenses": licenses.ORACLE}
