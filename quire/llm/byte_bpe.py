@@ -142,6 +142,18 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
     return map_texts(df, {id_col: F.col(id_col)}, F.col(text_col), each, [("n_tokens", "long", pa.int64()), ("ids", "binary", pa.binary())])
 
 
+def encode_checked(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (id, n_tokens, ids binary, round_trip): round_trip tells whether the ids decode to the text's very bytes."""
+
+    def each(utf8: bytes, text: str) -> tuple:
+        bpe = tokenizer(path, pattern)
+        packed = bpe.encode_packed(text)
+        return len(packed) // 4, packed, bpe.decode_packed(packed) == utf8
+
+    fields = [("n_tokens", "long", pa.int64()), ("ids", "binary", pa.binary()), ("round_trip", "boolean", pa.bool_())]
+    return map_texts(df, {id_col: F.col(id_col)}, F.col(text_col), each, fields)
+
+
 def decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """Rows (id, decoded binary) from packed ids. Null ids decode to no bytes."""
     picked = df.select(F.col(id_col), F.coalesce(F.col(ids_col), F.lit(b"")).alias("__ids"))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import map_texts
+from quire.llm.common import filter_texts, map_texts
 
 WINDOW = 13
 K = 7
@@ -139,6 +139,32 @@ _FIELDS = [("n_words", "long", pa.int64()), ("n_hit", "long", pa.int64()), ("n_i
 _INDEX: dict = {}  # the last index that this Python worker has built, by its token
 
 
+def _index_of(token: str, held, window: int) -> Index:
+    if token not in _INDEX:
+        _INDEX.clear()
+        _INDEX[token] = Index(held.value, window)
+    return _INDEX[token]
+
+
+def _judge(documents: DataFrame, items: DataFrame, window: int):
+    """The row of a text, by an index that each Python worker builds once from the broadcast items."""
+    held = documents.sparkSession.sparkContext.broadcast([(r[0], r[1].encode("utf-8")) for r in items.collect()])  # at most broadcast_bytes
+    token = uuid.uuid4().hex
+
+    def judge(utf8: bytes) -> tuple:
+        index = _index_of(token, held, window)
+        words = words_of(utf8)
+        return _row(words, index.matches(word_hashes(words)), index.items.__getitem__, window)
+
+    return judge
+
+
+def _items(benchmark: DataFrame, item_col: str, item_text_col: str) -> tuple[DataFrame, int]:
+    """The items (item, item_text) and a bound of their bytes."""
+    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("item_text"))
+    return items, items.agg(F.sum(F.octet_length("item_text") + F.octet_length("item") + 64)).first()[0] or 0
+
+
 def contamination(
     documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
     window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES,
@@ -147,23 +173,24 @@ def contamination(
 
     contaminated: at least a twentieth of the words are hit.
     """
-    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("item_text"))
-    size = items.agg(F.sum(F.octet_length("item_text") + F.octet_length("item") + 64)).first()[0] or 0
+    items, size = _items(benchmark, item_col, item_text_col)
     if size > broadcast_bytes:
         return _shuffled(documents, items, id_col, text_col, window)
-    held = documents.sparkSession.sparkContext.broadcast([(r[0], r[1].encode("utf-8")) for r in items.collect()])  # at most broadcast_bytes
+    judge = _judge(documents, items, window)
+    return map_texts(documents, {id_col: F.col(id_col)}, F.col(text_col), lambda utf8, _: judge(utf8), _FIELDS)
 
-    token = uuid.uuid4().hex
-
-    def each(utf8: bytes, _: str) -> tuple:
-        index = _INDEX.get(token)
-        if index is None:
-            _INDEX.clear()
-            index = _INDEX[token] = Index(held.value, window)
-        words = words_of(utf8)
-        return _row(words, index.matches(word_hashes(words)), index.items.__getitem__, window)
 
-    return map_texts(documents, {id_col: F.col(id_col)}, F.col(text_col), each, _FIELDS)
+def keep_clean(
+    documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+    window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
+    """The documents, with all their columns, that are not contaminated."""
+    items, size = _items(benchmark, item_col, item_text_col)
+    if size > broadcast_bytes:
+        bad = _shuffled(documents, items, id_col, text_col, window).where("contaminated").select(F.col(id_col).alias("__bad")).distinct()
+        return documents.join(bad, F.col(id_col).eqNullSafe(F.col("__bad")), "left_anti")
+    judge = _judge(documents, items, window)
+    return filter_texts(documents, text_col, lambda utf8, _: not judge(utf8)[-1])
 
 
 def _prints(levels: list[int]):

@@ -142,3 +142,19 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     named = labelled.groupBy("root").agg(F.min("rep").alias("component_id"))
     of_print = labelled.join(named, "root").select("fp", "component_id")
     return prints.join(of_print, "fp").select(id_col, "fp", "component_id")
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose id names their component; a repeated row stays once.
+
+    Ids identify documents: rows that repeat an id must be repeats of one document. A row with a null id stays if its component has no id, once
+    for each text.
+    """
+    found = near_duplicates(df, id_col, text_col)
+    names = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__name")).distinct()
+    kept = df.join(names, F.col(id_col).eqNullSafe(F.col("__name")), "left_semi")
+    # Repeats are rare: whether there are any is counted on the ids alone before texts are compared.
+    if kept.select(id_col).groupBy(id_col).count().where("count > 1").limit(1).count() == 0:
+        return kept
+    marked = kept.withColumn("__mark", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    return marked.dropDuplicates([id_col, "__mark"]).drop("__mark")
