@@ -15,10 +15,12 @@ Null text counts as the empty text: no bytes, no tokens. Repeated rows each get
 from __future__ import annotations
 
 import re
+from array import array
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +29,8 @@ from quire.llm.common import Recent, map_texts
 
 MARK = "▁"
 #: Prefix tables kept by each Python worker: at most so many, of words of at most so many characters; and pair answers.
-CACHE_WORDS, CACHE_CHARS, CACHE_PAIRS = 400_000, 40, 300_000
+CACHE_WORDS, CACHE_CHARS, CACHE_PAIRS = 1_000_000, 40, 1_000_000
+_NONE = float("-inf")
 
 
 class PrefixCounter:
@@ -37,44 +40,71 @@ class PrefixCounter:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         special = lambda i: model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i)
         self.score = {model.id_to_piece(i): model.get_score(i) for i in range(model.vocab_size()) if not special(i)}
-        self.longest = max(map(len, self.score))
         if any(re.search(f"[^{MARK}]{MARK}", piece) for piece in self.score):
             raise ValueError("an entry of the vocabulary holds the space mark after another character")
-        self.apart_of: dict[tuple[str, str], bool] = {}
+        # What a piece starts with, to its number if it is itself one, else to -1.
+        self.number = {piece[:k]: -1 for piece in self.score for k in range(1, len(piece))}
+        self.number |= {piece: n for n, piece in enumerate(self.score)}
+        self.inner = {piece[k : k + 2] for piece in self.score for k in range(len(piece) - 1)}
+        self.whole = {piece for piece in self.score if self.merged(piece) == [piece]}
+        self.apart_of: dict[int, bool] = {}
         self.words = Recent(self._table, CACHE_WORDS, CACHE_CHARS)
-        self.split = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
+        # Where no entry holds a letter beside a character that is neither letter nor mark, words end there, too.
+        mixed = any(regex.search(rf"\p{{L}}[^\p{{L}}{MARK}]|[^\p{{L}}{MARK}]\p{{L}}", piece) for piece in self.score)
+        self.split = regex.compile(f"{MARK}*[^{MARK}]+|{MARK}+" if mixed else rf"{MARK}*(?:\p{{L}}+|[^\p{{L}}{MARK}]+)|{MARK}+").findall
 
     def merged(self, text: str) -> list[str]:
         """The plain merges of a short text: best score first, leftmost on ties."""
-        parts, score = list(text), self.score
-        while True:
-            best = max(((s, -i) for i in range(len(parts) - 1) if (s := score.get(parts[i] + parts[i + 1])) is not None), default=None)
-            if best is None:
-                return parts
-            i = -best[1]
+        parts, get = list(text), self.score.get
+        scores = [get(a + b, _NONE) for a, b in zip(parts, parts[1:])]
+        while scores and (best := max(scores)) != _NONE:
+            i = scores.index(best)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del scores[i]
+            if i:
+                scores[i - 1] = get(parts[i - 1] + parts[i], _NONE)
+            if i < len(scores):
+                scores[i] = get(parts[i] + parts[i + 1], _NONE)
+        return parts
 
     def apart(self, a: str, b: str) -> bool:
         """Whether the merges of a + b end in just these two."""
-        known = self.apart_of.get((a, b))
-        if known is None:
-            if len(self.apart_of) >= CACHE_PAIRS:
-                self.apart_of.clear()
-            known = self.apart_of[a, b] = self.merged(a + b) == [a, b]
-        return known
+        return a[-1] + b[0] not in self.inner and b in self.whole or self.merged(a + b) == [a, b]
 
     def _table(self, word: str) -> bytes:
         """Counts of the prefixes of 1, 2, ... characters, as unsigned 32-bit integers."""
-        counts, last, score = [0], [""], self.score
-        for i in range(1, len(word) + 1):
-            for j in range(max(0, i - self.longest), i):
+        n, number, apart_of, size = len(word), self.number, self.apart_of, len(self.number)
+        last: list = [None] * (n + 1)  # the last token of the prefix: its number, or its text where it has none
+        text_of: list = [""] * (n + 1)
+        counts = [0] * (n + 1)
+        for j in range(n):
+            before = last[j]
+            for i in range(j + 1, n + 1):
                 token = word[j:i]
-                known = token in score
-                if (known or j == i - 1) and (self.merged(token) == [token] if j == 0 else self.apart(last[j], token)):
-                    last.append(token)
-                    counts.append(counts[j] + (1 if known else len(token.encode("utf-8"))))
+                own = number.get(token)
+                single = i == j + 1
+                if own is None and not single:
                     break
-        return np.array(counts[1:], np.uint32).tobytes()
+                if last[i] is None and (single or own >= 0):
+                    if j == 0:
+                        fits = single or token in self.whole
+                    elif own is None or own < 0 or before < 0:
+                        fits = self.apart(text_of[j], token)
+                    else:
+                        key = before * size + own
+                        fits = apart_of.get(key)
+                        if fits is None:
+                            if len(apart_of) >= CACHE_PAIRS:
+                                apart_of.clear()
+                            fits = apart_of[key] = self.apart(text_of[j], token)
+                    if fits:
+                        known = own is not None and own >= 0
+                        last[i] = own if known else -1
+                        text_of[i] = token
+                        counts[i] = counts[j] + (1 if known else len(token.encode("utf-8")))
+                if own is None:
+                    break
+        return array("I", counts[1:]).tobytes()
 
     def prefixes(self, text: str) -> np.ndarray:
         """Exact token counts of text[:0], text[:1], ..., text. Not monotonic: a longer prefix may merge into fewer."""
