@@ -81,7 +81,9 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     rows = checkpointed(unit_rows(df, id_col, text_col))
     rank = F.struct(F.col("__id").isNull().alias("late"), F.col("__id").alias("id"), F.col("__row").alias("row"), F.col("start").alias("start"))
     first = rows.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    # The hot side of this join is split at run time; each of its rows meets one row.
+    # Kept as a table, so that both sides of the join are dealt anew and adaptive execution can split a digest that many texts share;
+    # each row meets one row.
+    first = checkpointed(first)
     later = rows.join(first, "digest").where((F.col("__row") != F.col("first.row")) | (F.col("start") != F.col("first.start"))).drop("digest")
     in_text = Window.partitionBy("__row").orderBy("unit")
     runs = later.withColumn("run", F.col("unit") - F.row_number().over(in_text))
