@@ -1,20 +1,19 @@
-"""All queries over the driver tables, with the SQL that gives the same rows."""
+"""All queries over the driver tables, with the SQL that gives the same rows where SQL can."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from quire.plans import model_queries, table_queries, text_queries
 
-def multiset_prf(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/conversations.parquet").groupBy("conv_id").agg(F.count("*").alias("n"))
+_MODULES = (text_queries, table_queries, model_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"multiset_prf": multiset_prf}
+    return {f.__name__: f for m in _MODULES for f in m.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"multiset_prf": "SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id"}
+    return {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
