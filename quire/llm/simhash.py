@@ -139,7 +139,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     within = grouped.where("fp != group").select(F.col("group").alias("u"), F.col("fp").alias("v"))
     roots = components(pairs.union(within))
     labelled = only.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    named = labelled.groupBy("root").agg(F.min("rep").alias("component_id"))
+    # A table of its own, so that both sides of the join are dealt anew and a root with many fingerprints can be split.
+    named = checkpointed(labelled.groupBy("root").agg(F.min("rep").alias("component_id")))
     of_print = labelled.join(named, "root").select("fp", "component_id")
     return prints.join(of_print, "fp").select(id_col, "fp", "component_id")
 
@@ -147,8 +148,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, whose id names their component; a repeated row stays once.
 
-    Ids identify documents: rows that repeat an id must be repeats of one document. A row with a null id stays if its component has no id, once
-    for each text.
+    Ids identify documents: rows that repeat an id must be repeats of one document. Where a component has no id at all, rows with null ids stay, once
+    for each text, as nothing else tells them apart.
     """
     found = near_duplicates(df, id_col, text_col)
     names = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__name")).distinct()
