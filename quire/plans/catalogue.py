@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.plans import model_queries, table_queries, text_queries
+from quire.plans import fixture_queries, model_queries, table_queries, text_queries
 
-_MODULES = (text_queries, table_queries, model_queries)
+_MODULES = (text_queries, table_queries, model_queries, fixture_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
