@@ -22,64 +22,61 @@ from quire.llm.common import Recent, map_texts
 
 _NONE = 1 << 62
 #: Encoded pieces kept by each Python worker: at most so many, of at most so many characters.
-CACHE_PIECES, CACHE_CHARS = 400_000, 48
-
-
-class MergeTree:
-    """Segment tree over the byte positions of one piece."""
-
-    def __init__(self, leaves: list[int]):
-        self.size = 1 << max(0, (len(leaves) - 1).bit_length())
-        self.node = [_NONE] * self.size + leaves + [_NONE] * (self.size - len(leaves))
-        node = self.node
-        for i in range(self.size - 1, 0, -1):
-            a, b = node[2 * i], node[2 * i + 1]
-            node[i] = a if a < b else b
-
-    def put(self, at: int, value: int) -> None:
-        node, i = self.node, at + self.size
-        node[i] = value
-        while i > 1:
-            a, b = node[i], node[i ^ 1]
-            i >>= 1
-            least = a if a < b else b
-            if node[i] == least:
-                return
-            node[i] = least
+CACHE_PIECES, CACHE_CHARS = 600_000, 48
 
 
 def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one piece: merge the leftmost pair of least rank until no pair is in the vocabulary."""
+    """Ids of one piece: merge the leftmost pair of least rank until no pair is in the vocabulary.
+
+    node is the segment tree over the byte positions, leaves from ``size`` on; a walk to the root ends early where nothing changes.
+    """
     whole = ranks.get(piece)
     if whole is not None:
         return [whole]
     n = len(piece)
     if n == 0:
         return []
+    get = ranks.get
     shift = n.bit_length()
     mask = (1 << shift) - 1
     end = list(range(1, n + 1))  # a live symbol at i covers piece[i:end[i]]
-    left = list(range(-1, n - 1))
-
-    def pair(i: int) -> int:
-        j = end[i]
-        if j >= n:
-            return _NONE
-        rank = ranks.get(piece[i : end[j]])
-        return _NONE if rank is None else rank << shift | i
-
-    tree = MergeTree([pair(i) for i in range(n)])
-    node = tree.node
+    left = list(range(-1, n))
+    size = 1 << (n - 1).bit_length()
+    node = [_NONE] * (2 * size)
+    for i in range(n - 1):
+        rank = get(piece[i : i + 2])
+        if rank is not None:
+            node[size + i] = rank << shift | i
+    for i in range(size - 1, 0, -1):
+        a, b = node[2 * i], node[2 * i + 1]
+        node[i] = a if a < b else b
     while node[1] != _NONE:
         i = node[1] & mask
         j = end[i]
-        end[i] = end[j]
-        if end[i] < n:
-            left[end[i]] = i
-        tree.put(j, _NONE)
-        tree.put(i, pair(i))
-        if left[i] >= 0:
-            tree.put(left[i], pair(left[i]))
+        last = end[i] = end[j]
+        left[last] = i
+        # The pair's dead right half, the pair itself, and the live neighbour on its left.
+        for at in (j, i, left[i]):
+            if at < 0:
+                continue
+            leaf = _NONE
+            if at != j:
+                middle = end[at]
+                if middle < n:
+                    rank = get(piece[at : end[middle]])
+                    if rank is not None:
+                        leaf = rank << shift | at
+            k = at + size
+            if node[k] == leaf:
+                continue
+            node[k] = leaf
+            while k > 1:
+                other = node[k ^ 1]
+                least = other if other < node[k] else node[k]
+                k >>= 1
+                if node[k] == least:
+                    break
+                node[k] = least
     ids, i = [], 0
     while i < n:
         ids.append(ranks[piece[i : end[i]]])
