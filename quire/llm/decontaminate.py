@@ -237,3 +237,27 @@ def _shuffled(documents: DataFrame, items: DataFrame, id_col: str, text_col: str
 
     found = joined.mapInArrow(run, "__key string, " + ", ".join(f"{n} {t}" for n, t, _ in _FIELDS))
     return texts.select("__key", "__id").join(found, "__key").select(F.col("__id").alias(id_col), *[f[0] for f in _FIELDS])
+
+
+def _oracle() -> str:
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    words = f"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{word}')"
+    return rf"""
+WITH items AS (SELECT CAST(item_id AS VARCHAR) AS item, {words} AS w FROM benchmark), docs AS (SELECT doc_id, {words} AS w FROM documents),
+sizes AS (SELECT DISTINCT least(len(w), {WINDOW}) AS m FROM items WHERE len(w) > 0),
+item_windows AS (
+  SELECT DISTINCT item, m, array_to_string(w[i : i + m - 1], ' ') AS win
+  FROM (SELECT item, w, least(len(w), {WINDOW}) AS m, unnest(range(1, len(w) - least(len(w), {WINDOW}) + 2)) AS i FROM items WHERE len(w) > 0)
+),
+doc_windows AS (
+  SELECT doc_id, m, i, array_to_string(w[i : i + m - 1], ' ') AS win FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM docs, sizes WHERE len(w) >= m)
+),
+hits AS (SELECT doc_id, d.m, i, item FROM doc_windows d JOIN item_windows t ON d.m = t.m AND d.win = t.win),
+places AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM hits) GROUP BY doc_id),
+found AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS names FROM hits GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
+FROM docs LEFT JOIN places USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
+
+ORACLE = _oracle()
