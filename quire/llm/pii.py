@@ -211,9 +211,9 @@ def redact(df: DataFrame, text_col: str = "text", inline_patterns: int = INLINE_
     The accepted patterns come from one pass over all texts. Up to ``inline_patterns`` of them become a constant of the second pass, which then
     needs no shuffle; beyond, spans are joined to the rows.
     """
-    evidence = extract(df.select(F.col(text_col).alias("__source")), F.col("__source"))
-    evidence = evidence.where(F.size("candidates") > 0).select(F.inline("candidates"))
-    accepted = accepted_patterns(evidence).select("pattern", "kind")
+    # Kept as a table before it is filtered: a filter would be pushed below, and the extraction evaluated once more for it.
+    evidence = checkpointed(extract(df.select(F.col(text_col).alias("__source")), F.col("__source")).select("candidates"))
+    accepted = accepted_patterns(evidence.where(F.size("candidates") > 0).select(F.inline("candidates"))).select("pattern", "kind")
     few = accepted.limit(inline_patterns + 1).collect()
     none = F.array().cast("array<struct<named:boolean,start:int,end:int,kind:string>>")
     extra = [c for c in ("base", "candidates", "__text", "__kept") if c in df.columns]
