@@ -71,4 +71,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substrings": substrings.ORACLE, "op4_decontaminate": decontaminate.ORACLE, "op6_chat": chat.ORACLE, "op9_licenses": licenses.ORACLE}
+    return {"op2_substrings": substrings.ORACLE, "op4_decontaminate": decontaminate.ORACLE, "op6_chat": chat.ORACLE, "op9_licenses": licenses.ORACLE, "op10_sharding": sharding.oracle(24)}

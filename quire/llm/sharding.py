@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 LANES = 256
 
 
-def _draw(key: Column, shard: int) -> Column:
+def _draw(key: Column, shard: int | str) -> Column:
     return F.conv(F.substring(F.md5(F.concat(key, F.lit(f":{shard}"))), 1, 13), 16, 10).cast("long")
 
 
@@ -52,7 +52,7 @@ def assign(df: DataFrame, weights: list[float], id_col: str = "doc_id", text_col
         (F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)) + 8).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_crc32"),
     )
-    lane = F.pmod(F.xxhash64("__key", F.lit("lane")), F.lit(lanes)).cast("int")
+    lane = F.pmod(_draw(F.col("__key"), "lane"), F.lit(lanes)).cast("int")
 
     def placed(rows: DataFrame) -> DataFrame:
         return rows.withColumn("__best", best).withColumn("shard", (-F.col("__best")["shard"]).cast("int")).withColumn("__lane", lane)
@@ -70,3 +70,26 @@ def assign(df: DataFrame, weights: list[float], id_col: str = "doc_id", text_col
         .join(F.broadcast(starts), ["shard", "__lane"])
         .select(F.col("__id").alias(id_col), "size", "text_crc32", "shard", (F.col("__start") + F.col("__row") - 1).cast("long").alias("slot"), "grown_shard")
     )
+
+
+def oracle(shards: int, lanes: int = LANES) -> str:
+    """SQL of ``assign`` with equal weights."""
+    draw = "CAST('0x' || substr(md5(key || ':{}'), 1, 13) AS BIGINT)"
+    best = lambda n: f"list_max([{', '.join('{' + chr(39) + 's' + chr(39) + ': ' + draw.format(k) + ', ' + chr(39) + 'k' + chr(39) + f': {-k}' + '}' for k in range(n))}])"
+    return f"""
+WITH bits AS (SELECT range AS b FROM range(256)),
+crc_table AS (
+  SELECT list(v ORDER BY b) AS t FROM (SELECT b, list_reduce(range(8), lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, b) AS v FROM bits)
+), docs AS (
+  SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), 'null') AS key, coalesce(text, '') AS text FROM documents
+), summed AS (
+  SELECT doc_id, key, strlen(text) + 8 AS size, hex(encode(text)) AS h FROM docs
+), checked AS (
+  SELECT doc_id, key, size, xor(4294967295, list_reduce(list_transform(range(1, len(h), 2), lambda i: CAST('0x' || substr(h, i, 2) AS BIGINT)),
+         lambda a, x: xor(a >> 8, t[xor(a & 255, x) + 1]), CAST(4294967295 AS BIGINT))) AS text_crc32 FROM summed, crc_table
+), placed AS (
+  SELECT *, -({best(shards)}).k AS shard, -({best(shards + 1)}).k AS grown, {draw.format("lane")} % {lanes} AS lane FROM checked
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard,
+       row_number() OVER (PARTITION BY shard ORDER BY lane, key, text_crc32, size) - 1 AS slot, CAST(grown AS INTEGER) AS grown_shard FROM placed
+"""
