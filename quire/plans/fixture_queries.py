@@ -12,15 +12,18 @@ from quire.plans import fixtures, pipelines
 from quire.sources import pages, readers, reports, triples
 
 
-def _sql(rows: list[tuple], columns: str) -> str:
+def _sql(rows: list[tuple], columns: str, longs: tuple[str, ...] = ()) -> str:
     def q(v) -> str:
         if v is None:
             return "NULL"
         if isinstance(v, bool):
             return str(v).lower()
+        if isinstance(v, float):
+            return f"CAST({v!r} AS DOUBLE)"
         return "'" + v.replace("'", "''") + "'" if isinstance(v, str) else repr(v)
 
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(q, r)) + ')' for r in rows)}) t({columns})"
+    star = f"* REPLACE ({', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in longs)})" if longs else "*"
+    return f"SELECT {star} FROM (VALUES {', '.join('(' + ', '.join(map(q, r)) + ')' for r in rows)}) t({columns})"
 
 
 def page_regions(spark: SparkSession, d: str) -> DataFrame:
@@ -238,7 +241,7 @@ ORACLES = {
     "graph_entries": _sql([("truth", "urn:t#T1", "Transaction", 0), ("truth", "urn:t#T2", "Transaction", 1), ("truth", "urn:t#N1", "Note", 2), ("test", "urn:t#T1", "Transaction", 0), ("test", "urn:t#T9", "Transaction", 1)], "graph, entry, class, doc_pos"),
     "property_counts": _sql(
         [("test", "Money", "with_unit", 2), ("test", "Money", "with_quantity", 2), ("test", "Money", "with_all", 2), ("test", "Money", "total", 2), ("test", "Transfer", "with_transfers", 2), ("test", "Transfer", "with_from", 2), ("test", "Transfer", "with_when", 1), ("test", "Transfer", "total", 2)],
-        "graph, class, measure, n",
+        "graph, class, measure, n", ("n",),
     ),
     "membership_added": _sql([(f"urn:t#{e}", p, o) for e in ("T1", "T2", "N1") for p, o in (("isPartOf", "urn:t"), ("isMemberOfCollection", "https://gams.uni-graz.at/context:arec"))], "s, p, o"),
     "repaired_text": _sql([(1, '\n\n\n<bk:unit rdf:resource="urn:x#piece"/> <bk:entry>stück</bk:entry>\n\n')], "id, text"),
@@ -255,9 +258,9 @@ ORACLES = {
     "judgements": _sql([("a", "match", "p1", None), ("b", "unsure", "", None), ("c", "new", "", "r"), ("d", "error", "", None)], "k, decision, ids, reason"),
     "cached_answers": _sql([("two", "stop", 1)], "answer, finish_reason, attempts"),
     "word_changes": _sql([(1, "a [-b-] {+x+} c {+d+}"), (2, "same"), (3, "{+new+}")], "id, diff"),
-    "seeded_draw": _sql([(300, 300, 3)], "n, same, kinds"),
+    "seeded_draw": _sql([(300, 300, 3)], "n, same, kinds", ("n", "same", "kinds")),
     "rounded_scores": _sql([(1, 0.037), (2, 0.062), (3, 0.667)], "id, f1"),
     "model_file_rates": _sql([("run_0.93.mlmodel", 7.0), ("run_0.871.mlmodel", 12.9), ("notes.txt", None)], "name, cer"),
     "path_functions": _sql([("/in/abc/1905/x_enhanced.jpg", "abc", "x_enhanced", "/out/abc/1905/x_enhanced.jpg", "/in/abc/1905/x.png"), ("/else/y.jpg", "", "y", "/out/y.jpg", "/else/y.png")], "path, newspaper, page, target, image"),
-    "batch_numbers": _sql([(0, 15), (1, 25), (2, 5)], "batch, n"),
+    "batch_numbers": _sql([(0, 15), (1, 25), (2, 5)], "batch, n", ("batch", "n")),
 }

@@ -127,7 +127,7 @@ def roman_values(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _values(rows: list[tuple], names: str) -> str:
-    q = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else repr(v)
+    q = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else f"CAST({v!r} AS DOUBLE)" if isinstance(v, float) else repr(v)
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(q, r)) + ')' for r in rows)}) t({names})"
 
 

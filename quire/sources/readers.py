@@ -45,10 +45,10 @@ def json_documents(spark: SparkSession, path: str, schema: str | StructType) ->
 
 def whole_texts(spark: SparkSession, path: str, glob: str | None = None, recursive: bool = True) -> DataFrame:
     """Rows (path, text), one for each file."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", recursive)
+    reader = spark.read.option("recursiveFileLookup", recursive)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def listed_texts(paths: DataFrame, found: DataFrame, key: str = "path") -> DataFrame:
