@@ -172,7 +172,38 @@ QUERIES = [
 
 _JDN = "(day(d) + (153 * ((month(d) + 9) % 12) + 2) // 5 + 365 * (year(d) + 4800 - CASE WHEN month(d) <= 2 THEN 1 ELSE 0 END) + (year(d) + 4800 - CASE WHEN month(d) <= 2 THEN 1 ELSE 0 END) // 4 - 32083)"
 
+def _chunk_sql() -> str:
+    seps = ", ".join("'" + c.replace("\n", "' || chr(10) || '") + "'" for c in chunks.SEPARATORS)
+    return rf"""
+WITH RECURSIVE seps AS (SELECT unnest([{seps}]) AS sep, unnest(range({len(chunks.SEPARATORS)})) AS rank),
+cut AS (
+  SELECT doc_id, 0 AS depth, text AS piece FROM documents
+  UNION ALL
+  SELECT doc_id, depth + 1, unnest([lft, rgt]) FROM (
+    SELECT *, row_number() OVER (PARTITION BY doc_id, n ORDER BY rank) AS choice FROM (
+      SELECT doc_id, depth, rank, n, CASE WHEN len(parts) > 1 THEN list_reduce(parts[1 : len(parts) // 2], lambda a, b: a || sep || b) END AS lft,
+             CASE WHEN len(parts) > 1 THEN list_reduce(parts[len(parts) // 2 + 1 :], lambda a, b: a || sep || b) END AS rgt
+      FROM (SELECT doc_id, depth, sep, rank, n, string_split(piece, sep) AS parts FROM (SELECT *, row_number() OVER () AS n FROM cut WHERE strlen(piece) + 1 > {chunks.MAX_BYTES}), seps)
+    ) WHERE lft <> '' AND rgt <> ''
+  ) WHERE choice = 1
+)
+SELECT doc_id, count(*) AS n_chunks, CAST(max(strlen(piece) + 1) AS INTEGER) AS longest, CAST(sum(strlen(piece)) AS BIGINT) AS n_bytes FROM cut WHERE strlen(piece) + 1 <= {chunks.MAX_BYTES} GROUP BY doc_id
+"""
+
+
 ORACLES = {
+    "chunk_bytes": _chunk_sql(),
+    "chunk_round_trip": r"SELECT doc_id, CAST(length(trim(regexp_replace(text, '\s+', ' ', 'g'), ' ')) AS INTEGER) AS n FROM documents",
+    "words_kept": f"""
+WITH RECURSIVE t AS (SELECT item_id, regexp_extract_all(text, '{LETTERS}') AS s, regexp_extract_all(split_part(text, '.', 1), '{LETTERS}') AS o FROM benchmark),
+r AS (
+  SELECT item_id, s, o, 0 AS i, 0 AS pos, 0 AS kept FROM t
+  UNION ALL
+  SELECT item_id, s, o, i + 1, CASE WHEN p > 0 THEN pos + p ELSE pos END, CASE WHEN p > 0 THEN kept + 1 ELSE kept END
+  FROM (SELECT *, coalesce(list_position(o[pos + 1 :], s[i + 1]), 0) AS p FROM r WHERE i < len(s))
+)
+SELECT item_id, round(100.0 * kept / greatest(len(s), 1), 1) AS kept FROM r WHERE i = len(s)
+""",
     "glyph_normalize": _glyph_sql(),
     "byte_length": "SELECT doc_id, CAST(strlen(text) + 1 AS INTEGER) AS n_bytes FROM documents",
     "url_extract": "SELECT page_id, nullif(regexp_extract(url, '^https?://([^/]+)', 1), '') AS host, nullif(regexp_extract(url, '(\\d+)', 1), '') AS number, nullif(regexp_extract(url, '/([^/]*)$', 1), '') AS leaf FROM pages",
