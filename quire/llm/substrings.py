@@ -1,10 +1,9 @@
 """Substring dedup by hashing lines cut into sentences.
 
-A unit is a sentence of a line: it ends with the line, or at marks of [.!?] before white space. Units are compared as their
-words, A-Z in lower case, single spaces between them; digests are grouped over all documents, and the occurrence of least rank
+A unit is a sentence of a line: it ends with the line, or at marks of [.!?] before white space. Long sentences are cut further, at words that their own
+letters pick, so that a passage is cut alike wherever it stands. Units are compared as their words, A-Z in lower case, single spaces between them; digests are grouped over all documents, and the occurrence of least rank
 (id, then place) is kept. The others are removed where they stand in runs: consecutive repeated units of a document of at least ``min_words``
-words together. So a passage copied into other text is found by the sentences inside it, and a short sentence that
-many texts share by chance stays.
+words together. So a passage copied into other text is found by the units inside it, and a short sentence that many texts share by chance stays.
 
 Offsets are code points of the original text, ends exclusive; white space after a unit is not part of it.
 
@@ -25,21 +24,45 @@ from pyspark.sql import functions as F
 from quire.llm.common import BATCH_BYTES, BATCH_ROWS, checkpointed
 
 MIN_WORDS = 10
+#: Bytes of a digest: 96 bits leave no likely collision among 10**12 units.
+DIGEST = 12
 #: A unit with the white space after it; the matches cover the text. RE2 reads it alike.
 UNIT = r"(?:[^.!?\n]+|[.!?]+[^.!?\s])*[.!?]*[ \t\n\r\f\v]*"
 
+#: Sentences of more words than this are cut further, once a piece has so many words, after a word that the rule of ``_anchor`` picks.
+LONG_WORDS, PIECE_WORDS, ANCHOR = 16, 6, 6
+
 _unit = re.compile(UNIT, re.ASCII).finditer
-_BLANK = " \t\n\r\f\v"
+_word = re.compile(r"[^ \t\n\r\f\v]+").finditer
+_UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def _anchor(word: str) -> bool:
+    """Whether a long sentence may be cut after this word: by its length, first and last character alone, wherever it stands."""
+    return (7 * len(word) + 3 * ord(word[0]) + ord(word[-1])) % ANCHOR == 0
 
 
 def units(text: str) -> Iterator[tuple[int, int, int, bytes]]:
     """(start, end, words, digest) of the units of a text that have words."""
     for m in _unit(text):
-        piece = m.group()
-        body = piece.encode("utf-8").lower().split()
-        if body:
-            start = m.start() + len(piece) - len(piece.lstrip(_BLANK))
-            yield start, m.start() + len(piece.rstrip(_BLANK)), len(body), md5(b" ".join(body)).digest()
+        at = m.start()
+        words = [(w.start() + at, w.end() + at, w.group()) for w in _word(m.group().translate(_UPPER))]
+        if not words:
+            continue
+        cuts = [len(words)]
+        if len(words) > LONG_WORDS:
+            cuts, last = [], 0
+            for i, (_, _, w) in enumerate(words, 1):
+                if i - last >= PIECE_WORDS and _anchor(w):
+                    cuts.append(i)
+                    last = i
+            if last < len(words):
+                cuts.append(len(words))
+        first = 0
+        for cut in cuts:
+            part = words[first:cut]
+            first = cut
+            yield part[0][0], part[-1][1], len(part), md5(" ".join([w for _, _, w in part]).encode("utf-8")).digest()[:DIGEST]
 
 
 _UNITS = {"unit": pa.int32(), "start": pa.int32(), "end": pa.int32(), "n_words": pa.int32(), "digest": pa.binary()}
@@ -107,19 +130,32 @@ def without(df: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: s
     return joined.withColumn(text_col, F.when(F.col("__cut").isNotNull(), left).otherwise(text)).select(df.columns)
 
 
+_BLANKS = r"[ \t\n\r\f\v]"
+_WORDS = r"[^ \t\n\r\f\v]+"
+
 ORACLE = rf"""
 WITH pieces AS (
   SELECT doc_id, regexp_extract_all(text, '{UNIT}') AS p FROM documents WHERE text IS NOT NULL
 ), placed AS (
   SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) AS k,
          unnest(list_transform(range(1, len(p) + 1), lambda i: coalesce(list_sum(list_transform(p[1:i-1], lambda x: length(x))), 0))) AS pos FROM pieces
-), found AS (
-  SELECT doc_id, k, pos, piece, list_filter(string_split_regex(translate(piece, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\r\f\v]+'), lambda x: x <> '') AS words FROM placed
+), tokens AS (
+  SELECT doc_id, k, pos, regexp_extract_all(piece, '{_BLANKS}*{_WORDS}') AS t FROM placed
+), raws AS (
+  SELECT doc_id, k, pos, unnest(t) AS raw, generate_subscripts(t, 1) AS j, len(t) AS n FROM tokens WHERE len(t) > 0
+), words AS (
+  SELECT doc_id, k, j, n, translate(regexp_replace(raw, '^{_BLANKS}+', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w,
+         pos + sum(length(raw)) OVER (PARTITION BY doc_id, k ORDER BY j) AS stop FROM raws
+), flags AS (
+  SELECT doc_id, k, list(CASE WHEN (7 * length(w) + 3 * ord(left(w, 1)) + ord(right(w, 1))) % {ANCHOR} = 0 THEN 1 ELSE 0 END ORDER BY j) AS f FROM words WHERE n > {LONG_WORDS} GROUP BY doc_id, k
+), since AS (
+  SELECT doc_id, k, list_transform(range(1, len(f) + 1), lambda i: list_reduce(f[1:i], lambda c, x: CASE WHEN c + 1 >= {PIECE_WORDS} AND x = 1 THEN 0 ELSE c + 1 END, 0)) AS s FROM flags
+), parts AS (
+  SELECT w.*, CASE WHEN s IS NULL THEN 0 ELSE len(list_filter(s[1:j-1], lambda x: x = 0)) END AS part FROM words w LEFT JOIN since USING (doc_id, k)
+), bodies AS (
+  SELECT doc_id, k, part, CAST(min(stop - length(w)) AS INTEGER) AS start, CAST(max(stop) AS INTEGER) AS "end", count(*) AS n_words, string_agg(w, ' ' ORDER BY j) AS body FROM parts GROUP BY doc_id, k, part
 ), units AS (
-  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS unit, len(words) AS n_words, array_to_string(words, ' ') AS body,
-         CAST(pos + length(piece) - length(regexp_replace(piece, '^[ \t\n\r\f\v]+', '')) AS INTEGER) AS start,
-         CAST(pos + length(regexp_replace(piece, '[ \t\n\r\f\v]+$', '')) AS INTEGER) AS "end"
-  FROM found WHERE len(words) > 0
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k, part) AS unit FROM bodies
 ), ranked AS (
   SELECT *, first_value(doc_id) OVER w AS first_id, first_value(start) OVER w AS first_start FROM units WINDOW w AS (PARTITION BY body ORDER BY doc_id, start)
 ), later AS (

@@ -93,22 +93,24 @@ def base_spans(text):
 
 def repeats(docs, min_words):
     """docs: (id, text) in rank order, ids unique."""
-    unit = re.compile(r"(?:[^.!?\n]+|[.!?]+[^.!?\s])*[.!?]*[ \t\n\r\f\v]*", re.ASCII)
+    sentence = re.compile(r"(?:[^.!?\n]+|[.!?]+[^.!?\s])*[.!?]*[ \t\n\r\f\v]*", re.ASCII)
     first, out = {}, []
     for name, text in docs:
         flagged, n = [], 0
-        for m in unit.finditer(text or ""):
-            body = SPACE_WORD.findall(lower(m.group()))
-            if not body:
-                continue
-            lead = len(m.group()) - len(m.group().lstrip(" \t\n\r\f\v"))
-            start, end = m.start() + lead, m.start() + len(m.group().rstrip(" \t\n\r\f\v"))
-            key = " ".join(body)
-            if key in first:
-                flagged.append((n, start, end, len(body), *first[key]))
-            else:
-                first[key] = (name, start)
-            n += 1
+        for m in sentence.finditer(text or ""):
+            words = [(w.start() + m.start(), w.end() + m.start(), lower(w.group())) for w in SPACE_WORD.finditer(m.group())]
+            parts = [[]]
+            for w in words:
+                parts[-1].append(w)
+                if len(words) > 16 and len(parts[-1]) >= 6 and (7 * len(w[2]) + 3 * ord(w[2][0]) + ord(w[2][-1])) % 6 == 0:
+                    parts.append([])
+            for part in filter(None, parts):
+                key = " ".join(w for _, _, w in part)
+                if key in first:
+                    flagged.append((n, part[0][0], part[-1][1], len(part), *first[key]))
+                else:
+                    first[key] = (name, part[0][0])
+                n += 1
         runs = defaultdict(list)
         for k, f in enumerate(flagged):
             runs[f[0] - k].append(f)

@@ -205,7 +205,7 @@ def test_repeats(spark, docs, none):
     want = brute.repeats(rows, substrings.MIN_WORDS)
     assert sorted(tuple(r) for r in got.collect()) == want and {w[0] for w in want} == {2, 7}
     cleaned = {r["doc_id"]: r["text"] for r in substrings.without(spark.createDataFrame(rows, "doc_id long, text string"), got).collect()}
-    assert cleaned[7] == " " and cleaned[1] == rows[0][1] and "He sat down" not in cleaned[2] and cleaned[2].startswith("Other words\nbefore First")
+    assert cleaned[7].strip() == "" and cleaned[1] == rows[0][1] and "He sat down" not in cleaned[2] and cleaned[2].startswith("Other words\nbefore First")
     edge = substrings.repeats(docs.where("doc_id < 12"))
     assert {r["doc_id"] for r in edge.where("doc_id = 8").collect()} == {8}
     assert substrings.repeats(none).count() == 0
@@ -213,7 +213,18 @@ def test_repeats(spark, docs, none):
 
 def test_a_repeated_row_is_an_occurrence(spark):
     got = substrings.repeats(spark.createDataFrame([(1, PROSE), (1, PROSE), (None, PROSE)], "doc_id long, text string").coalesce(1))
-    assert sorted((str(r["doc_id"]), r["first_id"]) for r in got.collect()) == [("1", 1), ("None", 1)]
+    assert {(str(r["doc_id"]), r["first_id"]) for r in got.collect()} == {("1", 1), ("None", 1)}
+
+
+def test_passages_without_sentence_ends_are_found(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9)))
+    passage = " ".join(word() for _ in range(60))
+    rows = [(i, " ".join(word() for _ in range(rng.randint(3, 40))) + f" {passage} " + " ".join(word() for _ in range(30))) for i in range(12)]
+    got = substrings.repeats(spark.createDataFrame([*rows, (50, " ".join(word() for _ in range(200)))], "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in got} == set(range(1, 12)) and {r["first_id"] for r in got} == {0}
+    text = dict(rows)
+    assert all(text[r["doc_id"]][r["start"] : r["end"]] in passage for r in got)
 
 
 def test_licenses(spark, docs, none):
