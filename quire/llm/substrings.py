@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import BATCH_BYTES, BATCH_ROWS, checkpointed
+from quire.llm.common import BATCH_BYTES, BATCH_ROWS, checkpointed, written
 
 MIN_WORDS = 10
 #: Bytes of a digest: 96 bits leave no likely collision among 10**12 units.
@@ -101,7 +101,7 @@ def unit_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """Rows (id, start, end, n_words, first_id, first_start) of the units to remove; first_*: the kept occurrence."""
-    rows = checkpointed(unit_rows(df, id_col, text_col))
+    rows = written(unit_rows(df, id_col, text_col))
     rank = F.struct(F.col("__id").isNull().alias("late"), F.col("__id").alias("id"), F.col("__row").alias("row"), F.col("start").alias("start"))
     first = rows.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
     # Kept as a table, so that both sides of the join are dealt anew and adaptive execution can split a digest that many texts share;
