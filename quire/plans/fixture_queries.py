@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.functions import answers, numerals, text
+from quire.functions import answers, chunks, dates, geometry, numerals, text
 from quire.operators import diffs, graph, metrics, models, repair, search, validate, windows
 from quire.operators.joins import united
 from quire.plans import fixtures, pipelines
@@ -108,13 +108,13 @@ ENCODED = [("e1", "paid to him", "x#p1", "urn#r_debts"), ("e2", "given", None, "
 def validation_findings(spark: SparkSession, d: str) -> DataFrame:
     source = spark.createDataFrame(SOURCE, "id string, entry string, year string, pointer string, rubric string")
     encoded = spark.createDataFrame(ENCODED, "id string, entry string, pointer string, rubric string")
-    dates = spark.createDataFrame([("e1", "1455-03-01"), ("e2", "1457"), ("e3", "soon")], "id string, when string")
+    whens = spark.createDataFrame([("e1", "1455-03-01"), ("e2", "1457"), ("e3", "soon")], "id string, when string")
     parties = spark.createDataFrame(
         [("e1", "h1", "from", "#anna", "L#r_debts"), ("e1", "h1", "to", "x#anna", "L#r_debts"), ("e2", "h2", "from", "#debts", "L#r_debts"), ("e2", "h2", "to", "#debts", "L#r_debts"), ("e3", "h3", "credit", "#anonymous", None), ("e3", "h3", "debit", "#anonymous", None)],
         "id string, host string, role string, party string, rubric string",
     )
     hosts = spark.createDataFrame([("h1",), ("h1",), ("h2",)], "host string")
-    found = validate.completeness(source, encoded).union(validate.fields(source, encoded)).union(validate.years(source, dates)).union(validate.same_party(parties)).union(validate.several_dates(hosts))
+    found = validate.completeness(source, encoded).union(validate.fields(source, encoded)).union(validate.years(source, whens)).union(validate.same_party(parties)).union(validate.several_dates(hosts))
     return found.distinct()
 
 
@@ -219,14 +219,86 @@ def batch_numbers(spark: SparkSession, d: str) -> DataFrame:
     return rows.where(text.in_batch(F.col("n"), "10-55")).groupBy("batch").agg(F.count("*").alias("n"))
 
 
+def free_text_dates(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.createDataFrame([(1, "Item solvit Geori in die Martini et feria 2a post Oculi"), (2, "nichil"), (3, None)], "id int, entry string")
+    found = rows.select("id", F.explode(dates.find_dates(F.col("entry"), F.lit(1455))).alias("x"))
+    return found.where("x.iso IS NOT NULL").select("id", "x.feast", "x.iso")
+
+
+def free_text_amounts(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.createDataFrame([(1, "item v lb. d. Wien. et xx gr."), (2, "nichil")], "id int, entry string")
+    return rows.select("id", F.explode(numerals.find_amounts(F.col("entry"))).alias("a")).select("id", "a.span", "a.quantity", "a.unit", numerals.denarii(F.col("a.quantity"), F.col("a.unit")).alias("denarii"))
+
+
+def numeral_runs(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.createDataFrame([(1, "item viij̸ sch. et ij̸e lb. xxx ix d.")], "id int, entry string")
+    return rows.select("id", F.explode(numerals.find_numerals(F.col("entry"))).alias("r")).select("id", "r.run", "r.value", "r.misread")
+
+
+def phrase_marks(spark: SparkSession, d: str) -> DataFrame:
+    """How copied phrases stand in their entries, and whether entries name a day to pay by."""
+    rows = spark.createDataFrame([("in die Martini", "solvet in die Martini"), ("in Die martini", "dedit in die Martini"), ("dominica", "nichil")], "phrase string, entry string")
+    return rows.select("phrase", dates.provenance(F.col("phrase"), F.col("entry")).alias("provenance"), dates.has_deadline(F.col("entry")).alias("deadline"))
+
+
+def dated_or_year(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.createDataFrame([("in die Martini", "1455", []), ("nichil", "1456", ["1450-01-01"]), ("nichil", "", ["anno", "1457-02-01"]), ("nichil", None, [])], "phrase string, year string, dates array<string>")
+    resolved = dates.resolve_phrase(F.col("phrase"), F.col("year").try_cast("int"))
+    return rows.select("phrase", "year", dates.date_or_year(resolved, F.col("year"), F.col("dates")).alias("iso"))
+
+
+def byte_tokens(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.createDataFrame([("é",), ("",), (None,)], "t string").select("t", chunks.byte_tokens(F.col("t")).alias("ids"))
+    return rows.select("t", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"), chunks.from_byte_tokens(F.col("ids")).alias("again"))
+
+
+def name_likeness(spark: SparkSession, d: str) -> DataFrame:
+    pairs = spark.createDataFrame([("Hans Muller", "p1"), ("Graf Lang Schmidt", "p2"), ("Eneas", "p3")], "mention string, pid string")
+    return search.name_similarity(pairs, _persons(spark)).select("mention", "pid", F.round("similarity", 6).alias("similarity"))
+
+
+def person_cards(spark: SparkSession, d: str) -> DataFrame:
+    return search.rendered(_persons(spark)).where("pid <> 'p1'")
+
+
+def match_scores(spark: SparkSession, d: str) -> DataFrame:
+    out = pipelines.reconciliation(_digests(spark), _persons(spark), pipelines.by_similarity())
+    return pipelines.reconciliation_scores(_digests(spark), out)["prf"].select("decision", "tp", "fp", "fn")
+
+
+def line_changes(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.createDataFrame([(1, "a\nb\nc\nd", "a\nx\nc\nd")], "id int, a string, b string")
+    return rows.select("id", F.posexplode(diffs.lines_changed(F.col("a"), F.col("b"))).alias("pos", "c")).select("id", "pos", "c.op", "c.text")
+
+
+def affine_points(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.createDataFrame([("2,0 0,2",)], "points string")
+    moved = geometry.sheared_rotated(geometry.polygon(F.col("points")), F.lit(0.5), F.lit(90.0), F.lit(0), F.lit(0))
+    return rows.select(F.posexplode(moved).alias("pos", "p")).select("pos", F.round("p.x", 6).cast("int").alias("x"), F.round("p.y", 6).cast("int").alias("y"))
+
+
 QUERIES = [
+    free_text_dates, free_text_amounts, numeral_runs, phrase_marks, dated_or_year, byte_tokens, name_likeness, person_cards, match_scores, line_changes, affine_points,
     page_regions, page_boxes, ground_truth, newspaper_pipeline, manifest_pages, report_scores, graph_scores, graph_summary, graph_entries, property_counts, membership_added, repaired_text, back_references,
     split_properties, validation_findings, applied_findings, corrected_quantities, name_candidates, reconciled, reconciled_scores, united_candidates, answers_checked, judgements, cached_answers, word_changes,
     seeded_draw, rounded_scores, model_file_rates, path_functions, batch_numbers,
 ]
 
-_GT = "top  ﬁrst line"
 ORACLES = {
+    "free_text_dates": _sql([(1, "martini", "1455-11-11"), (1, "oculi", "1455-03-10")], "id, feast, iso"),
+    "free_text_amounts": _sql([(1, "v lb.d.Wien.", 5.0, "lbdwien", 1200.0), (1, "xx gr.", 20.0, "gr", 150.0)], "id, span, quantity, unit, denarii"),
+    "numeral_runs": _sql([(1, "viij̸", 7.5, 8.5), (1, "ij̸", 1.5, 2.5), (1, "xxx ix", 39.0, None)], "id, run, value, misread"),
+    "phrase_marks": _sql([("in die Martini", "exact", True), ("in Die martini", "case", False), ("dominica", "absent", False)], "phrase, provenance, deadline"),
+    "dated_or_year": _sql([("in die Martini", "1455", "1455-11-11"), ("nichil", "1456", "1456"), ("nichil", "", "1457"), ("nichil", None, None)], "phrase, year, iso"),
+    "byte_tokens": _sql([("é", "198,172,1", "é"), ("", "1", ""), (None, "1", "")], "t, ids, again"),
+    "name_likeness": _sql([("Hans Muller", "p1", 100.0), ("Graf Lang Schmidt", "p2", round(200 * 7 / 24, 6)), ("Eneas", "p3", 100.0)], "mention, pid, similarity"),
+    "person_cards": _sql(
+        [("p2", "- id: p2\n  label: Peter Schmidt-Lang\n  aliases: Faber\n  attested: 1440 to 1441, digests: 1, places: -"), ("p3", "- id: p3\n  label: Papst Pius\n  spellings: Eneas\n  attested: 1458 to 1464, digests: 0, places: Rom")],
+        "pid, card",
+    ),
+    "match_scores": _sql([("match", 1, 0, 1), ("new", 1, 1, 0)], "decision, tp, fp, fn", ("tp", "fp", "fn")),
+    "line_changes": _sql([(1, 0, "=", "a"), (1, 1, "-", "b"), (1, 2, "+", "x"), (1, 3, "=", "c")], "id, pos, op, text"),
+    "affine_points": _sql([(0, 0, 2), (1, -2, 1)], "pos, x, y"),
     "page_regions": _sql(fixtures.REGION_ROWS, "path, region_id, reading_order, text"),
     "page_boxes": _sql([("/in/abc/1905/p1.xml", "b", "a region text of some length", 0, 9, 0, 9)], "path, region_id, text, min_x, max_x, min_y, max_y"),
     "ground_truth": _sql([("/in/abc/1905/p1.xml", "late  ﬁrst line"), ("/in/abc/1905/p2.xml", ""), ("/in/xyz/1906/p3.xml", "late  ﬁrst line")], "path, gt"),

@@ -32,7 +32,8 @@ def multiset_prf(spark: SparkSession, d: str) -> DataFrame:
 
 def macro_micro(spark: SparkSession, d: str) -> DataFrame:
     entries = multiset_prf(spark, d)
-    return metrics.macro(entries).crossJoin(metrics.micro(entries))
+    both = metrics.macro(entries).crossJoin(metrics.micro(entries))
+    return both.select(*[F.round(c, 9).alias(c) for c in both.columns])  # sums of doubles differ by their order
 
 
 def combined_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -43,7 +44,7 @@ def weighted_mean_by_lang(spark: SparkSession, d: str) -> DataFrame:
     """Mean quality of sources over languages, weighted by documents; only sources of all languages."""
     rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "lang", "source"), "doc_id")
     cells = rows.groupBy("lang", "source").agg(F.avg("quality").alias("v"), F.count("*").alias("w"))
-    return aggregates.weighted_mean(cells, "lang", "source", [], "v", "w")
+    return aggregates.weighted_mean(cells, "lang", "source", [], "v", "w").withColumn("weighted_mean", F.round("weighted_mean", 9))
 
 
 def best_flag(spark: SparkSession, d: str) -> DataFrame:
@@ -81,7 +82,7 @@ def token_idf(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     pairs = docs.select("doc_id", F.explode(F.array_distinct(F.transform(words(F.col("text")), lambda w: F.lower(w)))).alias("w"))
     n = docs.agg(F.count("*").alias("n"))
-    return pairs.groupBy("w").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("w", "df", F.log(F.col("n") / F.col("df")).alias("idf"))
+    return pairs.groupBy("w").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("w", "df", F.round(F.log(F.col("n") / F.col("df")), 9).alias("idf"))
 
 
 def _item_words(spark: SparkSession, d: str) -> DataFrame:
@@ -233,10 +234,11 @@ _WORDS = lambda t: f"SELECT unnest(regexp_extract_all(text, '{WORD_SQL}')) AS w
 ORACLES = {
     "multiset_prf": COUNTS_SQL + " SELECT conv_id, common, missing, extra, n_truth, n_test, precision, recall, f1 FROM s",
     "macro_micro": COUNTS_SQL + ", m AS (SELECT avg(precision) AS macro_precision, avg(recall) AS macro_recall, avg(f1) AS macro_f1, sum(common) / CAST(sum(n_test) AS DOUBLE) AS micro_precision, sum(common) / CAST(sum(n_truth) AS DOUBLE) AS micro_recall FROM s) "
-    "SELECT *, 2 * micro_precision * micro_recall / (micro_precision + micro_recall) AS micro_f1 FROM m",
+    "SELECT round(macro_precision, 9) AS macro_precision, round(macro_recall, 9) AS macro_recall, round(macro_f1, 9) AS macro_f1, round(micro_precision, 9) AS micro_precision, round(micro_recall, 9) AS micro_recall, "
+    "round(2 * micro_precision * micro_recall / (micro_precision + micro_recall), 9) AS micro_f1 FROM m",
     "combined_scores": COUNTS_SQL + " SELECT conv_id, (precision + recall + f1) / 3 AS combined, CASE WHEN n_truth = 0 THEN 0.0 ELSE 100.0 * n_test / n_truth END AS size_ratio FROM s",
     "weighted_mean_by_lang": "WITH c AS (SELECT lang, source, avg(quality) AS v, count(*) AS w FROM labels JOIN documents USING (doc_id) GROUP BY 1, 2) "
-    "SELECT source, sum(v * w) / sum(w) AS weighted_mean FROM c GROUP BY source HAVING count(DISTINCT lang) = (SELECT count(DISTINCT lang) FROM c)",
+    "SELECT source, round(sum(v * w) / sum(w), 9) AS weighted_mean FROM c GROUP BY source HAVING count(DISTINCT lang) = (SELECT count(DISTINCT lang) FROM c)",
     "best_flag": "WITH r AS (SELECT p_brand, p_partkey, p_retailprice, regexp_matches(lower(p_type), '^(standard|small)') AS loc FROM part), m AS (SELECT *, max(p_retailprice) OVER (PARTITION BY p_brand) AS best, "
     "max(p_retailprice) FILTER (WHERE loc) OVER (PARTITION BY p_brand) AS best_local FROM r) SELECT p_brand, p_partkey, best, best_local, abs(p_retailprice - best) < 1e-9 AS is_best, loc AND coalesce(abs(p_retailprice - best_local) < 1e-9, false) AS is_best_local FROM m",
     "local_models": "SELECT regexp_matches(lower(c_mktsegment), '^(qwen|glm|gemma|kimi)') AS is_local, count(*) AS n FROM customer GROUP BY 1",
@@ -246,7 +248,7 @@ ORACLES = {
     "decision_prf": "WITH r AS (SELECT lang, quality = 1 AS t, n_chars > 400 AS s FROM labels JOIN documents USING (doc_id)), c AS (SELECT lang, count(*) FILTER (WHERE t AND s) AS tp, count(*) FILTER (WHERE NOT t AND s) AS fp, count(*) FILTER (WHERE t AND NOT s) AS fn FROM r GROUP BY lang), "
     "p AS (SELECT *, CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / CAST(tp + fp AS DOUBLE) END AS precision, CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / CAST(tp + fn AS DOUBLE) END AS recall FROM c) "
     "SELECT *, CASE WHEN precision + recall = 0 THEN 0.0 ELSE 2 * precision * recall / (precision + recall) END AS f1 FROM p",
-    "token_idf": f"WITH t AS (SELECT DISTINCT doc_id, lower(w) AS w FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{WORD_SQL}')) AS w FROM documents)) SELECT w, count(*) AS df, ln((SELECT count(*) FROM documents) / CAST(count(*) AS DOUBLE)) AS idf FROM t GROUP BY w",
+    "token_idf": f"WITH t AS (SELECT DISTINCT doc_id, lower(w) AS w FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{WORD_SQL}')) AS w FROM documents)) SELECT w, count(*) AS df, round(ln((SELECT count(*) FROM documents) / CAST(count(*) AS DOUBLE)), 9) AS idf FROM t GROUP BY w",
     "multiset_intersect": f"SELECT w, count(*) AS n FROM ({_WORDS('benchmark')} INTERSECT ALL {_WORDS('documents')}) GROUP BY w",
     "multiset_except": f"SELECT w, count(*) AS n FROM ({_WORDS('benchmark')} EXCEPT ALL {_WORDS('conversations')}) GROUP BY w",
     "set_operations": "SELECT 'union' AS op, k FROM (SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier) UNION ALL SELECT 'intersect', k FROM (SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier) "
