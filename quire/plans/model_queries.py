@@ -67,12 +67,18 @@ def events_resume_stream(spark: SparkSession, d: str) -> DataFrame:
     return files.current(spark, f"{run}/out", ["event_id"]).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
+def event_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Counts and sums of events in hours, by type (the same function closes windows on a stream)."""
+    out = files.windowed_counts(table(spark, d, "events"), "ts", "event_type")
+    return out.select(F.col("window.start").cast("string").alias("hour"), "event_type", "n", F.round("total", 6).alias("total"))
+
+
 def _is_folder(spark: SparkSession, d: str) -> bool:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{d}/events.parquet")
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
 
 
-QUERIES = [fuzzy_candidates, graph_reach, class_counts, rule_classifier, argmax_label, events_resume_stream]
+QUERIES = [fuzzy_candidates, graph_reach, class_counts, rule_classifier, argmax_label, events_resume_stream, event_windows]
 
 _EDGES = (
     "SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders"
@@ -86,5 +92,6 @@ ORACLES = {
     "rule_classifier": "WITH h AS (SELECT CASE WHEN contains(lower(text), 'licens') THEN 1 ELSE 0 END AS a, CASE WHEN contains(lower(text), 'token =') THEN 1 ELSE 0 END + CASE WHEN contains(lower(text), 'password=') THEN 1 ELSE 0 END AS b FROM documents), "
     "p AS (SELECT CASE WHEN a + b = 0 THEN 2 WHEN b > a THEN 1 ELSE 0 END AS prediction FROM h) SELECT prediction, CASE prediction WHEN 0 THEN 'licensed' WHEN 1 THEN 'secret' ELSE 'plain' END AS prediction_label, count(*) AS n FROM p GROUP BY 1, 2",
     "argmax_label": "SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS BIGINT) AS prediction FROM embeddings",
+    "event_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2",
     "events_resume_stream": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type",
 }
