@@ -216,10 +216,7 @@ def redact(df: DataFrame, text_col: str = "text", inline_patterns: int = INLINE_
     accepted = accepted_patterns(evidence.where(F.size("candidates") > 0).select(F.inline("candidates"))).select("pattern", "kind")
     few = accepted.limit(inline_patterns + 1).collect()
     none = F.array().cast("array<struct<named:boolean,start:int,end:int,kind:string>>")
-    extra = [c for c in ("base", "candidates", "__text", "__kept") if c in df.columns]
-    held = df.select(F.struct(*df.columns).alias("__kept"), F.col(text_col).alias("__source"))
-    if extra and "__kept" in extra:
-        raise ValueError("a column may not be named __kept")
+    held = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__kept"), F.col(text_col).alias("__source"))
     if len(few) > inline_patterns:
         rows = checkpointed(extract(held.withColumn("__row", F.monotonically_increasing_id()), F.col("__source")))
         found = rows.select("__row", F.inline("candidates")).join(accepted, "pattern").groupBy("__row").agg(F.collect_list(F.struct("named", "start", "end", "kind")).alias("found"))
