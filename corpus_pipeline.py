@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import byte_bpe, decontaminate, pii, quality, simhash
 from quire.llm.common import table
-from quire.llm.registry import BPE_FILE
+from quire.llm.registry import BPE_FILE, documents
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +54,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs

@@ -19,6 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table as read, dealt anew only where its files make fewer partitions than there are cores: small inputs in one file. Larger ones are left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _shared_folder(df: DataFrame) -> str:
     """The checkpoint folder below the one that spark.checkpoint.dir names.
 

@@ -7,32 +7,36 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import byte_bpe, chat, decontaminate, licenses, pii, quality, sharding, simhash, substrings, token_counts
-from quire.llm.common import table
+from quire.llm.common import spread, table
 
 BPE_FILE, PIECE_FILE = "byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model"
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = byte_bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_FILE), public_tokenizers.PATTERN)
+    out = byte_bpe.encode_decode(documents(spark, sf_dir), public_tokenizers.path(BPE_FILE), public_tokenizers.PATTERN)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.repeats(table(spark, sf_dir, "documents"))
+    return substrings.repeats(documents(spark, sf_dir))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality.judged(table(spark, sf_dir, "documents"))
+    out = quality.judged(documents(spark, sf_dir))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    out = decontaminate.contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_FILE), limit=4096)
+    out = token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path(PIECE_FILE), limit=4096)
     return out.select("doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars")
 
 
@@ -41,12 +45,12 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    out = simhash.near_duplicates(documents(spark, sf_dir))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pii.detect(table(spark, sf_dir, "documents"))
+    out = pii.detect(documents(spark, sf_dir))
 
     def digest(spans: str) -> Column:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
@@ -58,7 +62,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = licenses.scan(table(spark, sf_dir, "documents"))
+    out = licenses.scan(documents(spark, sf_dir))
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
 
 
