@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.sources.triples import TYPE
 
+#: Name spaces of the encodings and the collection they belong to.
 BK = "https://gams.uni-graz.at/o:depcha.bookkeeping#"
 GAMS = "https://gams.uni-graz.at/o:gams-ontology#"
 COLLECTION = "https://gams.uni-graz.at/context:arec"
