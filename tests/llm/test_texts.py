@@ -116,6 +116,19 @@ def test_quality_on_held_out_labels(spark):
     assert sum(r["kept"] == (r["quality"] == 1) for r in rows) >= 0.97 * len(rows)
 
 
+@pytest.mark.parametrize("junk", [0, 1, 40])
+def test_clean_texts_stay_whatever_the_share_of_junk(junk):
+    rng = random.Random(junk)
+    word = lambda: "".join(rng.choice(("ka", "ro", "mi", "te", "su")) for _ in range(rng.randint(1, 4)))
+    clean = [" ".join(word() + ("." if i % 11 == 10 else "") for i in range(rng.randint(60, 300))) for _ in range(300)]
+    texts = clean + ["| " + " | ".join(word() for _ in range(80)), "Same old line of words.\n" * 40, "AGAIN " * 90, "%%% &&& " * 60] * junk
+    found = [quality.measures(t.encode(), t) for t in texts]
+    patterns = [quality.pattern(quality.votes(m)) for m in found]
+    model = quality.fit({p: patterns.count(p) for p in set(patterns)})
+    kept = [not quality.base_failed(m) and model.posterior(quality.unpack(p)) >= quality.THRESHOLD for m, p in zip(found, patterns)]
+    assert all(kept[:300]) and not any(kept[300:])
+
+
 ITEMS = [(1, PROSE * 2), (2, "two scribes and"), (3, None), (4, ""), (1, PROSE * 2), (None, "漢字 🙂 end of"), (5, "one two three four five six seven eight nine ten eleven twelve thirteen fourteen")]
 
 
