@@ -1,7 +1,7 @@
 """License scans: an exact containment join of text blocks with license templates.
 
-A block is a sentence of a line. A template's words, as a set, are contained in a block to the degree |T n B| / |T|; blocks that reach the
-threshold match. Words are ordered by how many blocks of the whole corpus hold them, rarest first. A block with enough of a template
+A block is a sentence of a line, or a sentence that goes on over single line breaks (license texts are usually hard-wrapped). A template's words, as a set, are contained in a block to the degree |T n B| / |T|; blocks that reach the
+threshold match; in a block of several lines, which may be a long list without marks, the words must stand within SPAN times the template's length. Words are ordered by how many blocks of the whole corpus hold them, rarest first. A block with enough of a template
 must hold one of the first |T| - need + 1 of its words (prefix filter), must itself have ``need`` words (length filter), and where
 its first common word stands at place i of the template, need - 1 more must fit after it (positional filter, likewise for what remains of the block).
 Only the words of templates need frequencies, so their table is as large as the templates', however large the corpus.
@@ -49,6 +49,8 @@ TEMPLATES: list[tuple[str, str]] = [
     ("warranty", "The software is provided as is, without warranty of any kind, express or implied"),
 ]
 THRESHOLD = 0.8
+#: A sentence over several lines holds a template's words within so many times the template's length; the rest is for line prefixes and insertions.
+SPAN = 2
 
 _block = re.compile(UNIT.encode()).findall
 
@@ -70,11 +72,11 @@ class Scanner:
             need = need_of(len(words), threshold)
             for place in range(len(words) - need + 1):
                 self.index.setdefault(words[place], []).append((len(self.templates), place))
-            self.templates.append((label, words, need))
+            self.templates.append((label, words, need, SPAN * len(words_of(text.encode()))))
         self.keys = frozenset(self.index)
 
-    def block(self, words: list[bytes]) -> list[tuple[str, float]]:
-        """(label, containment) of the templates that a block holds."""
+    def _held(self, words: list[bytes]) -> list[tuple[int, int]]:
+        """(template, overlap) of the templates that a block holds."""
         if self.keys.isdisjoint(words):
             return []
         have = set(words)
@@ -86,19 +88,65 @@ class Scanner:
                 if t in seen:
                     continue
                 seen.add(t)
-                label, wanted, need = self.templates[t]
+                _, wanted, need, _ = self.templates[t]
                 if len(have) < need or len(wanted) - place < need or len(common) - rank[word] < need:
                     continue
                 overlap = sum(1 for w in wanted if w in have)
                 if overlap >= need:
-                    found.append((label, overlap / len(wanted)))
+                    found.append((t, overlap))
         return found
 
+    def block(self, words: list[bytes]) -> list[tuple[str, float]]:
+        """(label, containment) of the templates that a block holds."""
+        return [(self.templates[t][0], overlap / len(self.templates[t][1])) for t, overlap in self._held(words)]
+
+    def wrapped(self, words: list[bytes]) -> list[tuple[str, float]]:
+        """Likewise of a sentence over several lines."""
+        found = []
+        for t, _ in self._held(words):
+            label, wanted, need, width = self.templates[t]
+            overlap = densest(words, frozenset(wanted), width)
+            if overlap >= need:
+                found.append((label, overlap / len(wanted)))
+        return found
+
+
+def densest(words: list[bytes], wanted: frozenset, width: int) -> int:
+    """The most different wanted words among ``width`` consecutive words."""
+    places = [i for i, w in enumerate(words) if w in wanted]
+    counts: Counter = Counter()
+    best = low = 0
+    for i in places:
+        counts[words[i]] += 1
+        while places[low] <= i - width:
+            word = words[places[low]]
+            counts[word] -= 1
+            if not counts[word]:
+                del counts[word]
+            low += 1
+        best = max(best, len(counts))
+    return best
+
 
 def blocks(utf8: bytes) -> list[list[bytes]]:
     return [words for piece in _block(utf8) if (words := words_of(piece))]
 
 
+def lines_and_sentences(utf8: bytes) -> tuple[list[list[bytes]], list[tuple[int, int]]]:
+    """The blocks within lines, and (first, end) of those that make up a sentence over several lines: no mark and no blank line between."""
+    lines, sentences, first = [], [], 0
+    for piece in _block(utf8):
+        if words := words_of(piece):
+            lines.append(words)
+        if piece.count(b"\n") != 1 or piece.rstrip()[-1:] in b".!?":
+            if len(lines) - first > 1:
+                sentences.append((first, len(lines)))
+            first = len(lines)
+    if len(lines) - first > 1:
+        sentences.append((first, len(lines)))
+    return lines, sentences
+
+
 def phrase_places(words: list[bytes]) -> list[tuple[int, str]]:
     """(word number, label) of all places of the fixed phrases."""
     out = []
@@ -135,19 +183,27 @@ def frequencies(df: DataFrame, templates: list[tuple[str, str]], text_col: str =
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """Rows (id, n_words, n_base, first_word, last_word, base_labels, labels, score, matches).
 
-    score: the largest containment of a matching block, 0 without one. matches: array of (block number, label, containment).
+    score: the largest containment of a matching block, 0 without one. matches: array of (block number, label, containment);
+    of a sentence over several lines the number of its first, unless one of the lines holds as much by itself.
     """
     scanner = Scanner(templates, frequencies(df, templates, text_col), threshold)
 
     def each(utf8: bytes, _: str) -> tuple:
         n, score, labels, matches = 0, 0.0, set(), []
-        per_block = blocks(utf8)
+        per_block, sentences = lines_and_sentences(utf8)
         for k, words in enumerate(per_block):
             n += len(words)
             for label, share in scanner.block(words):
                 labels.add(label)
                 score = max(score, share)
                 matches.append({"block": k, "label": label, "containment": share})
+        for first, end in sentences:
+            for label, share in scanner.wrapped([w for words in per_block[first:end] for w in words]):
+                if any(first <= m["block"] < end and m["label"] == label and m["containment"] >= share for m in matches):
+                    continue
+                labels.add(label)
+                score = max(score, share)
+                matches.append({"block": first, "label": label, "containment": share})
         places = phrase_places([w for words in per_block for w in words])
         base = {label for _, label in places}
         return n, len(places), places[0][0] if places else None, places[-1][0] if places else None, sorted(base), sorted(base | labels), score, matches

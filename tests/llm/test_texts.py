@@ -260,3 +260,21 @@ def test_containment_join_is_exact(block, frequency):
     have = set(block)
     want = sorted((label, len(set(t.split()) & have) / len(set(t.split()))) for label, t in templates if 10 * len(set(t.split()) & have) >= 8 * len(set(t.split())))
     assert sorted(scanner.block([w.encode() for w in block])) == want
+
+
+WRAPPED = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal",
+    "bsd": " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met:",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any\r\npurpose with or without fee is hereby granted, provided that",
+    "lgpl": "# This library is free software; you can redistribute it and/or\n# modify it under the terms of the GNU Lesser General Public\n# License as published",
+    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed",
+}
+
+
+def test_wrapped_licenses(spark):
+    rows = [*WRAPPED.items(), ("apart", WRAPPED["mit"].replace("\n", "\n\n")), ("list", "released\n" + "x\n" * 30 + "under\nthe\n" + "y\n" * 30 + "license\nmit")]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    for label in WRAPPED:
+        assert label in got[label]["labels"] and got[label]["score"] >= 0.8
+        assert [m["block"] for m in got[label]["matches"] if m["label"] == label] == [0]
+    assert got["apart"]["labels"] == got["list"]["labels"] == []
