@@ -32,8 +32,8 @@ _FORMATS = {
 #: Text that must be there for a format to match; saves the pattern on most texts.
 _NEEDS = {"email": "@", "phone": "+"}
 #: A name and its separator before a value; and a token with a digit.
-_NAMED = r"(?<![A-Za-z0-9_])[A-Za-z_]{2,24}+ ?[=:] ?[\"']?[^\s\"'=:;,<>()|]{4,80}+"
-_TOKEN = r"(?<!\S)(?=[^\s0-9]{0,80}[0-9])\S{5,80}+(?!\S)"
+_NAMED = r"(?<![A-Za-z0-9_])[A-Za-z_]{2,}+ ?[=:] ?[\"']?[^\s\"'=:;,<>()|]{4,}+"
+_TOKEN = r"(?<!\S)(?=[^\s0-9]*+[0-9])\S{5,}+"
 _SECRET = r"(?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])[0-9a-f]{16,64}"
 #: Distinct seeds a pattern needs, the share of known values, and rounds.
 SUPPORT, CONFIDENCE, ROUNDS = 3, 0.7, 3
@@ -93,7 +93,7 @@ def _seed(value: Column) -> Column:
 
 def _trimmed(value: Column) -> Column:
     """Without closing punctuation and symbols."""
-    return F.regexp_replace(value, r"[^\p{L}\p{N}]++$", "")
+    return F.regexp_replace(value, r"(?<![^\p{L}\p{N}])[^\p{L}\p{N}]++$", "")
 
 
 def _base_spans(kind: str) -> Column:
@@ -122,10 +122,9 @@ def extract(df: DataFrame, text: Column) -> DataFrame:
         lead = F.regexp_extract(match, r"^[^\p{L}\p{N}+]*", 0)
         value = _trimmed(F.substring(match, F.length(lead) + 1, F.length(match)))
         gap_start = F.when(i > 0, F.col("__s_token")[i - 1] + F.length(F.col("__m_token")[i - 1])).otherwise(0)
-        # The two words before; a text's stretch between two candidates is cut to what they can take.
-        length = F.least(F.col("__s_token")[i] - gap_start, F.lit(60))
-        gap = F.substring(F.col("__text"), F.col("__s_token")[i] - length + 1, length)
-        cue = F.lower(F.regexp_extract(gap, r"(?<!\S)(\S{1,24} \S{1,24}) $", 1))
+        # The two words before, at the end of the text's stretch between two candidates: it is cut at the third space from its end.
+        gap = F.substring(F.col("__text"), gap_start + 1, F.col("__s_token")[i] - gap_start)
+        cue = F.lower(F.regexp_extract(F.substring_index(gap, " ", -3), r"(?<!\S)(\S++ \S++) $", 1))
         return _candidate(False, cue, value, F.col("__s_token")[i] + F.length(lead))
 
     both = F.concat(F.transform("__m_named", named), F.transform("__m_token", worded))

@@ -82,6 +82,17 @@ def test_contexts_are_learned_and_find_unseen_values(spark):
         assert clean[24] == "api_key=[SECRET] mail [EMAIL]"
 
 
+def test_values_are_found_whole_whatever_their_length(spark):
+    keys, long, name, word = secrets(6), "k9-" * 41 + "end", "secret_of_the_service_account_in_use", "w" * 90
+    rows = [(i, f"{cue}{k} follow") for cue, at in (('token = "', 0), (f"{name}=", 10), (f"use {word} ", 20)) for i, k in enumerate(keys, at)]
+    rows += [(40, f'here token = "{long}" ends'), (41, f"here {name}=hunter-two ends"), (42, f"use {word} {long}, ends"), (43, "1" + "-" * 60_000 + "a " + "#" * 60_000)]
+    df, text = spark.createDataFrame(rows, "doc_id long, text string"), dict(rows)
+    found = {r["doc_id"]: [text[r["doc_id"]][s["start"] : s["end"]] for s in r["spans"]] for r in pii.detect(df).collect()}
+    assert found[40] == found[42] == [long] and found[41] == ["hunter-two"] and found[43] == []
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
+    assert clean[40] == 'here token = "[SECRET]" ends' and clean[42] == f"use {word} [SECRET], ends"
+
+
 def test_patterns_need_distinct_seeds(spark):
     rows = [(i, f"api_key={secrets(1)[0]} again") for i in range(9)] + [(50, "api_key=other-value")]
     assert all(not r["spans"] for r in pii.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect())
