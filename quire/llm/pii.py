@@ -3,8 +3,8 @@
 Base spans have fixed formats (e-mail, IP, card, phone). Their values, and long mixed hexadecimal strings, seed the bootstrap. A
 candidate is an identifier-like value with the lexical pattern to its left: a name with its separator (``token = "``), or the
 two words before it. Patterns and the distinct values they hold form a graph. A round scores each pattern by the share of its
-values that are known as one kind, weighing values found so far by their best pattern; patterns with enough distinct seeds and a high
-share are accepted, and the values they hold are known in the next round. The candidates that accepted patterns hold are
+values that are known as one kind, weighing values found so far by their best pattern; patterns with enough distinct known values and a high
+share are accepted and keep their kind, and the values they hold are known in the next round, until no pattern is added and no score rises. The candidates that accepted patterns hold are
 spans of the pattern's kind, seen before or not, unless a base span lies there.
 
 All formats are written so that a failed place is not tried again from within (possessive runs, starts at the edge of a run), so a
@@ -35,8 +35,10 @@ _NEEDS = {"email": "@", "phone": "+"}
 _NAMED = r"(?<![A-Za-z0-9_])[A-Za-z_]{2,}+ ?[=:] ?[\"']?[^\s\"'=:;,<>()|]{4,}+"
 _TOKEN = r"(?<!\S)(?=[^\s0-9]*+[0-9])\S{5,}+"
 _SECRET = r"(?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])[0-9a-f]{16,64}"
-#: Distinct seeds a pattern needs, the share of known values, and rounds.
-SUPPORT, CONFIDENCE, ROUNDS = 3, 0.7, 3
+#: Distinct known values a pattern needs, and their share.
+SUPPORT, CONFIDENCE = 3, 0.7
+#: Rounds go on until no score rises by more than this.
+SETTLED = 0.01
 #: Accepted patterns up to this number are kept in the plan as a constant when texts are redacted.
 INLINE_PATTERNS = 2_000
 
@@ -140,18 +142,31 @@ def _candidate(named: bool, pattern: Column, value: Column, start: Column) -> Co
     return F.struct(F.lit(named).alias("named"), pattern.alias("pattern"), value.alias("value"), start.cast("int").alias("start"), (start + F.length(value)).cast("int").alias("end"))
 
 
-def accepted_patterns(candidates: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
-    """Rows (pattern, kind, score) from candidates (pattern, value, seed): one kind for each accepted pattern."""
+def accepted_patterns(candidates: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int | None = None) -> DataFrame:
+    """Rows (pattern, kind, score) from candidates (pattern, value, seed): one kind for each accepted pattern.
+
+    rounds: at most so many; by default until nothing changes.
+    """
     edges = checkpointed(candidates.groupBy("pattern", "value").agg(F.max("seed").alias("seed")))
     sizes = edges.groupBy("pattern").agg(F.count("*").alias("n"))
     seeds = edges.where("seed IS NOT NULL").select("value", F.col("seed").alias("kind"), F.lit(1.0).alias("known")).distinct()
-    supported = edges.where("seed IS NOT NULL").groupBy("pattern", F.col("seed").alias("kind")).agg(F.count("*").alias("seeds")).where(F.col("seeds") >= support)
-    known, accepted = seeds, None
-    for _ in range(rounds):
-        mass = edges.join(known, "value").groupBy("pattern", "kind").agg(F.sum("known").alias("mass"))
-        scored = mass.join(supported, ["pattern", "kind"]).join(sizes, "pattern").withColumn("score", F.col("mass") / F.col("n"))
+    known = seeds
+    accepted = candidates.sparkSession.createDataFrame([], "pattern string, kind string, score double")
+    done = 0
+    while rounds is None or done < rounds:
+        # Seeds and values found in earlier rounds both support a pattern; edges and known are distinct.
+        mass = edges.join(known, "value").groupBy("pattern", "kind").agg(F.sum("known").alias("mass"), F.count("*").alias("support")).where(F.col("support") >= support)
+        held = accepted.select("pattern", F.col("kind").alias("held"), F.col("score").alias("before"))
+        scored = mass.join(sizes, "pattern").join(held, "pattern", "left").withColumn("score", F.greatest(F.col("mass") / F.col("n"), F.coalesce("before", F.lit(0.0))))
+        scored = scored.where((F.col("score") >= confidence) & (F.col("held").isNull() | (F.col("held") == F.col("kind"))))
         # One kind has the majority of a pattern's values, as the share must pass a half.
-        accepted = checkpointed(scored.where(F.col("score") >= confidence).groupBy("pattern").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"), F.max("score").alias("score")))
+        best = scored.groupBy("pattern").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"), F.max("score").alias("score"), F.max(F.coalesce("before", F.lit(0.0))).alias("before"))
+        best = checkpointed(best)
+        accepted = best.drop("before")
+        done += 1
+        # A new pattern's score rises from nothing.
+        if (best.agg(F.max(F.col("score") - F.col("before"))).first()[0] or 0.0) <= SETTLED:
+            break
         found = edges.where("seed IS NULL").join(accepted, "pattern").select("value", "kind", F.col("score").alias("known"))
         known = seeds.union(found).groupBy("value", "kind").agg(F.max("known").alias("known"))
     return accepted

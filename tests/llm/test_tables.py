@@ -93,6 +93,14 @@ def test_values_are_found_whole_whatever_their_length(spark):
     assert clean[40] == 'here token = "[SECRET]" ends' and clean[42] == f"use {word} [SECRET], ends"
 
 
+def test_found_values_support_further_patterns(spark):
+    ids = [f"ID-{k}-zx" for k in range(40)]
+    hops = [("token = ", secrets(8) + ids[:3]), ("ticket: ", ids[:4]), ("label: ", ids[1:5]), ("other: ", ids[4:8])]
+    rows = [(100 * h + i, f"some {cue}{v} here") for h, (cue, values) in enumerate(hops) for i, v in enumerate(values)]
+    got = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in pii.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(kinds == (["secret"] if d < 300 else []) for d, kinds in got.items()) and len(got) == len(rows)
+
+
 def test_patterns_need_distinct_seeds(spark):
     rows = [(i, f"api_key={secrets(1)[0]} again") for i in range(9)] + [(50, "api_key=other-value")]
     assert all(not r["spans"] for r in pii.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect())
