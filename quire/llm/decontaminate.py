@@ -215,13 +215,15 @@ def _shuffled(documents: DataFrame, items: DataFrame, id_col: str, text_col: str
         n = len(words_of(utf8))
         return _prints([level_of(n, window)] if n else [])(utf8, text)
 
-    index = map_texts(items, {"item": F.col("item"), "item_text": F.col("item_text")}, F.col("item_text"), own_level, _PRINTS).select("item", F.inline("prints")).withColumnRenamed("at", "item_at")
+    # An item is its id and its text: ids may repeat, or be missing, with different texts.
+    items = items.distinct().withColumn("item_key", F.sha2(F.col("item_text"), 256))
+    index = map_texts(items, {"item": F.col("item"), "item_key": F.col("item_key")}, F.col("item_text"), own_level, _PRINTS).select("item", "item_key", F.inline("prints")).withColumnRenamed("at", "item_at")
     # The text itself tells repeated or missing ids apart, and takes equal documents together.
     texts = documents.select(F.coalesce(F.col(text_col), F.lit("")).alias("__t"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("__key"), F.col(id_col).alias("__id"))
     distinct = texts.groupBy("__key").agg(F.min("__t").alias("__t"))
     prints = map_texts(distinct, {"__key": F.col("__key")}, F.col("__t"), _prints(levels), _PRINTS).select("__key", F.inline("prints"))
-    by_item = prints.join(index, ["level", "print"]).groupBy("__key", "item").agg(F.collect_list(F.struct("at", "item_at")).alias("places"))
-    by_text = by_item.join(items.distinct(), "item").groupBy("__key").agg(F.collect_list(F.struct("item", "item_text", "places")).alias("hits"))
+    by_item = prints.join(index, ["level", "print"]).groupBy("__key", "item", "item_key").agg(F.collect_list(F.struct("at", "item_at")).alias("places"))
+    by_text = by_item.join(items, ["item", "item_key"]).groupBy("__key").agg(F.collect_list(F.struct("item", "item_text", "places")).alias("hits"))
     joined = distinct.join(by_text, "__key", "left").select("__key", "__t", "hits")
 
     def run(batches):

@@ -278,3 +278,15 @@ def test_wrapped_licenses(spark):
         assert label in got[label]["labels"] and got[label]["score"] >= 0.8
         assert [m["block"] for m in got[label]["matches"] if m["label"] == label] == [0]
     assert got["apart"]["labels"] == got["list"]["labels"] == []
+
+
+@pytest.mark.parametrize("bound", [1 << 20, 0])
+def test_items_that_repeat_an_id_with_other_texts(spark, bound):
+    long, short = " ".join(f"q{i}" for i in range(40)), " ".join(f"r{i}" for i in range(14))
+    items = [(1, long), (1, short), (None, short + " end"), (None, long + " more"), (1, short)]
+    texts = ["x y " + long + " z", "a " + short + " b", short + " end " + long, "none of it"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = decontaminate.contamination(docs, spark.createDataFrame(items, "item_id long, text string"), broadcast_bytes=bound).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert (r["n_words"], r["n_hit"], r["n_items"], r["items"], r["contaminated"]) == brute.contamination(texts[r["doc_id"]], [("null" if i is None else i, t) for i, t in items])
