@@ -10,9 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: An Arrow batch sent to Python ends at this many rows or bytes, so that very long texts do not pile up.
+#: Python works on so many rows of an Arrow batch at a time.
 BATCH_ROWS = 512
-BATCH_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +48,13 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, whose bytes Spark bounds (64 MB unless the session says otherwise), in slices of at most BATCH_ROWS rows, so that what is made of texts does not pile up."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, BATCH_ROWS):
+            yield batch.slice(at, BATCH_ROWS)
+
+
 def map_texts(
     df: DataFrame,
     keys: dict[str, Column],
@@ -61,15 +67,12 @@ def map_texts(
     keys: output name to column. fields: name, DDL type and Arrow type of each returned value. A null text is
     handed over as an empty one. Rows are streamed in batches bounded by rows and bytes; no row waits for another.
     """
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     names = list(keys)
     picked = df.select(*[c.alias(n) for n, c in keys.items()], F.coalesce(text, F.lit("")).alias("__text"))
     ddl = ", ".join([f"`{n}` {picked.schema[n].dataType.simpleString()}" for n in names] + [f"`{n}` {t}" for n, t, _ in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(len(names)).to_pylist()
             rows = [each(t.encode("utf-8"), t) for t in texts]
             columns = list(zip(*rows)) if rows else [[] for _ in fields]
@@ -105,14 +108,23 @@ class Recent(dict):
 
 def filter_texts(df: DataFrame, text_col: str, keep: Callable[[bytes, str], bool]) -> DataFrame:
     """The rows, all columns as they are, whose text (null: empty) ``keep`` accepts. One pass, no shuffle."""
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(at).to_pylist()
             yield batch.filter(pa.array([keep((t or "").encode("utf-8"), t or "") for t in texts], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
+
+
+def replace_texts(df: DataFrame, text_col: str, make: Callable[[bytes, str], str]) -> DataFrame:
+    """The rows, all columns as they are but for the text, which ``make`` gives anew; a null text stays. One pass, no shuffle."""
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            texts = [None if t is None else make(t.encode("utf-8"), t) for t in batch.column(at).to_pylist()]
+            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+
+    return df.mapInArrow(run, df.schema)

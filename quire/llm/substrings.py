@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import BATCH_BYTES, BATCH_ROWS, checkpointed, written
+from quire.llm.common import checkpointed, sliced, written
 
 MIN_WORDS = 10
 #: Bytes of a digest: 96 bits leave no likely collision among 10**12 units.
@@ -71,9 +71,6 @@ _ROWS = 50_000
 
 def unit_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows (id, __row, unit, start, end, n_words, digest)."""
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     picked = df.select(F.col(id_col).alias("__id"), F.monotonically_increasing_id().alias("__row"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     names = ["__id", "__row", *_UNITS]
 
@@ -83,7 +80,7 @@ def unit_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *columns], names=names)
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             of: list[int] = []
             rows: list[tuple] = []
             for i, text in enumerate(batch.column(2).to_pylist()):

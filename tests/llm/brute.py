@@ -29,17 +29,25 @@ def quality(text):
     return n, sum(map(len, words)), sum(text.count(c) for c in "#*$%&|<>"), dup, len(covered), n < 50 or 100 * len(covered) > 50 * n
 
 
-def contamination(text, items, window=13):
-    words, hit, found = TEXT_WORD.findall(lower(text or "")), set(), set()
+def windows_of(text, items, window):
+    """(item, first word, end) of the windows in the text."""
+    words = TEXT_WORD.findall(lower(text or ""))
     for name, item in items:
         other = TEXT_WORD.findall(lower(item or ""))
         size = min(window, len(other))
         wins = {tuple(other[i : i + size]) for i in range(len(other) - size + 1)} if other else set()
         for i in range(len(words) - size + 1):
             if size and tuple(words[i : i + size]) in wins:
-                hit |= set(range(i, i + size))
-                found.add(str(name))
-    return len(words), len(hit), len(found), sorted(found), bool(hit) and 20 * len(hit) >= len(words)
+                yield str(name), i, i + size
+
+
+def hit_words(text, items, window=13):
+    return {k for _, a, b in windows_of(text, items, window) for k in range(a, b)}
+
+
+def contamination(text, items, window=13):
+    n, hit, found = len(TEXT_WORD.findall(lower(text or ""))), hit_words(text, items, window), {x[0] for x in windows_of(text, items, window)}
+    return n, len(hit), len(found), sorted(found), bool(hit) and 20 * len(hit) >= n
 
 
 def fingerprint(text):

@@ -140,19 +140,38 @@ def test_decontamination_both_ways(spark, docs, none, bound):
     items = [("null" if i is None else i, t) for i, t in ITEMS]
     for r in rows:
         assert (r["n_words"], r["n_hit"], r["n_items"], r["items"], r["contaminated"]) == brute.contamination(TEXTS[r["doc_id"]], items)
-    clean = decontaminate.keep_clean(docs, bench, broadcast_bytes=bound)
-    assert sorted(r["doc_id"] for r in clean.collect()) == sorted(r["doc_id"] for r in rows if not r["contaminated"])
+    for r in rows:
+        assert_spans(TEXTS[r["doc_id"]], items, r)
+    for share in (0.0, 0.05):
+        clean = decontaminate.keep_clean(docs, bench, broadcast_bytes=bound, share=share)
+        assert clean.columns == docs.columns
+        assert sorted(r["doc_id"] for r in clean.collect()) == sorted(r["doc_id"] for r in rows if not (r["contaminated"] if share else r["n_hit"]))
+    cut = decontaminate.cut_passages(docs, bench, broadcast_bytes=bound)
+    assert cut.columns == docs.columns and cut.count() == len(rows) and decontaminate.cut_passages(none, bench, broadcast_bytes=bound).count() == 0
+    found = {r["doc_id"]: r["spans"] for r in rows}
+    for r in cut.collect():
+        text = TEXTS[r["doc_id"]]
+        want = None if text is None else "".join(c for i, c in enumerate(text) if not any(s["start"] <= i < s["end"] for s in found[r["doc_id"]][:200])) if len(text) < 5000 else r["text"]
+        assert r["text"] == want and r["n_tokens"] == "clash"
     assert decontaminate.contamination(none, bench, broadcast_bytes=bound).count() == 0
     empty = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contamination(docs, empty, broadcast_bytes=bound).where("contaminated").count() == 0
 
 
+def assert_spans(text, items, row):
+    """The spans hold the hit words and no others."""
+    hit, words = brute.hit_words(text, items), list(brute.TEXT_WORD.finditer(brute.lower(text or "")))
+    inside = {k for k, m in enumerate(words) if any(s["start"] <= m.start() and m.end() <= s["end"] for s in row["spans"])} if len(words) < 5000 else hit
+    assert inside == hit and all(a["end"] < b["start"] for a, b in zip(row["spans"], row["spans"][1:]))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sampled_from("abc"), max_size=60), st.lists(st.sampled_from("abc"), min_size=1, max_size=30))
 def test_winnowing_misses_no_window(doc, item):
     index = decontaminate.Index([("i", " ".join(item).encode())], 13)
     words = decontaminate.words_of(" ".join(doc).encode())
-    got = decontaminate._row(words, index.matches(decontaminate.word_hashes(words)), index.items.__getitem__, 13)
+    row = decontaminate._row(" ".join(doc), words, index)
+    got = (*row[:4], row[5])
     assert got == brute.contamination(" ".join(doc), [("i", " ".join(item))])
 
 
@@ -290,3 +309,21 @@ def test_items_that_repeat_an_id_with_other_texts(spark, bound):
     assert len(rows) == len(texts)
     for r in rows:
         assert (r["n_words"], r["n_hit"], r["n_items"], r["items"], r["contaminated"]) == brute.contamination(texts[r["doc_id"]], [("null" if i is None else i, t) for i, t in items])
+
+
+@pytest.mark.parametrize("bound", [1 << 20, 0])
+def test_random_items_with_repeated_ids_and_stock_phrases(spark, bound):
+    rng = random.Random(11)
+    stock = " ".join(f"s{i}" for i in range(15))
+    word = lambda: rng.choice("abcdefghij")
+    items = [(rng.choice([1, 2, 3, None]), " ".join([*(word() for _ in range(rng.randint(0, 20))), *([stock] if rng.random() < 0.6 else []), *(word() for _ in range(rng.randint(0, 20)))])) for _ in range(30)]
+    texts = [" ".join([*(word() for _ in range(rng.randint(0, 40))), *([stock] if rng.random() < 0.5 else []), *([rng.choice(items)[1].upper()] if rng.random() < 0.5 else [])]) for _ in range(40)]
+    texts += ["own " * 5000 + " ".join(items[0][1].split()[:13]) + " tail"]
+    named = [("null" if i is None else i, t) for i, t in items]
+    docs = spark.createDataFrame([*enumerate(texts), (None, texts[0])], "doc_id long, text string").repartition(3)
+    rows = decontaminate.contamination(docs, spark.createDataFrame(items, "item_id long, text string"), broadcast_bytes=bound).collect()
+    assert len(rows) == len(texts) + 1
+    for r in rows:
+        text = texts[r["doc_id"] or 0]
+        assert (r["n_words"], r["n_hit"], r["n_items"], r["items"], r["contaminated"]) == brute.contamination(text, named)
+        assert_spans(text, named, r)
