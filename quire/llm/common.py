@@ -27,11 +27,15 @@ def spread(df: DataFrame) -> DataFrame:
 def _shared_folder(df: DataFrame) -> str:
     """The checkpoint folder below the one that spark.checkpoint.dir names.
 
-    A folder of our own is made only where neither the setting nor a checkpoint folder is there (local tests).
+    A folder of our own is made only on a single machine where neither the setting nor a checkpoint folder is there (local tests); on a cluster
+    a folder that the executors do not share would lose what they write, so its lack is an error.
     """
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quire-ckpt-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc._jsc.sc().isLocal():
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quire-ckpt-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -42,9 +46,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a Parquet table in the checkpoint folder: for many rows, a third of a checkpoint's size. It stays with that folder."""
+    """Cut the lineage with a Parquet table in the checkpoint folder: for many rows, a third of a checkpoint's size. It goes when the application ends."""
     path = f"{_shared_folder(df)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -1,14 +1,16 @@
-"""Substring dedup by hashing lines cut into sentences.
+"""Substring dedup by hashing lines, or lines cut into sentences.
 
-A unit is a sentence of a line: it ends with the line, or at marks of [.!?] before white space. Long sentences are cut further, at words that their own
-letters pick, so that a passage is cut alike wherever it stands. Units are compared as their words, A-Z in lower case, single spaces between them; digests are grouped over all documents, and the occurrence of least rank
+Units are whole lines (``unit="line"``) or, by default, sentences of lines: a sentence ends with the line, or at marks of [.!?] before white space. Long
+sentences are cut further, at words that their own letters pick, so that a passage is cut alike wherever it stands, also in the middle of a line. Units are
+compared as their words, A-Z in lower case, single spaces between them; digests are grouped over all documents, and the occurrence of least rank
 (id, then place) is kept. The others are removed where they stand in runs: consecutive repeated units of a document of at least ``min_words``
-words together. So a passage copied into other text is found by the units inside it, and a short sentence that many texts share by chance stays.
+words together. So a passage copied into other text is found by the units inside it, and a short sentence that many texts share by chance stays. With
+``min_words=1`` every later occurrence of a unit is removed, however short.
 
-Offsets are code points of the original text, ends exclusive; white space after a unit is not part of it.
+Offsets are code points of the original text, ends exclusive; white space round a unit is not part of it.
 
-A null text has no units. Rows are told apart by a number of their own: a repeated row, or one with a null id (ranked last), is an occurrence
-like any other. Only the id and text columns are read. An empty table gives no rows.
+A null text has no units, an empty one or one of white space neither. Rows are told apart by a number of their own: a repeated row, or one with a null id (ranked last), is an occurrence
+like any other; of two rows with one id the one that Spark numbers first. Very long texts give their rows in batches. Only the id and text columns are read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +25,8 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import checkpointed, sliced, written
 
-MIN_WORDS = 10
+#: A run of fewer repeated words stays. Lines and sentences that unrelated texts share by chance are shorter; copied passages are longer.
+MIN_WORDS = 20
 #: Bytes of a digest: 96 bits leave no likely collision among 10**12 units.
 DIGEST = 12
 #: A unit with the white space after it; the matches cover the text. RE2 reads it alike.
@@ -33,6 +36,7 @@ UNIT = r"(?:[^.!?\n]+|[.!?]+[^.!?\s])*[.!?]*[ \t\n\r\f\v]*"
 LONG_WORDS, PIECE_WORDS, ANCHOR = 16, 6, 6
 
 _unit = re.compile(UNIT, re.ASCII).finditer
+_line = re.compile(r"[^\n]+").finditer
 _word = re.compile(r"[^ \t\n\r\f\v]+").finditer
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -42,15 +46,15 @@ def _anchor(word: str) -> bool:
     return (7 * len(word) + 3 * ord(word[0]) + ord(word[-1])) % ANCHOR == 0
 
 
-def units(text: str) -> Iterator[tuple[int, int, int, bytes]]:
+def units(text: str, unit: str = "sentence") -> Iterator[tuple[int, int, int, bytes]]:
     """(start, end, words, digest) of the units of a text that have words."""
-    for m in _unit(text):
+    for m in (_line if unit == "line" else _unit)(text):
         at = m.start()
         words = [(w.start() + at, w.end() + at, w.group()) for w in _word(m.group().translate(_UPPER))]
         if not words:
             continue
         cuts = [len(words)]
-        if len(words) > LONG_WORDS:
+        if len(words) > LONG_WORDS and unit != "line":
             cuts, last = [], 0
             for i, (_, _, w) in enumerate(words, 1):
                 if i - last >= PIECE_WORDS and _anchor(w):
@@ -69,7 +73,7 @@ _UNITS = {"unit": pa.int32(), "start": pa.int32(), "end": pa.int32(), "n_words":
 _ROWS = 50_000
 
 
-def unit_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def unit_rows(df: DataFrame, id_col: str, text_col: str, unit: str) -> DataFrame:
     """Rows (id, __row, unit, start, end, n_words, digest)."""
     picked = df.select(F.col(id_col).alias("__id"), F.monotonically_increasing_id().alias("__row"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     names = ["__id", "__row", *_UNITS]
@@ -84,7 +88,7 @@ def unit_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             of: list[int] = []
             rows: list[tuple] = []
             for i, text in enumerate(batch.column(2).to_pylist()):
-                for k, found in enumerate(units(text)):
+                for k, found in enumerate(units(text, unit)):
                     of.append(i)
                     rows.append((k, *found))
                     if len(of) >= _ROWS:
@@ -96,9 +100,14 @@ def unit_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return picked.mapInArrow(run, f"__id {kind}, __row long, unit int, start int, `end` int, n_words int, digest binary")
 
 
-def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """Rows (id, start, end, n_words, first_id, first_start) of the units to remove; first_*: the kept occurrence."""
-    rows = written(unit_rows(df, id_col, text_col))
+def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, unit: str = "sentence") -> DataFrame:
+    """Rows (id, start, end, n_words, first_id, first_start) of the units to remove; first_*: the kept occurrence.
+
+    unit: "sentence" or "line".
+    """
+    if unit not in ("sentence", "line"):
+        raise ValueError(f"no such unit: {unit}")
+    rows = written(unit_rows(df, id_col, text_col, unit))
     rank = F.struct(F.col("__id").isNull().alias("late"), F.col("__id").alias("id"), F.col("__row").alias("row"), F.col("start").alias("start"))
     first = rows.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
     # Kept as a table, so that both sides of the join are dealt anew and adaptive execution can split a digest that many texts share;

@@ -99,18 +99,19 @@ def base_spans(text):
     return [(k, m.start(), m.end()) for k, p in FORMATS.items() for m in re.finditer(p, text or "") if valid(k, m.group())]
 
 
-def repeats(docs, min_words):
+def repeats(docs, min_words, unit="sentence"):
     """docs: (id, text) in rank order, ids unique."""
+    line = re.compile(r"[^\n]+")
     sentence = re.compile(r"(?:[^.!?\n]+|[.!?]+[^.!?\s])*[.!?]*[ \t\n\r\f\v]*", re.ASCII)
     first, out = {}, []
     for name, text in docs:
         flagged, n = [], 0
-        for m in sentence.finditer(text or ""):
+        for m in (line if unit == "line" else sentence).finditer(text or ""):
             words = [(w.start() + m.start(), w.end() + m.start(), lower(w.group())) for w in SPACE_WORD.finditer(m.group())]
             parts = [[]]
             for w in words:
                 parts[-1].append(w)
-                if len(words) > 16 and len(parts[-1]) >= 6 and (7 * len(w[2]) + 3 * ord(w[2][0]) + ord(w[2][-1])) % 6 == 0:
+                if unit != "line" and len(words) > 16 and len(parts[-1]) >= 6 and (7 * len(w[2]) + 3 * ord(w[2][0]) + ord(w[2][-1])) % 6 == 0:
                     parts.append([])
             for part in filter(None, parts):
                 key = " ".join(w for _, _, w in part)

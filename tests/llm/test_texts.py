@@ -230,21 +230,35 @@ def test_components(spark, edges):
     assert got == brute.components(sorted({n for e in edges for n in e}), edges)
 
 
-def test_repeats(spark, docs, none):
-    passage = "First of all the clerk came in. He sat down at once. Then he wrote the whole long night through."
-    rows = [(1, f"Own words here {passage} and more"), (2, f"Other words\nbefore {passage} Nothing else."), (3, "He sat down at once. Alone."), (4, None), (5, ""), (6, PROSE), (7, PROSE)]
-    got = substrings.repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
-    want = brute.repeats(rows, substrings.MIN_WORDS)
-    assert sorted(tuple(r) for r in got.collect()) == want and {w[0] for w in want} == {2, 7}
+@pytest.mark.parametrize("unit, least", [("sentence", 10), ("sentence", substrings.MIN_WORDS), ("line", 1)])
+def test_repeats(spark, docs, none, unit, least):
+    passage = "First of all the clerk came in. He sat down at once. Then he wrote the whole long night through and all of the next day too."
+    rows = [(1, f"Own words here {passage} and more"), (2, f"Other words\nbefore {passage} Nothing else."), (3, "He sat down at once. Alone."), (4, None), (5, ""), (6, PROSE + "So it was for years."), (7, PROSE + "So it was for years."), (8, "the same\nIn\n the  SAME \n\nin"), (9, "own\nin")]
+    got = substrings.repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), min_words=least, unit=unit)
+    want = brute.repeats(rows, least, unit)
+    assert sorted(tuple(r) for r in got.collect()) == want
+    if unit == "line":
+        assert {w[0] for w in want} == {7, 8, 9} and [(8, *w[1:4]) for w in want if w[0] == 8] == [(8, 13, 22, 2), (8, 25, 27, 1)]
+        return
+    assert {w[0] for w in want} == {2, 7}
     cleaned = {r["doc_id"]: r["text"] for r in substrings.without(spark.createDataFrame(rows, "doc_id long, text string"), got).collect()}
     assert cleaned[7].strip() == "" and cleaned[1] == rows[0][1] and "He sat down" not in cleaned[2] and cleaned[2].startswith("Other words\nbefore First")
-    edge = substrings.repeats(docs.where("doc_id < 12"))
-    assert {r["doc_id"] for r in edge.where("doc_id = 8").collect()} == {8}
-    assert substrings.repeats(none).count() == 0
+
+
+def test_repeats_on_edge_rows(spark, docs, none):
+    """All of them, the very long text and the clashing columns too; the repeated row has the number of the one before, and ranks with it."""
+    for unit, least in (("sentence", substrings.MIN_WORDS), ("line", 1)):
+        edge = substrings.repeats(docs, min_words=least, unit=unit)
+        once = sorted(tuple(r) for r in edge.where("doc_id <> 12").collect())
+        assert edge.columns == ["doc_id", "start", "end", "n_words", "first_id", "first_start"]
+        assert once == [r for r in brute.repeats(list(enumerate(TEXTS)), least, unit) if r[0] != 12]
+        assert substrings.repeats(none, min_words=least, unit=unit).count() == 0
+    with pytest.raises(ValueError):
+        substrings.repeats(docs, unit="page")
 
 
 def test_a_repeated_row_is_an_occurrence(spark):
-    got = substrings.repeats(spark.createDataFrame([(1, PROSE), (1, PROSE), (None, PROSE)], "doc_id long, text string").coalesce(1))
+    got = substrings.repeats(spark.createDataFrame([(1, PROSE * 2), (1, PROSE * 2), (None, PROSE * 2)], "doc_id long, text string").coalesce(1), min_words=10)
     assert {(str(r["doc_id"]), r["first_id"]) for r in got.collect()} == {("1", 1), ("None", 1)}
 
 
