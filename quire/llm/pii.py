@@ -7,8 +7,9 @@ values that are known as one kind, weighing values found so far by their best pa
 share are accepted and keep their kind, and the values they hold are known in the next round, until no pattern is added and no score rises. The candidates that accepted patterns hold are
 spans of the pattern's kind, seen before or not, unless a base span lies there.
 
-All formats are written so that a failed place is not tried again from within (possessive runs, starts at the edge of a run), so a
-long text costs time in proportion to its length. Offsets are code points, ends exclusive.
+All formats are written so that a failed place is not tried again from within (possessive runs, starts at the edge of a run). Places come from
+running sums over the matches, overlaps from running extremes over sorted spans, both made in blocks, and texts are cut by chunks; so a text of many
+matches costs little more than time in proportion to its length. Offsets are code points, ends exclusive.
 
 Null and empty texts have no spans. Repeated documents count once as evidence (values are distinct) and get a row each. Rows are told
 apart by a number of their own, so ids may be null or repeat. Other columns are not read by ``detect`` and are kept by ``redact``.
@@ -17,6 +18,8 @@ Empty tables give no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,18 +46,56 @@ SETTLED = 0.01
 INLINE_PATTERNS = 2_000
 
 
-def _starts(text: Column, pattern: str, matches: Column) -> Column:
-    """array<int>: where the non-overlapping matches start, from the pieces between them."""
-    pieces = F.split(text, pattern, -1)
-    empty = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("at"), pieces.alias("pieces"), matches.alias("found"))
+#: Running values are made within blocks of so many elements, as an array grows by copying it; a text is cut by chunks of so many code points.
+BLOCK, CHUNK = 128, 1024
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body with the value bound, so that it is made once, also inside lambdas."""
+    return F.transform(F.array(value), body)[0]
+
 
-    def step(acc: Column, i: Column) -> Column:
-        start = acc["at"] + F.length(F.element_at(acc["pieces"], i))
-        return F.struct(
-            F.concat(acc["starts"], F.array(start)).alias("starts"), (start + F.length(F.element_at(acc["found"], i))).alias("at"), acc["pieces"].alias("pieces"), acc["found"].alias("found")
+def _running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """Running values of ``op(value so far, or null, and the next)``, associative, over an array."""
+
+    def folded(array: Column) -> Column:
+        first = F.slice(array, 1, 1)
+        return F.aggregate(F.slice(array, 2, F.greatest(F.size(array) - 1, F.lit(0))), first, lambda acc, x: F.concat(acc, F.array(op(F.get(acc, F.size(acc) - 1), x))))
+
+    def joined(blocks: Column) -> Column:
+        return _let(
+            F.struct(blocks.alias("of"), folded(F.transform(blocks, lambda x: F.get(x, F.size(x) - 1))).alias("upto")),
+            lambda s: F.flatten(F.transform(s["of"], lambda x, b: F.when(b == 0, x).otherwise(F.transform(x, lambda v: op(F.get(s["upto"], b - 1), v))))),
         )
 
-    return F.when(F.size(matches) > 0, F.aggregate(F.sequence(F.lit(1), F.size(matches)), empty, step, lambda acc: acc["starts"])).otherwise(F.array().cast("array<int>"))
+    def whole(array: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(array), F.lit(BLOCK))
+        return F.when(F.size(array) <= BLOCK, folded(array)).otherwise(_let(F.transform(starts, lambda at: folded(F.slice(array, at, BLOCK))), joined))
+
+    return _let(values, lambda array: F.when(F.size(array) > 0, whole(array)).otherwise(array))
+
+
+def _sum(so_far: Column, x: Column) -> Column:
+    return F.coalesce(so_far, F.lit(0)) + x
+
+
+def _found(text: Column, pattern: str, need: str | None) -> Column:
+    """array<struct<start, value, gap>>: the non-overlapping matches, where they start, and the stretch of text before each."""
+    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    if need:
+        matches = F.when(text.contains(need), matches).otherwise(F.array().cast("array<string>"))
+
+    def placed(s: Column) -> Column:
+        steps = F.transform(s["found"], lambda x, i: F.length(s["pieces"][i]) + F.coalesce(F.length(F.get(s["found"], i - 1)), F.lit(0)))
+        made = _let(F.struct(_running(steps, _sum).alias("starts"), s["found"].alias("found"), s["pieces"].alias("pieces")), _zipped)
+        return F.when(F.size(s["found"]) > 0, made).otherwise(F.array().cast("array<struct<start:int,value:string,gap:string>>"))
+
+    pieces = lambda m: F.when(F.size(m) > 0, F.split(text, pattern, -1))
+    return _let(matches, lambda m: _let(F.struct(m.alias("found"), pieces(m).alias("pieces")), placed))
+
+
+def _zipped(s: Column) -> Column:
+    return F.transform(s["found"], lambda x, i: F.struct(s["starts"][i].alias("start"), x.alias("value"), s["pieces"][i].alias("gap")))
 
 
 def _digits(value: Column) -> Column:
@@ -73,15 +114,6 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def _matched(df: DataFrame, name: str, pattern: str, need: str | None = None) -> DataFrame:
-    """Adds the matches of a pattern in __text and their starts."""
-    found = F.regexp_extract_all("__text", F.lit(pattern), F.lit(0))
-    if need:
-        found = F.when(F.col("__text").contains(need), found).otherwise(F.array().cast("array<string>"))
-    out = df.withColumn(f"__m_{name}", found)
-    return out.withColumn(f"__s_{name}", _starts(F.col("__text"), pattern, F.col(f"__m_{name}")))
-
-
 _SPAN = "struct<kind:string,start:int,end:int>"
 _CANDIDATE = "struct<named:boolean,pattern:string,value:string,start:int,end:int,seed:string>"
 
@@ -99,43 +131,37 @@ def _trimmed(value: Column) -> Column:
 
 
 def _base_spans(kind: str) -> Column:
-    made = F.transform(f"__m_{kind}", lambda v, i: F.struct(F.col(f"__s_{kind}")[i].alias("start"), v.alias("value")))
-    held = F.filter(made, lambda x: _valid(kind, x["value"]))
+    held = F.filter(f"__f_{kind}", lambda x: _valid(kind, x["value"]))
     return F.transform(held, lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), (x["start"] + F.length(x["value"])).cast("int").alias("end")))
 
 
+def _named_candidate(m: Column) -> Column:
+    cue = F.regexp_extract(m["value"], r"^[A-Za-z_]+ ?[=:] ?[\"']?", 0)
+    value = _trimmed(F.substring(m["value"], F.length(cue) + 1, F.length(m["value"])))
+    return _candidate(True, F.lower(cue), value, m["start"] + F.length(cue))
+
+
+def _worded_candidate(m: Column) -> Column:
+    lead = F.regexp_extract(m["value"], r"^[^\p{L}\p{N}+]*", 0)
+    value = _trimmed(F.substring(m["value"], F.length(lead) + 1, F.length(m["value"])))
+    # The two words before, at the end of the text's stretch between two candidates: it is cut at the third space from its end.
+    cue = F.lower(F.regexp_extract(F.substring_index(m["gap"], " ", -3), r"(?<!\S)(\S++ \S++) $", 1))
+    return _candidate(False, cue, value, m["start"] + F.length(lead))
+
+
 def extract(df: DataFrame, text: Column) -> DataFrame:
     """Adds base: array of spans by kind and start; candidates: array of candidates by their start."""
     out = df.withColumn("__text", F.coalesce(text, F.lit("")))
-    for kind in BASE_KINDS:
-        out = _matched(out, kind, _FORMATS[kind], _NEEDS.get(kind))
-    out = _matched(out, "named", _NAMED)
-    out = _matched(out, "token", _TOKEN)
-    spans = [_base_spans(kind) for kind in BASE_KINDS]
-    out = out.withColumn("base", F.concat(*spans).cast(f"array<{_SPAN}>"))
-
-    def named(match: Column, i: Column) -> Column:
-        cue = F.regexp_extract(match, r"^[A-Za-z_]+ ?[=:] ?[\"']?", 0)
-        value = _trimmed(F.substring(match, F.length(cue) + 1, F.length(match)))
-        start = F.col("__s_named")[i] + F.length(cue)
-        return _candidate(True, F.lower(cue), value, start)
-
-    def worded(match: Column, i: Column) -> Column:
-        lead = F.regexp_extract(match, r"^[^\p{L}\p{N}+]*", 0)
-        value = _trimmed(F.substring(match, F.length(lead) + 1, F.length(match)))
-        gap_start = F.when(i > 0, F.col("__s_token")[i - 1] + F.length(F.col("__m_token")[i - 1])).otherwise(0)
-        # The two words before, at the end of the text's stretch between two candidates: it is cut at the third space from its end.
-        gap = F.substring(F.col("__text"), gap_start + 1, F.col("__s_token")[i] - gap_start)
-        cue = F.lower(F.regexp_extract(F.substring_index(gap, " ", -3), r"(?<!\S)(\S++ \S++) $", 1))
-        return _candidate(False, cue, value, F.col("__s_token")[i] + F.length(lead))
-
-    both = F.concat(F.transform("__m_named", named), F.transform("__m_token", worded))
+    patterns = _FORMATS | {"named": _NAMED, "token": _TOKEN}
+    out = out.withColumns({f"__f_{name}": _found(F.col("__text"), pattern, _NEEDS.get(name)) for name, pattern in patterns.items()})
+    out = out.withColumn("base", F.concat(*map(_base_spans, BASE_KINDS)).cast(f"array<{_SPAN}>"))
+    both = F.concat(F.transform("__f_named", _named_candidate), F.transform("__f_token", _worded_candidate))
     usable = F.filter(both, lambda c: (F.length(c["pattern"]) > 0) & (F.length(c["value"]) >= 4))
     seeded = F.transform(
         usable, lambda c: F.struct(c["named"].alias("named"), c["pattern"].alias("pattern"), c["value"].alias("value"), c["start"].alias("start"), c["end"].alias("end"), _seed(c["value"]).alias("seed"))
     )
     out = out.withColumn("candidates", seeded.cast(f"array<{_CANDIDATE}>"))
-    return out.drop("__text", *[c for c in out.columns if c.startswith(("__m_", "__s_"))])
+    return out.drop("__text", *[f"__f_{name}" for name in patterns])
 
 
 def _candidate(named: bool, pattern: Column, value: Column, start: Column) -> Column:
@@ -172,23 +198,36 @@ def accepted_patterns(candidates: DataFrame, support: int = SUPPORT, confidence:
     return accepted
 
 
-def _overlaps(a: Column, b: Column) -> Column:
-    return (a["start"] < b["end"]) & (b["start"] < a["end"])
+def _clear_of(spans: Column, blockers: Column) -> Column:
+    """The spans (array<struct<kind, start, end>>) that overlap no blocker. Sorted by start, a span must lie behind all ends so far and before the next start."""
+
+    def judged(all_: Column) -> Column:
+        ends = _running(F.transform(all_, lambda x: F.when(~x["own"], x["end"])), F.greatest)
+        starts = F.reverse(_running(F.reverse(F.transform(all_, lambda x: F.when(~x["own"], x["start"]))), F.least))
+        bound = F.struct(all_.alias("all"), ends.alias("ends"), starts.alias("starts"))
+        free = lambda s, x, i: x["own"] & F.coalesce(s["ends"][i] <= x["start"], F.lit(True)) & F.coalesce(s["starts"][i] >= x["end"], F.lit(True))
+        return _let(bound, lambda s: F.transform(F.filter(s["all"], lambda x, i: free(s, x, i)), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))))
+
+    marked = lambda array, own: F.transform(array, lambda x: F.struct(x["start"].alias("start"), F.lit(own).alias("own"), x["end"].alias("end"), x["kind"].alias("kind")))
+    merged = F.array_sort(F.concat(marked(blockers, False), marked(spans, True)))
+    return F.when((F.size(spans) > 0) & (F.size(blockers) > 0), _let(merged, judged)).otherwise(spans)
 
 
 def all_spans(base: Column, found: Column) -> Column:
     """Base spans and the found ones clear of them (array<struct<named, start, end, kind>>), sorted by kind as listed and start.
 
-    Of found spans that overlap, those after a name go first, then the earlier and longer one.
+    Found spans come from two patterns whose matches do not overlap among themselves; of a span after a name and one after two words that overlap, the first goes.
     """
-    clear = F.filter(found, lambda c: ~F.exists(base, lambda b: _overlaps(b, c)))
-    ordered = F.array_sort(F.transform(clear, lambda c: F.struct((~c["named"]).alias("late"), c["start"].alias("start"), (-c["end"]).alias("less"), c["kind"].alias("kind"))))
-    spans = F.transform(ordered, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), (-c["less"]).alias("end"))).cast(f"array<{_SPAN}>")
-    kept = F.aggregate(spans, F.array().cast(f"array<{_SPAN}>"), lambda acc, c: F.when(F.exists(acc, lambda k: _overlaps(k, c)), acc).otherwise(F.concat(acc, F.array(c))))
-    kept = F.when(F.size(spans) > 0, kept).otherwise(spans)
+    of = lambda named: F.transform(F.filter(found, lambda c: c["named"] == F.lit(named)), lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"))).cast(f"array<{_SPAN}>")
     rank = lambda kind: F.coalesce(F.nullif(F.array_position(F.lit(list(BASE_KINDS)), kind), F.lit(0)), F.lit(99))
-    sortable = F.transform(F.concat(base, kept), lambda s: F.struct(rank(s["kind"]).alias("rank"), s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    return F.transform(F.array_sort(sortable), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+
+    def sorted_(spans: Column) -> Column:
+        sortable = F.transform(spans, lambda s: F.struct(rank(s["kind"]).alias("rank"), s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+        return F.transform(F.array_sort(sortable), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+
+    with_named = F.concat(base, _clear_of(of(True), base))
+    made = _let(with_named, lambda held: sorted_(F.concat(held, _clear_of(of(False), held))))
+    return F.when(F.size(found) > 0, made).otherwise(sorted_(base)).cast(f"array<{_SPAN}>")
 
 
 def detect(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -205,18 +244,32 @@ def detect(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return joined.select(id_col, "base", all_spans(F.col("base"), F.coalesce("found", none)).alias("spans"))
 
 
+def _cut(chunks: Column, start: Column, end: Column) -> Column:
+    """The text between two places, from its chunks."""
+    first, last = F.floor(start / CHUNK).cast("int"), F.floor(end / CHUNK).cast("int")
+    one = F.substring(F.get(chunks, first), start % CHUNK + 1, end - start)
+    more = F.concat(
+        F.substring(F.get(chunks, first), start % CHUNK + 1, F.lit(CHUNK)),
+        F.array_join(F.slice(chunks, first + 2, F.greatest(last - first - 1, F.lit(0))), ""),
+        F.coalesce(F.substring(F.get(chunks, last), F.lit(1), end % CHUNK), F.lit("")),
+    )
+    return F.when(start >= end, F.lit("")).when(first == last, one).otherwise(more)
+
+
 def redacted(text: Column, spans: Column) -> Column:
     """The text with each span replaced by its kind in brackets; overlapping spans are replaced from the first one's start on."""
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at"))
 
-    def step(acc: Column, s: Column) -> Column:
-        piece = F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        inside = s["start"] < acc["at"]
-        return F.struct(F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], F.array(piece))).alias("out"), F.greatest(acc["at"], s["end"]).cast("int").alias("at"))
+    def made(s: Column) -> Column:
+        # Ends of all spans so far; a span that begins before them lies in one that is replaced already.
+        upto = lambda i: F.coalesce(F.get(s["upto"], i - 1), F.lit(0))
+        piece = lambda x, i: F.concat(_cut(s["chunks"], upto(i), x["start"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))
+        pieces = F.transform(s["spans"], lambda x, i: F.when(x["start"] < upto(i), F.lit("")).otherwise(piece(x, i)))
+        return F.concat(F.array_join(pieces, ""), _cut(s["chunks"], upto(F.size(s["spans"])), F.length(text)))
 
-    made = F.aggregate(ordered, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, made).otherwise(text)
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    bound = _let(ordered, lambda o: _let(F.struct(o.alias("spans"), _running(F.transform(o, lambda x: x["end"]), F.greatest).alias("upto"), chunks.alias("chunks")), made))
+    return F.when(F.size(spans) > 0, bound).otherwise(text)
 
 
 def redact(df: DataFrame, text_col: str = "text", inline_patterns: int = INLINE_PATTERNS) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import regex
 import xxhash
 
 SPACE_WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -99,6 +100,81 @@ def base_spans(text):
     return [(k, m.start(), m.end()) for k, p in FORMATS.items() for m in re.finditer(p, text or "") if valid(k, m.group())]
 
 
+BLANK = r"[ \t\n\x0b\f\r]"
+NAMED = regex.compile(rf"(?<![A-Za-z0-9_])([A-Za-z_]{{2,}}+ ?[=:] ?[\"']?)((?:(?!{BLANK})[^\"'=:;,<>()|]){{4,}}+)")
+TOKEN = regex.compile(r"[^ \t\n\x0b\f\r]+")
+
+
+def trimmed(value):
+    return regex.sub(r"[^\p{L}\p{N}]+$", "", value)
+
+
+def candidates(text):
+    """(named, pattern, value, start): values after a name, and tokens of five characters and a digit with the two words before."""
+    for m in NAMED.finditer(text or ""):
+        yield True, m.group(1).lower(), trimmed(m.group(2)), m.start(2)
+    last = 0
+    for m in TOKEN.finditer(text or ""):
+        if len(m.group()) >= 5 and re.search("[0-9]", m.group()):
+            before = regex.search(r"(?:^|[ \t\n\x0b\f\r])([^ \t\n\x0b\f\r]+ [^ \t\n\x0b\f\r]+) \Z", text[last : m.start()])
+            lead = regex.match(r"[^\p{L}\p{N}+]*", m.group()).end()
+            if before:
+                yield False, before.group(1).lower(), trimmed(m.group()[lead:]), m.start() + lead
+            last = m.end()
+
+
+def seed_of(value):
+    whole = [k for k, a, b in base_spans(value) if (a, b) == (0, len(value))]
+    return whole[0] if whole else "secret" if re.fullmatch("[0-9a-f]{16,64}", value) and re.search("[a-f]", value) and re.search("[0-9]", value) else None
+
+
+def bootstrap(texts, support=3, confidence=0.7, settled=0.01):
+    """All spans of each text: base ones, and candidates that accepted patterns hold."""
+    found = [[c for c in candidates(t) if c[1] and len(c[2]) >= 4] for t in texts]
+    held = defaultdict(dict)
+    for cs in found:
+        for _, pattern, value, _ in cs:
+            held[pattern][value] = seed_of(value)
+    accepted, more = {}, True
+    while more:
+        known = defaultdict(dict)
+        for pattern, values in held.items():
+            for v, kind in values.items():
+                if kind:
+                    known[v][kind] = 1.0
+                elif pattern in accepted:
+                    kind, score = accepted[pattern]
+                    known[v][kind] = max(score, known[v].get(kind, 0.0))
+        new = {}
+        for pattern, values in held.items():
+            for kind in {k for v in values for k in known[v]}:
+                weights = [known[v][kind] for v in values if kind in known[v]]
+                score = max(sum(weights) / len(values), accepted.get(pattern, (kind, 0.0))[1])
+                if len(weights) >= support and score >= confidence and accepted.get(pattern, (kind,))[0] == kind:
+                    new[pattern] = max(new.get(pattern, ("", 0.0)), (kind, score), key=lambda x: (x[1], x[0]))
+        more = any(s - accepted.get(p, ("", 0.0))[1] > settled for p, (_, s) in new.items())
+        accepted = new
+    out = []
+    for text, cs in zip(texts, found):
+        spans = base_spans(text)
+        for wanted in (True, False):
+            for named, pattern, value, start in sorted(cs, key=lambda c: c[3]):
+                if named == wanted and pattern in accepted and all(start + len(value) <= a or b <= start for _, a, b in spans):
+                    spans.append((accepted[pattern][0], start, start + len(value)))
+        rank = {k: i for i, k in enumerate(FORMATS)}
+        out.append(sorted(spans, key=lambda s: (rank.get(s[0], 99), s)))
+    return out
+
+
+def redacted(text, spans):
+    out, at = "", 0
+    for kind, start, end in sorted(spans, key=lambda s: (s[1], s[2], s[0])):
+        if start >= at:
+            out += text[at:start] + f"[{kind.upper()}]"
+        at = max(at, end)
+    return out + text[at:]
+
+
 def repeats(docs, min_words, unit="sentence"):
     """docs: (id, text) in rank order, ids unique."""
     line = re.compile(r"[^\n]+")

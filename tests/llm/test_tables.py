@@ -101,6 +101,32 @@ def test_found_values_support_further_patterns(spark):
     assert all(kinds == (["secret"] if d < 300 else []) for d, kinds in got.items()) and len(got) == len(rows)
 
 
+def test_spans_and_redaction_against_a_plain_bootstrap(spark):
+    """All texts of a small table, with texts of many matches: more than a block of running values holds, and longer than a chunk."""
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    keys = secrets(900)
+    dense = " ".join(f"w\U0001f642 a{i}@b.org api_key={k} {'x' * (i % 90)} 1.2.3.{i % 300}" for i, k in enumerate(keys))
+    rows += [(10_001, dense), (10_002, " ".join(f"token = {k}" for k in keys) + " end"), (10_003, "use the api_key=a1b2c3d4 +49 30 1234567 4111 1111 1111 1111"), (10_004, ""), (10_005, None), (10_006, keys[0])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = dict(zip([r[0] for r in rows], brute.bootstrap([r[1] for r in rows])))
+    for r in pii.detect(df).collect():
+        assert [tuple(x) for x in r["spans"]] == want[r["doc_id"]]
+    assert sum(s[0] not in pii.BASE_KINDS for spans in want.values() for s in spans) > 1700
+    text = dict(rows)
+    for r in pii.redact(df).collect():
+        assert r["text"] == (None if text[r["doc_id"]] is None else brute.redacted(text[r["doc_id"]], want[r["doc_id"]]))
+
+
+def test_texts_of_very_many_matches(spark):
+    numbers = " ".join(str(10**7 + i) for i in range(200_000))
+    mails = " ".join(f"a{i}@b.org" for i in range(50_000))
+    df = spark.createDataFrame([(1, numbers), (2, mails)], "doc_id long, text string")
+    got = {r["doc_id"]: r["base"] for r in pii.detect(df).collect()}
+    assert got[1] == [] and len(got[2]) == 50_000 and all(mails[s["start"] : s["end"]] == f"a{i}@b.org" for i, s in enumerate(got[2]))
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
+    assert clean[1] == numbers and clean[2] == " ".join(["[EMAIL]"] * 50_000)
+
+
 def test_patterns_need_distinct_seeds(spark):
     rows = [(i, f"api_key={secrets(1)[0]} again") for i in range(9)] + [(50, "api_key=other-value")]
     assert all(not r["spans"] for r in pii.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect())
