@@ -175,6 +175,29 @@ def redacted(text, spans):
     return out + text[at:]
 
 
+def blocks(text):
+    """Sentences: they end at a mark before white space, at a blank line, and with the text."""
+    out = []
+    for paragraph in re.split(r"\n[ \t\r\f\v]*(?=\n)|\n[ \t\n\r\f\v]*\Z", text or ""):
+        out += re.split(r"(?<=[.!?])[ \t\n\r\f\v]+", paragraph)
+    return [words for piece in out if (words := TEXT_WORD.findall(lower(piece)))]
+
+
+def licenses(text, templates, phrases, threshold=0.8):
+    words = TEXT_WORD.findall(lower(text or ""))
+    places = sorted((i, label) for phrase, label in phrases.items() for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split())
+    labels, score = {label for _, label in places}, 0.0
+    for block in blocks(text):
+        have = set(zip(block, block[1:]))
+        for label, template in templates:
+            other = TEXT_WORD.findall(lower(template))
+            wanted = set(zip(other, other[1:]))
+            if len(wanted & have) >= threshold * len(wanted) - 1e-9:
+                labels.add(label)
+                score = max(score, len(wanted & have) / len(wanted))
+    return len(words), len(places), places[0][0] if places else None, places[-1][0] if places else None, sorted({x for _, x in places}), sorted(labels), score
+
+
 def repeats(docs, min_words, unit="sentence"):
     """docs: (id, text) in rank order, ids unique."""
     line = re.compile(r"[^\n]+")

@@ -273,28 +273,44 @@ def test_passages_without_sentence_ends_are_found(spark):
     assert all(text[r["doc_id"]][r["start"] : r["end"]] in passage for r in got)
 
 
+LICENSE_COLUMNS = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def test_licenses(spark, docs, none):
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files. Etc."
-    rows = [(1, "x\nReleased under the MIT License.\ny"), (2, "Licensed under CC BY-NC 4.0. All rights\nreserved"), (3, "under the license of a mit"), (4, None), (5, mit), (6, "cc by cc by"), (7, "released " * 3 + "mit")]
+    prose = "She was released from the hospital under the terms of her MIT license plate deal."
+    rows = [(1, "x\n\nReleased under the MIT License.\ny"), (2, "Licensed under CC BY-NC 4.0. All rights\nreserved"), (3, "under the license of a mit"), (4, None), (5, mit), (6, "cc by cc by"), (7, "released " * 3 + "mit"), (8, prose)]
     got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        assert tuple(got[i][c] for c in LICENSE_COLUMNS) == brute.licenses(text, licenses.TEMPLATES, licenses.PHRASES)
     assert got[1]["labels"] == ["mit"] and got[1]["score"] == 1.0 and got[1]["n_base"] == 0 and got[1]["first_word"] is None
+    assert [(m["block"], m["first"], m["end"]) for m in got[1]["matches"]] == [(1, 1, 6)]
     assert got[2]["base_labels"] == ["cc-by", "reserved"] and (got[2]["first_word"], got[2]["last_word"]) == (2, 7)
-    assert got[3]["labels"] == ["mit"] or got[3]["score"] >= 0.8
-    assert got[4]["n_words"] == 0 and got[4]["labels"] == [] and got[5]["labels"] == ["mit"]
-    assert got[6]["n_base"] == 2 and got[7]["labels"] == []
-    assert licenses.scan(docs).count() == len(TEXTS) + 1 and licenses.scan(none).count() == 0
+    assert got[5]["labels"] == ["mit"] and got[6]["n_base"] == 2 and all(got[i]["labels"] == [] for i in (3, 4, 7, 8))
+    edge = licenses.scan(docs).collect()
+    assert len(edge) == len(TEXTS) + 1 and licenses.scan(none).count() == 0
+    for r in edge:
+        assert tuple(r[c] for c in LICENSE_COLUMNS) == brute.licenses(TEXTS[r["doc_id"]], licenses.TEMPLATES, licenses.PHRASES)
+    with pytest.raises(ValueError):
+        licenses.scan(none, templates=[("one", "word")])
 
 
 @settings(max_examples=100, deadline=None)
-@given(st.lists(st.sampled_from("abcdefgh"), max_size=12), st.dictionaries(st.sampled_from([b"a", b"b", b"c", b"d"]), st.integers(0, 9)))
+@given(st.lists(st.sampled_from("abcdefgh"), max_size=16), st.dictionaries(st.tuples(st.sampled_from([b"a", b"b"]), st.sampled_from([b"b", b"c"])), st.integers(0, 9)))
 def test_containment_join_is_exact(block, frequency):
-    templates = [("one", "a b c d e"), ("two", "a c e g"), ("three", "h")]
+    templates = [("one", "a b c d e f"), ("two", "a b c"), ("three", "h g")]
     scanner = licenses.Scanner(templates, frequency, 0.8)
-    have = set(block)
-    want = sorted((label, len(set(t.split()) & have) / len(set(t.split()))) for label, t in templates if 10 * len(set(t.split()) & have) >= 8 * len(set(t.split())))
+    have, wanted = set(zip(block, block[1:])), {label: set(zip(t.split(), t.split()[1:])) for label, t in templates}
+    want = sorted((label, len(w & have) / len(w)) for label, w in wanted.items() if 10 * len(w & have) >= 8 * len(w))
     assert sorted(scanner.block([w.encode() for w in block])) == want
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="ab .!?\n\t\r#", max_size=40))
+def test_blocks_are_sentences_over_lines(text):
+    assert [[w.decode() for w in b] for b in licenses.blocks(text.encode())] == brute.blocks(text)
+
+
 WRAPPED = {
     "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal",
     "bsd": " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met:",
@@ -310,6 +326,7 @@ def test_wrapped_licenses(spark):
     for label in WRAPPED:
         assert label in got[label]["labels"] and got[label]["score"] >= 0.8
         assert [m["block"] for m in got[label]["matches"] if m["label"] == label] == [0]
+        assert tuple(got[label][c] for c in LICENSE_COLUMNS) == brute.licenses(WRAPPED[label], licenses.TEMPLATES, licenses.PHRASES)
     assert got["apart"]["labels"] == got["list"]["labels"] == []
 
 
