@@ -11,8 +11,8 @@ value link by themselves, so these are joined through that value first (one row
 keeps pairs that are not yet connected.
 
 Null and empty texts have fingerprint zero and link as any other. Ties of a bit count as unset. Repeated rows are copies. The
-component is named by its smallest id; null ids count only if a component has no other. Ids are read as they are, other columns are
-not read. An empty table gives no rows.
+component is named by its smallest id; null ids count only if a component has no other. Very long texts are hashed in blocks. Ids are read as they are, other columns are
+not read and ``keep_one`` keeps them. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -128,11 +128,9 @@ def flip_links(distinct: DataFrame) -> DataFrame:
     return near.join(least, "value").where("fp > u").select("u", F.col("fp").alias("v")).distinct()
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, fp, component_id): component_id is the smallest id that links reach."""
-    prints = checkpointed(fingerprints(df, id_col, text_col))
-    distinct = prints.groupBy("fp").agg(F.min(id_col).alias("rep"))
-    only = checkpointed(distinct)
+def _labelled(prints: DataFrame, rep: Column) -> tuple[DataFrame, DataFrame]:
+    """(fp, rep, root) of the distinct fingerprints and (root, name) of their components; rep: an aggregate over the rows of a fingerprint, name: the least one of a component."""
+    only = checkpointed(prints.groupBy("fp").agg(rep.alias("rep")))
     first = components(flip_links(only.select("fp")))
     grouped = checkpointed(only.select("fp").join(first, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("group")))
     pairs = links(grouped)
@@ -140,22 +138,27 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     roots = components(pairs.union(within))
     labelled = only.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     # A table of its own, so that both sides of the join are dealt anew and a root with many fingerprints can be split.
-    named = checkpointed(labelled.groupBy("root").agg(F.min("rep").alias("component_id")))
-    of_print = labelled.join(named, "root").select("fp", "component_id")
+    return labelled, checkpointed(labelled.groupBy("root").agg(F.min("rep").alias("name")))
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (id, fp, component_id): component_id is the smallest id that links reach."""
+    prints = checkpointed(fingerprints(df, id_col, text_col))
+    labelled, named = _labelled(prints, F.min(id_col))
+    of_print = labelled.join(named, "root").select("fp", F.col("name").alias("component_id"))
     return prints.join(of_print, "fp").select(id_col, "fp", "component_id")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose id names their component; a repeated row stays once.
-
-    Ids identify documents: rows that repeat an id must be repeats of one document. Where a component has no id at all, rows with null ids stay, once
-    for each text, as nothing else tells them apart.
-    """
-    found = near_duplicates(df, id_col, text_col)
-    names = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__name")).distinct()
-    kept = df.join(names, F.col(id_col).eqNullSafe(F.col("__name")), "left_semi")
-    # Repeats are rare: whether there are any is counted on the ids alone before texts are compared.
-    if kept.select(id_col).groupBy(id_col).count().where("count > 1").limit(1).count() == 0:
+    """One row, with all its columns, of each component: that of the smallest id, and of those with one id or none that of the smallest digest of the text; a repeated row stays once."""
+    digest = F.md5(F.coalesce(F.col(text_col), F.lit("")))
+    picked = df.select(F.col(id_col).alias("id"), digest.alias("key"), F.col(text_col).alias("of"))
+    fields = [("fp", "long", pa.int64())]
+    prints = checkpointed(map_texts(picked, {"id": F.col("id"), "key": F.col("key")}, F.col("of"), lambda utf8, _: (fingerprint(shingle_hashes(utf8)),), fields))
+    _, named = _labelled(prints, F.min(F.struct(F.col("id").isNull().alias("late"), "id", "key")))
+    names = named.select(F.col("name.id").alias("__name"), F.col("name.key").alias("__digest"))
+    kept = df.join(names, F.col(id_col).eqNullSafe(F.col("__name")) & (digest == F.col("__digest")), "left_semi")
+    # Repeats are rare: whether there are any is counted on ids and digests alone.
+    if kept.select(F.col(id_col).alias("id"), digest.alias("key")).groupBy("id", "key").count().where("count > 1").limit(1).count() == 0:
         return kept
-    marked = kept.withColumn("__mark", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    return marked.dropDuplicates([id_col, "__mark"]).drop("__mark")
+    return kept.withColumn("__mark", digest).dropDuplicates([id_col, "__mark"]).drop("__mark")

@@ -226,5 +226,9 @@ def repeats(docs, min_words, unit="sentence"):
     return sorted(out)
 
 
+def md5(text):
+    return hashlib.md5(text.encode()).hexdigest()
+
+
 def sha(text):
     return hashlib.sha256(text.encode() if isinstance(text, str) else text).hexdigest()

@@ -32,6 +32,22 @@ def test_long_chats_come_in_parts(spark):
     assert sorted((r["conv_id"], r["part"], r["n_turns"]) for r in got) == [(2, 0, 256), (2, 1, 256), (2, 2, 89)]
 
 
+def test_crowded_turns_come_in_pieces(spark):
+    """Null conversations and numbers, equal turns, marks inside texts, a very long text: every turn is rendered once."""
+    long = "x" * 300_000
+    rows = [(None, None, "u", f"text {i % 700}") for i in range(1500)] + [(None, None, "a", "same")] * 600 + [(None, 3, "u", long)]
+    rows += [(1, 0, "u", "a <|end|> <\\|x|> < | <|u|>\n"), (1, 1, "<|a", "b")]
+    got = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)).collect()
+    pieces = {(r["conv_id"], r["part"], r["piece"]): r for r in got}
+    assert sorted(k[2] for k in pieces if k[:2] == (None, -1)) == list(range(9)) and all(pieces[None, -1, k]["n_turns"] == 256 for k in range(8))
+    whole = "".join(pieces[None, -1, k]["rendered"] for k in range(9))
+    turns = whole.split("\n<|end|>\n")[:-1]
+    assert sorted(turns) == sorted(f"<|{r}|>\n{t}" for c, n, r, t in rows if c is None and n is None)
+    assert turns == sorted(turns, key=lambda x: (x[:6], brute.md5(x.split("\n", 1)[1])[:2], x))
+    assert pieces[None, 0, 0]["rendered"] == f"<|u|>\n{long}\n<|end|>\n"
+    assert pieces[1, 0, 0]["rendered"] == "<|u|>\na <\\|end|> <\\\\|x|> < | <\\|u|>\n\n<|end|>\n<|<\\|a|>\nb\n<|end|>\n"
+
+
 def test_chats_against_brute_force(spark):
     rng = random.Random(1)
     convs = {c: [(rng.choice("ua"), rng.choice("xy")) for _ in range(rng.randint(1, 5))] for c in range(150)}

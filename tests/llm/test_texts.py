@@ -190,17 +190,18 @@ def near_copies():
 
 
 def test_simhash_components(spark, none):
-    texts = [*TEXTS[:-1], *near_copies()]
+    texts = [*TEXTS, *near_copies()]
     rows = [(i, t) for i, t in enumerate(texts)]
-    found = simhash.near_duplicates(spark.createDataFrame([*rows, rows[-1]], "doc_id long, text string").repartition(3)).collect()
+    clashing = spark.createDataFrame([(*r, "clash", "clash", "clash") for r in [*rows, rows[-1]]], "doc_id long, text string, fp string, root string, component_id string")
+    found = simhash.near_duplicates(clashing.repartition(3)).collect()
     prints = {i: brute.fingerprint(t) for i, t in rows}
     edges = [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 4]
     want = brute.components(list(prints), edges)
     assert len(found) == len(rows) + 1
     for r in found:
         assert r["fp"] % (1 << 64) == prints[r["doc_id"]] and r["component_id"] == want[r["doc_id"]]
-    kept = simhash.keep_one(spark.createDataFrame([*rows, rows[-1]], "doc_id long, text string"))
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
+    kept = simhash.keep_one(clashing)
+    assert kept.columns == clashing.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
     assert simhash.near_duplicates(none).count() == 0 and simhash.keep_one(none).count() == 0
 
 
@@ -221,7 +222,16 @@ def test_null_ids_have_components(spark):
     rows = [(None, "a b c d e f"), (None, "a b c d e f"), (7, "a b c d e f"), (None, "z y x w v u t")]
     found = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((str(r["doc_id"]), str(r["component_id"])) for r in found) == [("7", "7"), ("None", "7"), ("None", "7"), ("None", "None")]
-    assert simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).count() == 3
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept) == [("7", "a b c d e f"), ("None", "z y x w v u t")]
+
+
+def test_one_id_with_several_texts(spark):
+    """The smallest id names the component; rows of that id with another text go by the digest, and repeated rows stay once."""
+    rows = [(1, "a b c d e f", "x"), (1, "A b c d e f", "x"), (2, "a b c d e f", "y"), (1, "z y x w v u t", "z"), (1, "z y x w v u t", "z")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, fp string")).collect()
+    least = min(("a b c d e f", "A b c d e f"), key=brute.md5)
+    assert sorted(tuple(r) for r in kept) == [(1, least, "x"), (1, "z y x w v u t", "z")]
 
 
 @pytest.mark.parametrize("edges", [[], [(1, 1)], [(1, 2), (2, 1), (2, 3)], [(i, i + 1) for i in range(60)], [(0, i) for i in range(40)] + [(100, 101)]])
