@@ -189,7 +189,7 @@ def test_pipeline_stages(spark, tmp_path):
     texts = [prose(k) for k in range(9)]
     passage = " ".join(f"exam{i}" for i in range(30))
     rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
-    rows += [(20, texts[0], "en", "s", 1), (21, texts[1] + " tail", "en", "s", 1), (22, "| x | y " * 60, "en", "s", 1), (23, None, None, None, None), (24, texts[2] + " " + passage + ".", "en", "s", 1)]
+    rows += [(20, texts[0], "en", "s", 1), (21, texts[1] + " tail", "en", "s", 1), (22, "| x | y " * 60, "en", "s", 1), (23, None, None, None, None), (24, texts[2] + " " + passage + ".", "en", "s", 1), (26, " ".join(map(prose, range(50, 70))) + " " + " ".join(passage.split()[:13]), "en", "s", 1)]
     rows += [(25, " ".join(reversed(texts[3].split())) + " write to me@home.org now.", "en", "s", 1)]
     spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
@@ -201,13 +201,42 @@ def test_pipeline_stages(spark, tmp_path):
             assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert 22 not in seen["quality_rules"] and 23 not in seen["quality_rules"] and {0, 1, 20, 24, 25} <= set(seen["quality_rules"])
     assert 20 not in seen["near_duplicates"] and 0 in seen["near_duplicates"]
-    assert 24 not in seen["benchmark_passages"] and 25 in seen["benchmark_passages"]
+    assert {24, 26} <= set(seen["near_duplicates"]) and not {24, 26} & set(seen["benchmark_passages"]) and 25 in seen["benchmark_passages"]
     assert "[EMAIL]" in seen["personal_data"][25]["text"] and set(seen["tokens"]) == set(seen["personal_data"])
     assert all(r["round_trip"] for r in seen["tokens"].values())
     want = {d: brute.sha(bytes(r["ids"])) for d, r in seen["tokens"].items()}
     assert {r["doc_id"]: brute.sha(bytes(r["ids"])) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == want
 
 
+def test_every_benchmark_passage_goes(spark, tmp_path):
+    """Thirteen words of an item in five thousand others; twelve are no passage. Nulls, repeated rows and clashing columns pass through the stage."""
+    item = [f"exam{i}" for i in range(20)]
+    words = [f"w{i}" for i in range(5000)]
+    text = lambda k: " ".join([*words[:2500], *item[3 : 3 + k], *words[2500:]])
+    rows = [(1, text(13)), (2, text(12)), (3, None), (3, None), (None, "plain"), (5, "")]
+    df = spark.createDataFrame([(*r, "c", "c") for r in rows], "doc_id long, text string, n_hit string, spans string")
+    spark.createDataFrame([(1, " ".join(item))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.benchmark_passages(spark, df, str(tmp_path))
+    assert out.columns == df.columns and sorted(map(str, (r["doc_id"] for r in out.collect()))) == ["2", "3", "3", "5", "None"]
+
+
+def test_stages_take_edge_rows(spark, tmp_path):
+    """Null ids and texts, empty and very long texts, a repeated row and extra columns: every stage has rows of them and all but the last keep the columns."""
+    spark.createDataFrame([(1, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    long = prose(1) + " " + " ".join(prose(k) for k in range(100, 400))
+    rows = [(1, prose(0)), (1, prose(0)), (None, prose(2)), (3, None), (None, None), (5, ""), (6, long)]
+    df = spark.createDataFrame([(*r, "en", "s", 1, "kept", 2) for r in rows], f"{DOCS}, fp string, votes long")
+    seen = {name: stage(spark, df, str(tmp_path)) for name, stage in corpus_pipeline.STAGES}
+    assert all(seen[n].columns == df.columns for n in seen if n != "tokens")
+    count = lambda n: sorted((str(r["doc_id"]), brute.md5(r["text"] or "")) for r in seen[n].collect())
+    whole = sorted((str(i), brute.md5(t or "")) for i, t in rows)
+    assert count("quality_rules") == [r for r in whole if r[1] != brute.md5("")]
+    assert count("near_duplicates") == sorted({r for r in whole if r not in (("None", brute.md5("")), ("5", brute.md5("")))})
+    assert count("benchmark_passages") == count("personal_data") == whole
+    assert sorted(str(r["doc_id"]) for r in seen["tokens"].where("round_trip").collect()) == [r[0] for r in whole]
+    assert [r["n_chars"] for r in seen["personal_data"].where("doc_id = 6").collect()] == [len(long)]
+
+
 def test_pipeline_takes_empty_tables(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
