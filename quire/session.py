@@ -12,3 +12,14 @@ def session(app: str = "quire", **conf: str) -> SparkSession:
     for key, value in (settings | {k.replace("__", "."): v for k, v in conf.items()}).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+#: Arrow batches for Python workers: rows and bytes. Spark's own defaults let tens of megabytes of texts pile up in each worker.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "512"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "16777216b")}
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Small Arrow batches, once for the whole session and all operators alike; values other than Spark's defaults are the session's own and stay."""
+    for key, (default, ours) in BATCHES.items():
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, ours)
