@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.session import bounded_batches
+
 #: Python works on so many rows of an Arrow batch at a time.
 BATCH_ROWS = 512
 
@@ -55,7 +57,7 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches, whose bytes Spark bounds (64 MB unless the session says otherwise), in slices of at most BATCH_ROWS rows, so that what is made of texts does not pile up."""
+    """The batches in slices of at most BATCH_ROWS rows, so that what is made of texts does not pile up where a session has batches of many rows."""
     for batch in batches:
         for at in range(0, batch.num_rows, BATCH_ROWS):
             yield batch.slice(at, BATCH_ROWS)
@@ -73,6 +75,7 @@ def map_texts(
     keys: output name to column. fields: name, DDL type and Arrow type of each returned value. A null text is
     handed over as an empty one. Rows are streamed in batches bounded by rows and bytes; no row waits for another.
     """
+    bounded_batches(df.sparkSession)
     names = list(keys)
     picked = df.select(*[c.alias(n) for n, c in keys.items()], F.coalesce(text, F.lit("")).alias("__text"))
     ddl = ", ".join([f"`{n}` {picked.schema[n].dataType.simpleString()}" for n in names] + [f"`{n}` {t}" for n, t, _ in fields])
@@ -114,6 +117,7 @@ class Recent(dict):
 
 def filter_texts(df: DataFrame, text_col: str, keep: Callable[[bytes, str], bool]) -> DataFrame:
     """The rows, all columns as they are, whose text (null: empty) ``keep`` accepts. One pass, no shuffle."""
+    bounded_batches(df.sparkSession)
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,6 +130,7 @@ def filter_texts(df: DataFrame, text_col: str, keep: Callable[[bytes, str], bool
 
 def replace_texts(df: DataFrame, text_col: str, make: Callable[[bytes, str], str]) -> DataFrame:
     """The rows, all columns as they are but for the text, which ``make`` gives anew; a null text stays. One pass, no shuffle."""
+    bounded_batches(df.sparkSession)
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

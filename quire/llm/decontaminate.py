@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.common import checkpointed, filter_texts, map_texts, replace_texts
+from quire.session import bounded_batches
 
 WINDOW = 13
 K = 7
@@ -122,6 +123,8 @@ class Index:
         for t, (prints, seen, names) in self.levels.items():
             own, at = winnow(hashes, t)
             maybe = np.flatnonzero(seen[own & np.uint64((1 << _BITS) - 1)])
+            if not len(maybe):
+                continue
             maybe = maybe[np.isin(own[maybe], prints)]
             for start in starts_round(at[maybe].tolist(), t, len(words)):
                 named = names.get(digest_of(words[start : start + t]))
@@ -283,6 +286,7 @@ def _shuffled(documents: DataFrame, items: DataFrame, text_col: str, window: int
         t = level_of(len(words), window)
         return (_prints(words, [t]), _windows(words, ((t, i) for i in range(len(words) - t + 1)))) if words else ([], [])
 
+    bounded_batches(documents.sparkSession)
     index = checkpointed(map_texts(items.distinct(), {"item": F.col("item")}, F.col("item_text"), of_item, [_PRINT, _WINDOW]))
     held_prints = index.select(F.inline("prints")).select("level", "print").distinct()
     named = index.select("item", F.inline("windows")).select("level", "digest", "item").distinct()

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import map_texts, sliced
 from quire.llm.decontaminate import words_of
+from quire.session import bounded_batches
 
 
 #: Phrases and their labels.
@@ -147,6 +148,7 @@ def phrase_places(words: list[bytes]) -> list[tuple[int, str]]:
 def frequencies(df: DataFrame, templates: list[tuple[str, str]], text_col: str = "text") -> dict[Token, int]:
     """How many blocks of the corpus hold each token of the templates."""
     held = vocabulary(templates)
+    bounded_batches(df.sparkSession)
 
     def run(batches):
         counts: Counter = Counter()

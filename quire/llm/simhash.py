@@ -151,7 +151,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row, with all its columns, of each component: that of the smallest id, and of those with one id or none that of the smallest digest of the text; a repeated row stays once."""
-    digest = F.md5(F.coalesce(F.col(text_col), F.lit("")))
+    digest = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     picked = df.select(F.col(id_col).alias("id"), digest.alias("key"), F.col(text_col).alias("of"))
     fields = [("fp", "long", pa.int64())]
     prints = checkpointed(map_texts(picked, {"id": F.col("id"), "key": F.col("key")}, F.col("of"), lambda utf8, _: (fingerprint(shingle_hashes(utf8)),), fields))
@@ -159,6 +159,6 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     names = named.select(F.col("name.id").alias("__name"), F.col("name.key").alias("__digest"))
     kept = df.join(names, F.col(id_col).eqNullSafe(F.col("__name")) & (digest == F.col("__digest")), "left_semi")
     # Repeats are rare: whether there are any is counted on ids and digests alone.
-    if kept.select(F.col(id_col).alias("id"), digest.alias("key")).groupBy("id", "key").count().where("count > 1").limit(1).count() == 0:
+    if prints.groupBy("id", "key").count().where("count > 1").limit(1).count() == 0:
         return kept
     return kept.withColumn("__mark", digest).dropDuplicates([id_col, "__mark"]).drop("__mark")

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.common import checkpointed, sliced, written
+from quire.session import bounded_batches
 
 #: A run of fewer repeated words stays. Lines and sentences that unrelated texts share by chance are shorter; copied passages are longer.
 MIN_WORDS = 20
@@ -75,6 +76,7 @@ _ROWS = 50_000
 
 def unit_rows(df: DataFrame, id_col: str, text_col: str, unit: str) -> DataFrame:
     """Rows (id, __row, unit, start, end, n_words, digest)."""
+    bounded_batches(df.sparkSession)
     picked = df.select(F.col(id_col).alias("__id"), F.monotonically_increasing_id().alias("__row"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     names = ["__id", "__row", *_UNITS]
 
