@@ -84,7 +84,27 @@ _EDGES = (
     "SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders"
 )
 
+def lcs_sql(pairs: str) -> str:
+    """SQL of ``lcs(a, b, n)``: the longest common subsequence of each pair, row by row of its table: the running maximum of what was above and of the diagonal plus a match."""
+    return f"""
+pairs AS ({pairs}),
+rows_ AS (
+  SELECT a, b, 0 AS i, list_transform(range(1, length(b) + 1), lambda j: 0) AS r FROM pairs
+  UNION ALL
+  SELECT a, b, i + 1, list_transform(range(1, length(b) + 1), lambda j: list_max(best[1:j])) FROM (
+    SELECT a, b, i, list_transform(range(1, length(b) + 1), lambda k: greatest(r[k], CASE WHEN k > 1 THEN r[k - 1] ELSE 0 END + CASE WHEN b[k] = a[i + 1] THEN 1 ELSE 0 END)) AS best FROM rows_ WHERE i < length(a)
+  )
+),
+lcs AS (SELECT a, b, r[length(b)] AS n FROM rows_ WHERE i = length(a))"""
+
+
 ORACLES = {
+    "fuzzy_candidates": rf"""
+WITH RECURSIVE names AS (SELECT DISTINCT form FROM (SELECT unnest(regexp_extract_all(lower(p_name), '\w+')) AS form FROM part) WHERE length(form) >= 4),
+typos AS (SELECT DISTINCT substr(form, 1, 2) || substr(form, 4) AS token FROM names WHERE length(form) >= 5),
+{lcs_sql("SELECT token AS a, form AS b FROM typos, names")}
+SELECT a AS token, b AS form, 200.0::DOUBLE * n / (length(a) + length(b)) AS ratio FROM lcs WHERE 200 * n >= 82 * (length(a) + length(b))
+""",
     "graph_reach": f"WITH RECURSIVE e AS ({_EDGES}), w AS (SELECT 'r' || r_regionkey AS root, 'r' || r_regionkey AS node, 0 AS depth FROM region UNION SELECT root, dst, depth + 1 FROM w JOIN e ON src = node WHERE depth < 5) "
     "SELECT root, depth, count(*) AS n FROM w GROUP BY 1, 2",
     "class_counts": "WITH t(class) AS (VALUES ('click'), ('view'), ('purchase'), ('absent')), c AS (SELECT event_type AS class, count(DISTINCT event_id) FILTER (WHERE user_id % 2 = 0) AS truth, count(DISTINCT event_id) FILTER (WHERE user_id % 2 <> 0) AS test FROM events GROUP BY 1) "
