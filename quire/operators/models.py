@@ -6,12 +6,13 @@ the request, so a task that runs again asks nothing twice that an earlier run ha
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import request_key
@@ -122,3 +123,35 @@ def usage(answers: DataFrame) -> DataFrame:
     """One row: calls, tokens, errors and the mean of tokens a call (null without calls)."""
     out = answers.agg(F.count("*").alias("calls"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.count("error").alias("errors"), F.sum("attempts").alias("attempts"))
     return out.withColumn("tokens_per_call", F.try_divide("tokens_out", "calls"))
+
+
+# Parts of the names of models that do not generate text.
+NOT_GENERATING = ["embed", "minilm", "bge", "jina", "rerank"]
+
+
+def generating(name: Column) -> Column:
+    """Whether a model of a server's list generates text, by its name."""
+    return ~F.lower(name).rlike("|".join(NOT_GENERATING))
+
+
+def thinking_options(name: Column, enabled: Column) -> Column:
+    """JSON of the request options that turn thinking on or off: models of one family have their own name for it."""
+    own = F.to_json(F.struct(F.struct(F.when(enabled, "enabled").otherwise("disabled").alias("type")).alias("thinking_config")))
+    others = F.to_json(F.struct(F.struct(enabled.alias("enable_thinking")).alias("chat_template_kwargs")))
+    return F.when(F.lower(name).contains("kimi"), own).otherwise(others)
+
+
+def run_log(answers: DataFrame, system: str, model: str, seconds: float, **params: object) -> DataFrame:
+    """One row for the log of a run: model, hash of the system prompt, parameters as JSON, totals, tokens an entry and tokens a second."""
+    total = F.coalesce(F.col("tokens_in"), F.lit(0)) + F.coalesce(F.col("tokens_out"), F.lit(0))
+    return usage(answers).select(
+        F.lit(model).alias("model"), F.sha2(F.lit(system), 256).alias("prompt_sha256"), F.lit(json.dumps(params, sort_keys=True)).alias("params"), "calls", "tokens_in", "tokens_out", "errors",
+        total.alias("tokens"), F.try_divide(total, "calls").alias("tokens_per_entry"), F.try_divide(total, F.lit(float(seconds))).alias("tokens_per_second"),
+    )
+
+
+def best_class(scores: Column) -> Column:
+    """struct<prediction, probability>: the place of the largest score, and its share after a softmax."""
+    top = F.array_max(scores)
+    rest = F.aggregate(scores, F.lit(0.0), lambda acc, x: acc + F.exp((x - top).cast("double")))
+    return F.struct((F.array_position(scores, top) - 1).alias("prediction"), (1.0 / rest).alias("probability"))

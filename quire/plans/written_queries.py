@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quire.functions import answers, chunks, dates, geometry, numerals, text
-from quire.operators import repair, search, validate, windows
+from quire.operators import models, repair, search, validate, windows
 from quire.plans.model_queries import lcs_sql
 from quire.plans.text_queries import EASTER_SQL
-from quire.sources import pages, readers, reports
+from quire.sources import pages, readers, reports, triples
 
 STRUCK = "j" + numerals.STROKE
 
@@ -317,8 +317,82 @@ def token_weights(spark: SparkSession, d: str) -> DataFrame:
     return search.weights(search.name_forms(persons), persons.agg(F.count("*").alias("n"))).select("form", "df", F.round("weight", 9).alias("weight"))
 
 
+def served_models(spark: SparkSession, d: str) -> DataFrame:
+    """Models of a list that generate text, with the options that turn thinking on for every other one."""
+    key = F.col("p_partkey")
+    kinds = ["Kimi-K2", "qwen3", "BGE-m3", "jina-x", "all-MiniLM", "glm", "text-embed"]
+    name = F.concat(F.element_at(F.array(*map(F.lit, kinds)), (key % len(kinds) + 1).cast("int")), F.lit("/"), key)
+    rows = table(spark, d, "part").select(name.alias("model"), key).where(models.generating(F.col("model")))
+    return rows.select("model", models.thinking_options(F.col("model"), key % 2 == 0).alias("options"))
+
+
+def run_logs(spark: SparkSession, d: str) -> DataFrame:
+    """The log of a run over answers that stand for orders."""
+    orders = table(spark, d, "orders")
+    rows = orders.select(
+        F.col("o_orderkey").cast("string").alias("key"), F.lit("x").alias("content"), F.lit("stop").alias("finish_reason"), (F.col("o_custkey") % 7).alias("tokens_in"), (F.col("o_custkey") % 11).alias("tokens_out"),
+        F.lit(1).alias("attempts"), F.when(F.col("o_orderkey") % 50 == 0, "busy").alias("error"),
+    )
+    return models.run_log(rows, "be brief", "echo", 4.0, temperature=0, max_tokens=64)
+
+
+def class_probabilities(spark: SparkSession, d: str) -> DataFrame:
+    """The place of each embedding's largest number and its share after a softmax."""
+    rows = table(spark, d, "embeddings").select("vec_id", models.best_class(F.col("embedding")).alias("b"))
+    return rows.select("vec_id", "b.prediction", F.round("b.probability", 6).alias("probability"))
+
+
+def tagged_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Spans of years and keys in short texts, by the pattern tagger."""
+    rows = table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("order "), F.col("o_orderkey"), F.lit(" of "), F.year("o_orderdate"), F.lit(" said")).alias("text"))
+    found = models.predicted(rows, lambda: models.PatternTagger({"year": r"(?<=of )[0-9]{4}", "key": r"(?<=order )[0-9]+"}), "o_orderkey long, text string, spans array<struct<label:string,start:int,end:int>>", 500)
+    return found.select("o_orderkey", F.inline("spans"))
+
+
+def entry_weights(spark: SparkSession, d: str) -> DataFrame:
+    """Entries of a graph for each customer's orders; a broken graph for some, none at all for others: these weigh 1."""
+    key = F.col("o_custkey")
+    head = '<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:bk="urn:bk#">'
+    node = F.format_string('<bk:%s rdf:about="urn:t#%d"/>', F.when(F.col("o_orderkey") % 3 == 0, "Note").when(F.col("o_orderkey") % 3 == 1, "Transaction").otherwise("SubTotal"), F.col("o_orderkey"))
+    graphs = table(spark, d, "orders").where(key % 13 != 0).groupBy(key.cast("string").alias("graph")).agg(F.concat(F.lit(head), F.array_join(F.array_sort(F.collect_list(node)), ""), F.when(F.first(key) % 7 == 0, "").otherwise("</rdf:RDF>")).alias("text"))
+    datasets = table(spark, d, "orders").select(key.cast("string").alias("dataset"))
+    return triples.entry_weights(datasets, triples.triples(graphs))
+
+
+def day_first_dates(spark: SparkSession, d: str) -> DataFrame:
+    """Order days written with the day first and three kinds of marks, some of no month."""
+    key, day = F.col("o_orderkey"), F.col("o_orderdate")
+    mark = F.when(key % 3 == 0, ".").when(key % 3 == 1, "/").otherwise("-")
+    written = F.concat(F.lit(" "), F.day(day), mark, F.month(day) + F.when(key % 10 == 0, 12).otherwise(0), mark, F.year(day))
+    return table(spark, d, "orders").select("o_orderkey", text.day_first_date(written).cast("string").alias("day"))
+
+
+def letter_tags(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of a letter's elements; broken ones have none."""
+    n = F.col("l_linenumber")
+    xml = F.concat(F.lit("<opener><dateline>x</dateline></opener>"), F.repeat(F.lit("<p>y<lb/></p>"), n), F.when(n % 3 == 0, "<closer>").otherwise("<closer/>"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", answers.tag_counts(xml).alias("tags"))
+
+
+def expanded_names(spark: SparkSession, d: str) -> DataFrame:
+    """Names from answers: an object with persons, a bare list, or nothing that can be read."""
+    key, name = F.col("c_custkey"), F.col("c_mktsegment")
+    raw = F.when(key % 3 == 0, F.concat(F.lit('Sure: {"persons": ["'), name, F.lit('", " ", "B"]}'))).when(key % 3 == 1, F.concat(F.lit('```json\n["'), name, F.lit('"]\n```'))).otherwise("none")
+    return table(spark, d, "customer").select("c_custkey", F.array_join(answers.expanded_persons(raw), ",").alias("names"))
+
+
+def request_helpers(spark: SparkSession, d: str) -> DataFrame:
+    """Waits before attempts, headers, names for files, prompts and kinds of addresses."""
+    key = F.col("page_id")
+    return table(spark, d, "pages").select(
+        "page_id", text.backoff(key % 8).alias("wait"), text.retry_after(F.when(key % 2 == 0, (key % 9).cast("string")).otherwise("soon")).alias("after"), text.safe_name(F.concat(F.lit("a/b: "), key)).alias("name"),
+        text.prompt(F.lit(" one "), F.when(key % 3 > 0, F.lit("two")).otherwise(""), F.lit(None)).alias("prompt"), text.url_kind(F.col("url")).alias("kind"), text.middots(F.concat(F.lit(" a  b "), key)).alias("dotted"),
+        text.name_year(F.concat(F.lit("abc"), 1900 + key % 50, F.lit("0101"))).alias("y"),
+    ).select("page_id", "wait", "after", "name", "prompt", "kind", "dotted", "y.short_title", "y.year")
+
+
 QUERIES = [
-    name_candidates, name_likeness, token_weights, roman_values, numeral_runs, denarii, free_text_amounts, corrected_quantities, date_phrases, free_text_dates, dated_or_year, phrase_marks, page_regions, page_boxes, ground_truth, byte_tokens, judgements,
+    served_models, run_logs, class_probabilities, tagged_spans, entry_weights, day_first_dates, letter_tags, expanded_names, request_helpers, name_candidates, name_likeness, token_weights, roman_values, numeral_runs, denarii, free_text_amounts, corrected_quantities, date_phrases, free_text_dates, dated_or_year, phrase_marks, page_regions, page_boxes, ground_truth, byte_tokens, judgements,
     answers_checked, path_functions, model_file_rates, batch_numbers, affine_points, split_properties, back_references, validation_findings, applied_findings,
 ]
 
@@ -338,6 +412,24 @@ forms AS (SELECT pid, lower(given) AS form FROM persons UNION SELECT pid, low FR
 weights AS (SELECT form, count(DISTINCT pid) AS df, ln((SELECT count(*) FROM persons) / count(DISTINCT pid)) AS weight FROM forms GROUP BY form)"""
 
 ORACLES = {
+    "served_models": """
+WITH t AS (SELECT p_partkey AS k, ['Kimi-K2', 'qwen3', '', '', '', 'glm', ''][p_partkey % 7 + 1] AS kind FROM part)
+SELECT kind || '/' || k AS model, CASE WHEN kind = 'Kimi-K2' THEN '{"thinking_config":{"type":"' || CASE WHEN k % 2 = 0 THEN 'enabled' ELSE 'disabled' END || '"}}'
+  ELSE '{"chat_template_kwargs":{"enable_thinking":' || (k % 2 = 0) || '}}' END AS options FROM t WHERE kind <> ''""",
+    "run_logs": """
+WITH t AS (SELECT count(*) AS calls, CAST(sum(o_custkey % 7) AS BIGINT) AS i, CAST(sum(o_custkey % 11) AS BIGINT) AS o, count(*) FILTER (WHERE o_orderkey % 50 = 0) AS errors FROM orders)
+SELECT 'echo' AS model, sha256('be brief') AS prompt_sha256, '{"max_tokens": 64, "temperature": 0}' AS params, calls, i AS tokens_in, o AS tokens_out, errors, i + o AS tokens, (i + o) / calls::DOUBLE AS tokens_per_entry, (i + o) / 4.0::DOUBLE AS tokens_per_second FROM t""",
+    "class_probabilities": "WITH t AS (SELECT vec_id, embedding AS e, list_max(embedding) AS m FROM embeddings) SELECT vec_id, CAST(list_position(e, m) - 1 AS BIGINT) AS prediction, round(1.0 / list_sum(list_transform(e, lambda x: exp(CAST(x - m AS DOUBLE)))), 6) AS probability FROM t",
+    "tagged_spans": """
+WITH t AS (SELECT o_orderkey, CAST(length(CAST(o_orderkey AS VARCHAR)) AS INTEGER) AS n FROM orders)
+SELECT o_orderkey, 'key' AS label, CAST(6 AS INTEGER) AS start, CAST(6 + n AS INTEGER) AS "end" FROM t UNION ALL SELECT o_orderkey, 'year', CAST(10 + n AS INTEGER), CAST(14 + n AS INTEGER) FROM t""",
+    "entry_weights": "SELECT CAST(o_custkey AS VARCHAR) AS dataset, CASE WHEN o_custkey % 13 = 0 OR o_custkey % 7 = 0 THEN 1 ELSE count(*) FILTER (WHERE o_orderkey % 3 < 2) END AS weight FROM orders GROUP BY o_custkey",
+    "day_first_dates": "SELECT o_orderkey, CASE WHEN o_orderkey % 10 <> 0 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS day FROM orders",
+    "letter_tags": "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE 'opener:1 dateline:1 p:' || l_linenumber || ' closer:1' END AS tags FROM lineitem",
+    "expanded_names": "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN c_mktsegment || ',B' WHEN 1 THEN c_mktsegment ELSE '' END AS names FROM customer",
+    "request_helpers": """
+SELECT page_id, least(2.0 * pow(2, page_id % 8), 60.0)::DOUBLE AS wait, CASE WHEN page_id % 2 = 0 THEN page_id % 9 ELSE 5 END::DOUBLE AS after, 'a_b__' || page_id AS name, CASE WHEN page_id % 3 > 0 THEN 'one' || chr(10) || chr(10) || 'two' ELSE 'one' END AS prompt,
+  CASE WHEN starts_with(url, 'http://') OR starts_with(url, 'https://') THEN 'url' ELSE 'other' END AS kind, 'a·b·' || page_id AS dotted, 'abc' AS short_title, CAST(1900 + page_id % 50 AS VARCHAR) AS year FROM pages""",
     "name_candidates": f"""
 WITH RECURSIVE {_NAMES},
 toks AS (SELECT mention, unnest([lower(given), lower(typo)]) AS token FROM said),

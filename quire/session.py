@@ -23,3 +23,16 @@ def bounded_batches(spark: SparkSession) -> None:
     for key, (default, ours) in BATCHES.items():
         if spark.conf.get(key) == default:
             spark.conf.set(key, ours)
+
+
+def options(spark: SparkSession, defaults: dict[str, object], prefix: str = "quire.") -> dict[str, object]:
+    """The defaults, each in its own type, with what the session's configuration says below the prefix (``quire.generation.model``).
+
+    Secrets are not among them: a provider is made on the executors and reads its own from the environment there.
+    """
+    out = dict(defaults)
+    for key, default in defaults.items():
+        said = spark.conf.get(prefix + key, None)
+        if said is not None:
+            out[key] = said.strip().lower() in ("true", "1", "yes") if isinstance(default, bool) else said if default is None else type(default)(said)
+    return out
