@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.text import words
 from quire.operators import graph, models, search
+from quire.sources import folders
 from quire.sources.readers import table
 from quire.streaming import files
 
@@ -59,8 +58,7 @@ def argmax_label(spark: SparkSession, d: str) -> DataFrame:
 
 def events_resume_stream(spark: SparkSession, d: str) -> DataFrame:
     """Events read as a file stream to the end, step by step, then counted."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quire-stream-")
-    run = f"{base.rstrip('/')}/stream-{spark.sparkContext.applicationId}-{spark.range(1).select(F.uuid()).first()[0]}"
+    run = folders.scratch(spark, "stream")
     schema = table(spark, d, "events").schema
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet" if _is_folder(spark, d) else f"{d}/event[s].parquet")
     files.run_available(source.select("event_id", "event_type", "value"), f"{run}/checkpoint", files.upsert_into(f"{run}/out", ["event_id"]))

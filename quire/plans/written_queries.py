@@ -13,7 +13,7 @@ from quire.functions import answers, chunks, dates, geometry, numerals, text
 from quire.operators import models, repair, search, validate, windows
 from quire.plans.model_queries import lcs_sql
 from quire.plans.text_queries import EASTER_SQL
-from quire.sources import pages, readers, reports, triples
+from quire.sources import folders, pages, readers, reports, triples, writers
 
 STRUCK = "j" + numerals.STROKE
 
@@ -391,8 +391,72 @@ def request_helpers(spark: SparkSession, d: str) -> DataFrame:
     ).select("page_id", "wait", "after", "name", "prompt", "kind", "dotted", "y.short_title", "y.year")
 
 
+def _parts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", "p_name", "p_brand", F.when(F.col("p_size") > 10, F.col("p_size")).alias("p_size"))
+
+
+def csv_written(spark: SparkSession, d: str) -> DataFrame:
+    """Parts written as CSV and read again, as typed columns and as strings."""
+    path, rows = folders.scratch(spark, "csv"), _parts(spark, d)
+    writers.csv(rows, path)
+    typed, plain = readers.csv(spark, path, rows.schema), readers.csv_strings(spark, path)
+    return typed.join(plain.select(F.col("p_partkey").cast("long").alias("p_partkey"), F.col("p_size").alias("as_string")), "p_partkey")
+
+
+def json_written(spark: SparkSession, d: str) -> DataFrame:
+    path, rows = folders.scratch(spark, "json"), _parts(spark, d)
+    writers.json_lines(rows, path)
+    return readers.json_lines(spark, path, rows.schema)
+
+
+def parquet_written(spark: SparkSession, d: str) -> DataFrame:
+    """Parts in a folder for each brand; one brand is read, by its folder alone."""
+    path = folders.scratch(spark, "parquet")
+    writers.parquet(_parts(spark, d), path, ["p_brand"])
+    return spark.read.parquet(path).where("p_brand = 'Brand#3'").select("p_partkey", "p_name")
+
+
+def work_lists_written(spark: SparkSession, d: str) -> DataFrame:
+    """A list of names and addresses for each host kind, read again as one work list."""
+    path = folders.scratch(spark, "lists")
+    rows = table(spark, d, "pages").select(F.concat(F.lit("page"), F.col("page_id")).alias("name"), "url", (F.col("page_id") % 3).alias("lot"))
+    writers.work_lists(rows, path, ["lot"])
+    return readers.work_list(spark, f"{path}/*").select("name", "url")
+
+
+def lines_written(spark: SparkSession, d: str) -> DataFrame:
+    """Lines with comments and blanks among them, written as text; ids are read from them, and their parts at the bars."""
+    path, key = folders.scratch(spark, "lines"), F.col("c_custkey")
+    line = F.when(key % 5 == 0, "# note").when(key % 5 == 1, "  ").otherwise(F.concat(F.lit(" c"), key, F.lit(" | "), F.col("c_mktsegment"), F.lit("||")))
+    writers.text_lines(table(spark, d, "customer").select(line.alias("line")), path, "line")
+    return readers.corpus_lines(spark, path).select(F.col("parts")[0].alias("id"), F.col("parts")[1].alias("segment"), F.size("parts").alias("n"))
+
+
+def texts_listed(spark: SparkSession, d: str) -> DataFrame:
+    """A file for each nation, read whole; wanted ones that are not there are marked."""
+    path = folders.scratch(spark, "texts")
+    nations = table(spark, d, "nation")
+    nations.where("n_nationkey % 4 > 0").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("value")).repartition(5, "k").write.partitionBy("k").text(path)
+    found = readers.whole_texts(spark, path).select(F.regexp_extract("path", "k=([0-9]+)", 1).cast("int").alias("n_nationkey"), F.trim(F.regexp_replace("text", "\\n", "")).alias("text"))
+    return readers.listed_texts(nations.select("n_nationkey"), found, "n_nationkey")
+
+
+def log_appended(spark: SparkSession, d: str) -> DataFrame:
+    """A log of JSON lines, written in two steps and read again."""
+    path, rows = folders.scratch(spark, "log"), table(spark, d, "supplier").select("s_suppkey", "s_name")
+    writers.appended_log(rows.where("s_suppkey % 2 = 0"), path)
+    writers.appended_log(rows.where("s_suppkey % 2 = 1"), path)
+    return readers.json_lines(spark, path, rows.schema)
+
+
+def one_text(spark: SparkSession, d: str) -> DataFrame:
+    """Nations as one text and as one JSON object."""
+    rows = table(spark, d, "nation")
+    return writers.joined_text(rows, "n_nationkey", "n_name", "; ").crossJoin(writers.keyed_json(rows, "n_name", "n_regionkey"))  # one row each
+
+
 QUERIES = [
-    served_models, run_logs, class_probabilities, tagged_spans, entry_weights, day_first_dates, letter_tags, expanded_names, request_helpers, name_candidates, name_likeness, token_weights, roman_values, numeral_runs, denarii, free_text_amounts, corrected_quantities, date_phrases, free_text_dates, dated_or_year, phrase_marks, page_regions, page_boxes, ground_truth, byte_tokens, judgements,
+    csv_written, json_written, parquet_written, work_lists_written, lines_written, texts_listed, log_appended, one_text, served_models, run_logs, class_probabilities, tagged_spans, entry_weights, day_first_dates, letter_tags, expanded_names, request_helpers, name_candidates, name_likeness, token_weights, roman_values, numeral_runs, denarii, free_text_amounts, corrected_quantities, date_phrases, free_text_dates, dated_or_year, phrase_marks, page_regions, page_boxes, ground_truth, byte_tokens, judgements,
     answers_checked, path_functions, model_file_rates, batch_numbers, affine_points, split_properties, back_references, validation_findings, applied_findings,
 ]
 
@@ -411,7 +475,17 @@ said AS (SELECT *, upper(low[1]) || low[2:3] || low[5:] AS typo, given || ' ' ||
 forms AS (SELECT pid, lower(given) AS form FROM persons UNION SELECT pid, low FROM persons),
 weights AS (SELECT form, count(DISTINCT pid) AS df, ln((SELECT count(*) FROM persons) / count(DISTINCT pid)) AS weight FROM forms GROUP BY form)"""
 
+_PARTS = "SELECT p_partkey, p_name, p_brand, CASE WHEN p_size > 10 THEN p_size END AS p_size FROM part"
+
 ORACLES = {
+    "csv_written": f"SELECT *, CAST(p_size AS VARCHAR) AS as_string FROM ({_PARTS})",
+    "json_written": _PARTS,
+    "parquet_written": "SELECT p_partkey, p_name FROM part WHERE p_brand = 'Brand#3'",
+    "work_lists_written": "SELECT 'page' || page_id AS name, url FROM pages",
+    "lines_written": "SELECT 'c' || c_custkey AS id, c_mktsegment AS segment, CAST(2 AS INTEGER) AS n FROM customer WHERE c_custkey % 5 > 1",
+    "texts_listed": "SELECT n_nationkey, CASE WHEN n_nationkey % 4 > 0 THEN n_name ELSE '' END AS text, n_nationkey % 4 = 0 AS missing FROM nation",
+    "log_appended": "SELECT s_suppkey, s_name FROM supplier",
+    "one_text": """SELECT string_agg(n_name, '; ' ORDER BY n_nationkey) AS n_name, '{' || string_agg('"' || n_name || '":' || n_regionkey, ',' ORDER BY n_name) || '}' AS json FROM nation""",
     "served_models": """
 WITH t AS (SELECT p_partkey AS k, ['Kimi-K2', 'qwen3', '', '', '', 'glm', ''][p_partkey % 7 + 1] AS kind FROM part)
 SELECT kind || '/' || k AS model, CASE WHEN kind = 'Kimi-K2' THEN '{"thinking_config":{"type":"' || CASE WHEN k % 2 = 0 THEN 'enabled' ELSE 'disabled' END || '"}}'

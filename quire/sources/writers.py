@@ -36,16 +36,26 @@ def appended_log(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.mode("append").text(path)
 
 
-def joined_text(df: DataFrame, order: str, text: str, separator: str = "\n\n") -> DataFrame:
-    """One row: the texts in order. A document of outputs, bounded by what one reader can hold."""
+#: Rows that are gathered into one text at most; more are refused, not cut.
+ONE_TEXT = 100_000
+
+
+def _few(df: DataFrame, most: int) -> DataFrame:
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows")
+    return df
+
+
+def joined_text(df: DataFrame, order: str, text: str, separator: str = "\n\n", most: int = ONE_TEXT) -> DataFrame:
+    """One row: the texts in order, of at most ``most`` rows."""
     parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"))))
-    return df.agg(F.array_join(F.transform(parts, lambda x: x["t"]), separator).alias(text))
+    return _few(df, most).agg(F.array_join(F.transform(parts, lambda x: x["t"]), separator).alias(text))
 
 
-def keyed_json(df: DataFrame, key: str, value: str) -> DataFrame:
-    """One row: a JSON object of key to value."""
+def keyed_json(df: DataFrame, key: str, value: str, most: int = ONE_TEXT) -> DataFrame:
+    """One row: a JSON object of key to value, of at most ``most`` rows."""
     pairs = F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(value).alias("v"))))
-    return df.agg(F.to_json(F.map_from_entries(pairs)).alias("json"))
+    return _few(df, most).agg(F.to_json(F.map_from_entries(pairs)).alias("json"))
 
 
 def markdown(df: DataFrame, most: int = 500) -> str:

@@ -2,6 +2,7 @@
 
 import importlib.util
 import os
+import shutil
 import subprocess
 import sys
 
@@ -33,3 +34,16 @@ def test_nothing_else_imports_the_subpackage():
                 if name.endswith(".py"):
                     with open(os.path.join(folder, name), encoding="utf-8") as f:
                         assert "quire.llm" not in f.read(), name
+
+
+def test_the_rest_works_when_the_folders_are_gone(tmp_path):
+    """A copy without the subpackage, its tests and the pipeline imports, lists its queries and runs one."""
+    copy = tmp_path / "copy"
+    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "llm", "corpus_pipeline.py", ".pytest_cache"))
+    code = "import __spark_entry__ as e; q = e.queries(); print(any(n.startswith('op') or n == 'pipeline' for n in q), len(q) > 100, set(e.oracle_sql()) <= set(q))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=copy, env=os.environ | {"PYTHONPATH": str(copy)}, capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0 and out.stdout.split() == ["False", "True", "True"], out.stderr
+    tests = subprocess.run(
+        [sys.executable, "-m", "pytest", "-q", "-p", "no:cacheprovider", "tests/test_sources.py"], cwd=copy, env=os.environ | {"PYTHONPATH": str(copy)}, capture_output=True, text=True, timeout=600
+    )
+    assert tests.returncode == 0, tests.stdout[-2000:]
