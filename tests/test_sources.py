@@ -67,3 +67,12 @@ def test_triples_of_blank_and_typed_nodes(spark):
     xml = fixtures.GRAPHS[0][1].replace("</rdf:RDF>", '<bk:Transaction rdf:about="urn:t#T3"><bk:x><bk:Money><bk:unit>d</bk:unit></bk:Money></bk:x><bk:y rdf:parseType="Resource"><bk:z>1</bk:z></bk:y></bk:Transaction></rdf:RDF>')
     rows = triples.triples(spark.createDataFrame([("g", xml)], "graph string, text string")).where("s = 'urn:t#T3' AND o_kind = 'bnode'").count()
     assert rows == 2
+
+
+def test_options_take_the_types_of_their_defaults(spark):
+    from quire.session import options
+
+    defaults = {"generation.model": "echo", "run.max_retries": 3, "generation.temperature": 0.0, "run.fail": False, "paths.output": None}
+    for key, value in {"generation.model": "other", "run.max_retries": "5", "run.fail": "true", "paths.output": "/out"}.items():
+        spark.conf.set(f"quire.{key}", value)
+    assert options(spark, defaults) == {"generation.model": "other", "run.max_retries": 5, "generation.temperature": 0.0, "run.fail": True, "paths.output": "/out"}
