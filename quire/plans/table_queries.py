@@ -89,12 +89,19 @@ def _item_words(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select(F.explode(words(F.col("text"))).alias("w"))
 
 
+def _word_counts(spark: SparkSession, d: str, other: str) -> DataFrame:
+    """(w, a, b): how often a word stands in the items and in another table. Counts meet, not occurrences."""
+    side = lambda rows, n: rows.groupBy("w").agg(F.count("*").alias(n))
+    there = table(spark, d, other).select(F.explode(words(F.col("text"))).alias("w"))
+    return side(_item_words(spark, d), "a").join(side(there, "b"), "w", "left").withColumn("b", F.coalesce("b", F.lit(0)))
+
+
 def multiset_intersect(spark: SparkSession, d: str) -> DataFrame:
-    return _item_words(spark, d).intersectAll(table(spark, d, "documents").select(F.explode(words(F.col("text"))).alias("w"))).groupBy("w").agg(F.count("*").alias("n"))
+    return _word_counts(spark, d, "documents").select("w", F.least("a", "b").alias("n")).where("n > 0")
 
 
 def multiset_except(spark: SparkSession, d: str) -> DataFrame:
-    return _item_words(spark, d).exceptAll(table(spark, d, "conversations").select(F.explode(words(F.col("text"))).alias("w"))).groupBy("w").agg(F.count("*").alias("n"))
+    return _word_counts(spark, d, "conversations").select("w", (F.col("a") - F.col("b")).alias("n")).where("n > 0")
 
 
 def set_operations(spark: SparkSession, d: str) -> DataFrame:
