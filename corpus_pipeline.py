@@ -21,8 +21,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group of near-duplicates."""
-    return simhash.keep_one(docs)
+    """One document, the one with the smallest id, of each group of near-duplicates: five-word shingles, a similarity of 0.8 or more."""
+    return simhash.keep_one(docs, similarity=0.8, k=5)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

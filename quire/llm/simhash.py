@@ -10,6 +10,8 @@ a few bits is bounded by their number of places, not by the group's size. Finger
 value link by themselves, so these are joined through that value first (one row for each flip, no pairs); the ring join then only
 keeps pairs that are not yet connected.
 
+``keep_one`` also links texts by the exact Jaccard similarity of their shingles, as four bits are far tighter than a similarity of 0.8: see there.
+
 Null and empty texts have fingerprint zero and link as any other. Ties of a bit count as unset. Repeated rows are copies. The
 component is named by its smallest id; null ids count only if a component has no other. Very long texts are hashed in blocks. Ids are read as they are, other columns are
 not read and ``keep_one`` keeps them. An empty table gives no rows.
@@ -17,6 +19,7 @@ not read and ``keep_one`` keeps them. An empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -25,13 +28,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import checkpointed, map_texts
+from quire.llm.common import checkpointed, map_texts, sliced, written
 from quire.llm.components import components
+from quire.session import bounded_batches
 
 SHINGLE, SEED, BITS = 4, 42, 4
 #: (shift, width) of the five segments.
 SEGMENTS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
 _BLOCK = 1 << 14
+#: Links by Jaccard similarity: bands of least values, values of a band, and differing bits that a pair may have.
+BANDS, BAND_ROWS, LOOSE_BITS = 20, 6, 20
+_SEEDS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * BAND_ROWS), np.uint64)
+_XOR, _ODD = _SEEDS[0], 2 * _SEEDS[1] + 1
 
 _hash = partial(xxhash.xxh64_intdigest, seed=SEED)
 
@@ -128,19 +136,106 @@ def flip_links(distinct: DataFrame) -> DataFrame:
     return near.join(least, "value").where("fp > u").select("u", F.col("fp").alias("v")).distinct()
 
 
-def _labelled(prints: DataFrame, rep: Column) -> tuple[DataFrame, DataFrame]:
-    """(fp, rep, root) of the distinct fingerprints and (root, name) of their components; rep: an aggregate over the rows of a fingerprint, name: the least one of a component."""
+def _grouped(only: DataFrame, edges: DataFrame) -> DataFrame:
+    """(fp, rep, group): the least fingerprint that edges reach."""
+    roots = components(edges)
+    return checkpointed(only.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("root", "fp").alias("group")))
+
+
+def _labelled(prints: DataFrame, rep: Column, more: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(fp, rep, root) of the distinct fingerprints and (root, name) of their components; rep: an aggregate over the rows of a fingerprint, name: the least one of a component.
+
+    more: gives further edges between fingerprints from (distinct fingerprints, edges so far).
+    """
     only = checkpointed(prints.groupBy("fp").agg(rep.alias("rep")))
-    first = components(flip_links(only.select("fp")))
-    grouped = checkpointed(only.select("fp").join(first, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("group")))
-    pairs = links(grouped)
+    grouped = _grouped(only, flip_links(only.select("fp")))
     within = grouped.where("fp != group").select(F.col("group").alias("u"), F.col("fp").alias("v"))
-    roots = components(pairs.union(within))
-    labelled = only.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    edges = links(grouped.select("fp", "group")).union(within)
+    if more is not None:
+        edges = checkpointed(edges.distinct())
+        edges = edges.union(more(only, edges))
     # A table of its own, so that both sides of the join are dealt anew and a root with many fingerprints can be split.
+    labelled = _grouped(only, edges).withColumnRenamed("group", "root")
     return labelled, checkpointed(labelled.groupBy("root").agg(F.min("rep").alias("name")))
 
 
+def bands(hashes: list[int]) -> tuple[int, list[int]]:
+    """(number of distinct hashes, a signed 64-bit key of each band of least values); no hashes: no keys."""
+    if not hashes:
+        return 0, []
+    array = np.unique(np.array(hashes, np.uint64))
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(array), _BLOCK >> 3):
+        mixed = (array[i : i + (_BLOCK >> 3), None] ^ _XOR) * _ODD
+        np.minimum(least, mixed.min(axis=0), out=least)
+    rows = least.reshape(BANDS, BAND_ROWS)
+    keys = np.array([xxhash.xxh64_intdigest(row.tobytes(), seed=band) for band, row in enumerate(rows)], np.uint64)
+    return len(array), keys.view(np.int64).tolist()
+
+
+def _could_link(a: str, b: str, similarity: float) -> Column:
+    """What pairs of that similarity meet: set sizes in proportion (always), fingerprints within LOOSE_BITS (but for about one in ten thousand at 0.8)."""
+    small, large = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
+    return (small >= F.lit(similarity) * large) & (F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= LOOSE_BITS)
+
+
+def _alike(pairs: DataFrame, texts: DataFrame, similarity: float, k: int) -> DataFrame:
+    """Edges (u, v) of the pairs (u, v, key_u, key_v) whose shingle sets have at least that Jaccard similarity, counted exactly."""
+    bounded_batches(pairs.sparkSession)
+    second = texts.select(F.col("key").alias("key_v"), F.col("text").alias("text_v"))
+    first = texts.select(F.col("key").alias("key_u"), F.col("text").alias("text_u"))
+    # The side that many pairs share comes last, so that its rows stand together and its set is made once.
+    both = pairs.join(second, "key_v").join(first, "key_u").select("u", "v", "key_u", "text_u", "text_v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, known = None, frozenset()
+        for batch in sliced(batches):
+            keep = []
+            for key, a, b in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
+                if key != last:
+                    last, known = key, frozenset(shingle_hashes(a.encode("utf-8"), k))
+                other = set(shingle_hashes(b.encode("utf-8"), k))
+                shared = len(known & other)
+                keep.append(shared >= similarity * (len(known) + len(other) - shared))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return checkpointed(both.mapInArrow(run, "u long, v long").distinct())
+
+
+def similar_links(rows: DataFrame, df_texts: DataFrame, only: DataFrame, edges: DataFrame, similarity: float, k: int) -> DataFrame:
+    """Further edges (u, v) between fingerprints: those of texts with a Jaccard similarity over k-word shingles.
+
+    rows: (id, key, fp, n, bands) of every row; df_texts: (id, key, text). Texts that agree in a band of least values are candidates. In each band's
+    bucket all are first compared with the least one; then the pairs that are still in different components are, so a large group of near copies
+    costs a row for each copy and bucket instead of its pairs.
+    """
+    least_id = F.min(F.struct(F.col("id").isNull().alias("late"), "id"))
+    folded = rows.groupBy("key").agg(least_id.alias("of"), F.min("fp").alias("fp"), F.max("n").alias("n"), F.first("bands").alias("bands"))
+    member = folded.join(_grouped(only, edges).select("fp", "group"), "fp").select(F.struct("group", "key", "fp", "n").alias("m"), "of", F.posexplode("bands").alias("band", "bucket"))
+    heads = member.groupBy("band", "bucket").agg(F.min("m").alias("h"), F.max("m.group").alias("top")).where("h.group < top").drop("top")
+    shared = checkpointed(member.join(heads, ["band", "bucket"]))
+
+    needed = shared.select(F.col("of.id").alias("needed_id"), F.col("m.key").alias("needed")).distinct()
+    is_needed = F.col("id").eqNullSafe(F.col("needed_id")) & (F.col("key") == F.col("needed"))
+    texts = written(df_texts.join(needed, is_needed, "left_semi").dropDuplicates(["id", "key"]).select("key", F.coalesce("text", F.lit("")).alias("text")))
+
+    def ends(a: str, b: str) -> list[Column]:
+        return [F.col(f"{a}.fp").alias("u"), F.col(f"{b}.fp").alias("v"), F.col(f"{a}.key").alias("key_u"), F.col(f"{b}.key").alias("key_v")]
+
+    stars = checkpointed(shared.where((F.col("m.group") != F.col("h.group")) & _could_link("h", "m", similarity)).select(ends("h", "m")).distinct())
+    by_head = _alike(stars, texts, similarity, k)
+
+    groups = _grouped(only, edges.union(by_head)).select("fp", F.col("group").alias("now"))
+    open_rows = shared.join(groups, F.col("m.fp") == groups["fp"]).select("band", "bucket", "m", "now")
+    mixed = open_rows.groupBy("band", "bucket").agg(F.min("now").alias("a"), F.max("now").alias("b")).where("a < b").select("band", "bucket")
+    still = checkpointed(open_rows.join(mixed, ["band", "bucket"]))
+    other = still.select("band", "bucket", F.col("m").alias("o"), F.col("now").alias("now_o"))
+    apart = (F.col("now") != F.col("now_o")) & (F.col("m.key") < F.col("o.key")) & _could_link("m", "o", similarity)
+    tried = stars.select(F.least("key_u", "key_v").alias("key_u"), F.greatest("key_u", "key_v").alias("key_v"))
+    rest = still.join(other, ["band", "bucket"]).where(apart).select(ends("m", "o")).distinct().join(tried, ["key_u", "key_v"], "left_anti")
+    return by_head.union(_alike(checkpointed(rest), texts, similarity, k))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, fp, component_id): component_id is the smallest id that links reach."""
     prints = checkpointed(fingerprints(df, id_col, text_col))
@@ -149,13 +244,27 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return prints.join(of_print, "fp").select(id_col, "fp", "component_id")
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row, with all its columns, of each component: that of the smallest id, and of those with one id or none that of the smallest digest of the text; a repeated row stays once."""
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, k: int = SHINGLE) -> DataFrame:
+    """One row, with all its columns, of each group of near-duplicates: that of the smallest id, and of those with one id or none that of the smallest digest of the text; a repeated row stays once.
+
+    Groups are what links between fingerprints over k-word shingles within four bits reach and, with a similarity, also links between texts whose shingle sets
+    have at least that Jaccard similarity. Those are about ten bits apart at 0.8, too many for the ring join, so their candidates come from bands of least
+    values (0.998 of the pairs at 0.8, more above, less below: BANDS and BAND_ROWS are made for 0.8) and are checked exactly.
+    """
     digest = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    picked = df.select(F.col(id_col).alias("id"), digest.alias("key"), F.col(text_col).alias("of"))
-    fields = [("fp", "long", pa.int64())]
-    prints = checkpointed(map_texts(picked, {"id": F.col("id"), "key": F.col("key")}, F.col("of"), lambda utf8, _: (fingerprint(shingle_hashes(utf8)),), fields))
-    _, named = _labelled(prints, F.min(F.struct(F.col("id").isNull().alias("late"), "id", "key")))
+    picked = df.select(F.col(id_col).alias("id"), digest.alias("key"), F.col(text_col).alias("text"))
+
+    def each(utf8: bytes, _: str) -> tuple:
+        hashes = shingle_hashes(utf8, k)
+        return fingerprint(hashes), *(bands(hashes) if similarity is not None else (0, []))
+
+    fields = [("fp", "long", pa.int64()), ("n", "int", pa.int32()), ("bands", "array<bigint>", pa.list_(pa.int64()))]
+    prints = written(map_texts(picked, {"id": F.col("id"), "key": F.col("key")}, F.col("text"), each, fields))
+    _, named = _labelled(
+        prints,
+        F.min(F.struct(F.col("id").isNull().alias("late"), "id", "key")),
+        None if similarity is None else lambda only, edges: similar_links(prints, picked, only, edges, similarity, k),
+    )
     names = named.select(F.col("name.id").alias("__name"), F.col("name.key").alias("__digest"))
     kept = df.join(names, F.col(id_col).eqNullSafe(F.col("__name")) & (digest == F.col("__digest")), "left_semi")
     # Repeats are rare: whether there are any is counted on ids and digests alone.

@@ -218,6 +218,45 @@ def test_ring_join_is_complete_with_either_key(spark):
     assert all(((r["u"] ^ r["v"]) % (1 << 64)).bit_count() <= 2 for r in near)
 
 
+def _near_copies():
+    """Groups of texts with some words changed, a passage that many share, a chain, and texts of a few words."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    rows, passage = [], [word() for _ in range(60)]
+    for size, changes in ((2, 3), (2, 8), (40, 2), (12, 5)):
+        base = [word() for _ in range(200)]
+        for _ in range(size):
+            copy = list(base)
+            for at in rng.sample(range(200), rng.randint(0, changes)):
+                copy[at] = word()
+            rows.append(" ".join(copy))
+    rows += [" ".join([*(word() for _ in range(60)), *passage]) for _ in range(20)]
+    chain = [word() for _ in range(300)]
+    rows += [" ".join(chain[i * 12 : i * 12 + 200]) for i in range(6)]
+    rows += ["one two", "One  two", "one two three", "", rows[5], rows[0].upper()]
+    return list(enumerate(rows))
+
+
+def test_keep_one_against_brute_force(spark):
+    """Groups by exact Jaccard similarity of 0.8 over five words, or fingerprints within four bits."""
+    rows = _near_copies()
+    sets = {i: set(simhash.shingle_hashes(t.encode(), 5)) for i, t in rows}
+    prints = {i: simhash.fingerprint(simhash.shingle_hashes(t.encode(), 5)) % (1 << 64) for i, t in rows}
+    alike = lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 4 or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) > 0
+    edges = [(a, b) for a in sets for b in sets if a < b and alike(a, b)]
+    want = sorted(set(brute.components(list(sets), edges).values()))
+    df = spark.createDataFrame([(*r, "x", "x") for r in rows], "doc_id long, text string, key string, bands string").repartition(5)
+    kept = simhash.keep_one(df, similarity=0.8, k=5)
+    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == want
+    assert len(want) < len(rows) - 50
+
+
+def test_bands_depend_on_sets_alone():
+    hashes = simhash.shingle_hashes(" ".join(f"w{i}" for i in range(5000)).encode(), 5)
+    assert simhash.bands(hashes) == simhash.bands(hashes[::-1] + hashes[:9]) and simhash.bands([]) == (0, [])
+    assert len(simhash.bands(hashes)[1]) == simhash.BANDS and simhash.bands(hashes)[0] == len(hashes)
+
+
 def test_null_ids_have_components(spark):
     rows = [(None, "a b c d e f"), (None, "a b c d e f"), (7, "a b c d e f"), (None, "z y x w v u t")]
     found = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
