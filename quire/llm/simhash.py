@@ -184,8 +184,9 @@ def _alike(pairs: DataFrame, texts: DataFrame, similarity: float, k: int) -> Dat
     bounded_batches(pairs.sparkSession)
     second = texts.select(F.col("key").alias("key_v"), F.col("text").alias("text_v"))
     first = texts.select(F.col("key").alias("key_u"), F.col("text").alias("text_u"))
-    # The side that many pairs share comes last, so that its rows stand together and its set is made once.
-    both = pairs.join(second, "key_v").join(first, "key_u").select("u", "v", "key_u", "text_u", "text_v")
+    # Pairs are small rows and their comparison is not: dealt over all cores by a number that adaptive execution leaves alone, those of one first text in runs.
+    dealt = pairs.repartition(2 * pairs.sparkSession.sparkContext.defaultParallelism, "key_v").sortWithinPartitions("key_u")
+    both = dealt.join(second, "key_v").join(first, "key_u").select("u", "v", "key_u", "text_u", "text_v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, known = None, frozenset()
