@@ -38,6 +38,8 @@ SEGMENTS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
 _BLOCK = 1 << 14
 #: Links by Jaccard similarity: bands of least values, values of a band, and differing bits that a pair may have.
 BANDS, BAND_ROWS, LOOSE_BITS = 20, 6, 20
+#: Buckets of at most so many texts are compared pair by pair.
+SMALL = 32
 _SEEDS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * BAND_ROWS), np.uint64)
 _XOR, _ODD = _SEEDS[0], 2 * _SEEDS[1] + 1
 
@@ -179,42 +181,110 @@ def _could_link(a: str, b: str, similarity: float) -> Column:
     return (small >= F.lit(similarity) * large) & (F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= LOOSE_BITS)
 
 
-def _alike(pairs: DataFrame, texts: DataFrame, similarity: float, k: int) -> DataFrame:
-    """Edges (u, v) of the pairs (u, v, key_u, key_v) whose shingle sets have at least that Jaccard similarity, counted exactly."""
+def _beside(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs with text_u and text_v, those of one key_u mostly in runs."""
     bounded_batches(pairs.sparkSession)
     second = texts.select(F.col("key").alias("key_v"), F.col("text").alias("text_v"))
     first = texts.select(F.col("key").alias("key_u"), F.col("text").alias("text_u"))
-    # Pairs are small rows and their comparison is not: dealt over all cores by a number that adaptive execution leaves alone, those of one first text in runs.
+    # Pairs are small rows and their comparison is not: dealt over all cores by a number that adaptive execution leaves alone.
     dealt = pairs.repartition(2 * pairs.sparkSession.sparkContext.defaultParallelism, "key_v").sortWithinPartitions("key_u")
-    both = dealt.join(second, "key_v").join(first, "key_u").select("u", "v", "key_u", "text_u", "text_v")
+    return dealt.join(second, "key_v").join(first, "key_u")
+
+
+def _compared(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, list[tuple[frozenset[int], set[int]]]]]:
+    """Batches of (key_u, text_u, text_v, ...) with the shingle sets of both texts of each row."""
+    last, known = None, frozenset()
+    for batch in sliced(batches):
+        sets = []
+        for key, a, b in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            if key != last:
+                last, known = key, frozenset(shingle_hashes(a.encode("utf-8"), k))
+            sets.append((known, set(shingle_hashes(b.encode("utf-8"), k))))
+        yield batch, sets
+
+
+def _similar(a: frozenset[int], b: set[int], similarity: float) -> bool:
+    shared = len(a & b)
+    return shared >= similarity * (len(a) + len(b) - shared)
+
+
+def _alike(pairs: DataFrame, texts: DataFrame, similarity: float, k: int) -> DataFrame:
+    """Edges (u, v) of the pairs (u, v, key_u, key_v) whose shingle sets have at least that Jaccard similarity, counted exactly."""
+    both = _beside(pairs, texts).select("key_u", "text_u", "text_v", "u", "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, known = None, frozenset()
-        for batch in sliced(batches):
-            keep = []
-            for key, a, b in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
-                if key != last:
-                    last, known = key, frozenset(shingle_hashes(a.encode("utf-8"), k))
-                other = set(shingle_hashes(b.encode("utf-8"), k))
-                shared = len(known & other)
-                keep.append(shared >= similarity * (len(known) + len(other) - shared))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+        for batch, sets in _compared(batches, k):
+            yield batch.select([3, 4]).filter(pa.array([_similar(a, b, similarity) for a, b in sets], pa.bool_()))
 
     return checkpointed(both.mapInArrow(run, "u long, v long").distinct())
 
 
-def similar_links(rows: DataFrame, df_texts: DataFrame, only: DataFrame, edges: DataFrame, similarity: float, k: int) -> DataFrame:
+def _differences(placed: DataFrame, texts: DataFrame, similarity: float, k: int) -> DataFrame:
+    """The rows (key_u, u, n_u, key_v, v, n, now) with alike, whether the two texts are that similar, and differ, the hashes that only one of them has."""
+    columns = ["key_u", "u", "n_u", "key_v", "v", "n", "now"]
+    both = _beside(placed, texts).select("key_u", "text_u", "text_v", *columns[1:])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, sets in _compared(batches, k):
+            alike = pa.array([_similar(a, b, similarity) for a, b in sets], pa.bool_())
+            differ = pa.array([np.fromiter(a ^ b, np.uint64, len(a ^ b)).view(np.int64) for a, b in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[3:], alike, differ], names=[*columns, "alike", "differ"])
+
+    ddl = ", ".join(f"{c} {placed.schema[c].dataType.simpleString()}" for c in columns)
+    return written(both.mapInArrow(run, f"{ddl}, alike boolean, differ array<bigint>"))
+
+
+def sharing(placed: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (key_u, key_v, u, v, once each) of rows of ``_differences`` under one centre that may be that similar and are in different components: all that are, and few others.
+
+    What two texts x and y do not share is what their differences from the centre do not share. With c = (1 - similarity) / (1 + similarity), n a set's
+    size, d that of its difference from the centre and e = d - c n, they are similar where their differences share t = (e_x + e_y) / 2 hashes or more.
+    Let e_x <= e_y. Not both are similar to the centre (they would be in one component), so e_y > c n_centre and t exceeds e_x and (e_x + c n_centre) / 2;
+    as the shared are at most d_x, and n_x at most n_y / similarity, t is also at least e_y - c n_y / similarity, and at least (e_y - c n_centre) / 2. So
+    the rarest d - t + 1 hashes of both have one in common, after which as many must be left as the pair's own t asks for. Near copies
+    that were changed at places of their own differ by hashes of their own, which meet nothing.
+    """
+    c = (1 - similarity) / (1 + similarity)
+    apart = placed.select("key_u", "n_u", "key_v", "v", "n", "now", F.explode("differ").alias("hash"))
+    rare = apart.groupBy("key_u", "hash").agg(F.count("*").alias("held"))
+    ordered = apart.join(rare, ["key_u", "hash"]).groupBy("key_u", "key_v").agg(
+        *(F.first(x).alias(x) for x in ("n_u", "v", "n", "now")), F.sort_array(F.collect_list(F.struct("held", "hash"))).alias("differ")
+    )
+    e, centre = F.col("e"), F.lit(c) * F.col("n_u")
+
+    def kept(least: Column) -> Column:
+        return F.col("d") - F.greatest(F.lit(1), F.ceil(least - 1e-6)) + 1
+
+    sized = ordered.withColumn("d", F.size("differ")).withColumn("e", F.col("d") - F.lit(c) * F.col("n"))
+    sized = sized.withColumn("as_less", kept(F.greatest(e, (e + centre) / 2)))
+    sized = sized.withColumn("as_more", F.when(e > centre - 1e-6, kept(F.greatest(e - F.lit(c / similarity) * F.col("n"), (e - centre) / 2))).otherwise(0))
+    first = F.slice("differ", 1, F.greatest("as_less", "as_more", F.lit(0)).cast("int"))
+    spread = checkpointed(sized.select("key_u", "key_v", "v", "now", "e", "d", "as_less", "as_more", F.posexplode(first).alias("at", "of")))
+    sides = spread.select("key_u", F.col("of.hash").alias("hash"), "as_less", "as_more", "at", F.struct("e", F.col("key_v").alias("key")).alias("m"), F.col("v").alias("fp"), "now", (F.col("d") - F.col("at")).alias("left"))
+    less = sides.where("at < as_less").select("key_u", "hash", *(F.col(x).alias(f"{x}_x") for x in ("m", "fp", "now", "left")))
+    more = sides.where("at < as_more").select("key_u", "hash", *(F.col(x).alias(f"{x}_y") for x in ("m", "fp", "now", "left")))
+    enough = F.least("left_x", "left_y") >= (F.col("m_x.e") + F.col("m_y.e")) / 2 - 1e-6
+    met = less.join(more, ["key_u", "hash"]).where((F.col("m_x") < F.col("m_y")) & (F.col("now_x") != F.col("now_y")) & enough)
+    return met.select(F.col("fp_x").alias("u"), F.col("fp_y").alias("v"), F.col("m_x.key").alias("key_u"), F.col("m_y.key").alias("key_v"))
+
+
+def similar_links(rows: DataFrame, df_texts: DataFrame, only: DataFrame, edges: DataFrame, similarity: float, k: int, small: int = SMALL) -> DataFrame:
     """Further edges (u, v) between fingerprints: those of texts with a Jaccard similarity over k-word shingles.
 
     rows: (id, key, fp, n, bands) of every row; df_texts: (id, key, text). Texts that agree in a band of least values are candidates. In each band's
-    bucket all are first compared with the least one; then the pairs that are still in different components are, so a large group of near copies
-    costs a row for each copy and bucket instead of its pairs.
+    bucket all are first compared with its head, the text whose buckets hold the most texts in all: of a group of near copies the one that most others
+    are nearest to. What is then in different components is compared pair by pair in buckets of at most ``small`` texts; in larger ones every
+    text's difference from a centre is taken, and only pairs that share enough of their differences are compared: see ``sharing``. Both ways
+    try all pairs that can be similar, so a large group of near copies costs a row for each copy, not its pairs.
     """
     least_id = F.min(F.struct(F.col("id").isNull().alias("late"), "id"))
     folded = rows.groupBy("key").agg(least_id.alias("of"), F.min("fp").alias("fp"), F.max("n").alias("n"), F.first("bands").alias("bands"))
     member = folded.join(_grouped(only, edges).select("fp", "group"), "fp").select(F.struct("group", "key", "fp", "n").alias("m"), "of", F.posexplode("bands").alias("band", "bucket"))
-    heads = member.groupBy("band", "bucket").agg(F.min("m").alias("h"), F.max("m.group").alias("top")).where("h.group < top").drop("top")
-    shared = checkpointed(member.join(heads, ["band", "bucket"]))
+    sizes = member.groupBy("band", "bucket").agg(F.min("m.group").alias("a"), F.max("m.group").alias("b"), F.count("*").alias("size")).where("a < b").drop("a", "b")
+    met = checkpointed(member.join(sizes, ["band", "bucket"]))
+    weights = met.groupBy(F.col("m.key").alias("weighed")).agg((-F.sum("size")).alias("rank"))
+    heads = met.join(weights, F.col("m.key") == F.col("weighed")).groupBy("band", "bucket").agg(F.min(F.struct("rank", "m.key", "m.fp", "m.n", "m.group")).alias("h"))
+    shared = checkpointed(met.join(heads, ["band", "bucket"]))
 
     needed = shared.select(F.col("of.id").alias("needed_id"), F.col("m.key").alias("needed")).distinct()
     is_needed = F.col("id").eqNullSafe(F.col("needed_id")) & (F.col("key") == F.col("needed"))
@@ -227,14 +297,25 @@ def similar_links(rows: DataFrame, df_texts: DataFrame, only: DataFrame, edges:
     by_head = _alike(stars, texts, similarity, k)
 
     groups = _grouped(only, edges.union(by_head)).select("fp", F.col("group").alias("now"))
-    open_rows = shared.join(groups, F.col("m.fp") == groups["fp"]).select("band", "bucket", "m", "now")
-    mixed = open_rows.groupBy("band", "bucket").agg(F.min("now").alias("a"), F.max("now").alias("b")).where("a < b").select("band", "bucket")
+    open_rows = shared.join(groups, F.col("m.fp") == groups["fp"]).select("band", "bucket", "size", "h", "m", "now")
+    mixed = open_rows.where("m.key != h.key").groupBy("band", "bucket").agg(F.min("now").alias("a"), F.max("now").alias("b")).where("a < b").select("band", "bucket")
     still = checkpointed(open_rows.join(mixed, ["band", "bucket"]))
-    other = still.select("band", "bucket", F.col("m").alias("o"), F.col("now").alias("now_o"))
+
+    few = still.where(F.col("size") <= small).select("band", "bucket", "m", "now")
+    other = few.select("band", "bucket", F.col("m").alias("o"), F.col("now").alias("now_o"))
     apart = (F.col("now") != F.col("now_o")) & (F.col("m.key") < F.col("o.key")) & _could_link("m", "o", similarity)
-    tried = stars.select(F.least("key_u", "key_v").alias("key_u"), F.greatest("key_u", "key_v").alias("key_v"))
-    rest = still.join(other, ["band", "bucket"]).where(apart).select(ends("m", "o")).distinct().join(tried, ["key_u", "key_v"], "left_anti")
-    return by_head.union(_alike(checkpointed(rest), texts, similarity, k))
+    rest = few.join(other, ["band", "bucket"]).where(apart).select(ends("m", "o"))
+
+    # Any text can be the centre; the head of the head's heaviest bucket is one that the buckets of a large group have in common.
+    centres = shared.groupBy(F.col("m.key").alias("of_head")).agg(F.min("h").alias("centre"))
+    placed = still.where(F.col("size") > small).join(centres, F.col("h.key") == F.col("of_head")).where("m.key != centre.key")
+    placed = placed.select(*ends("centre", "m"), F.col("centre.n").alias("n_u"), F.col("m.n").alias("n"), "now").distinct()
+    placed = _differences(placed, texts, similarity, k)
+
+    ordered = [F.col("u"), F.col("v"), F.least("key_u", "key_v").alias("key_u"), F.greatest("key_u", "key_v").alias("key_v")]
+    tried = stars.select(ordered).select("key_u", "key_v")
+    pairs = rest.union(sharing(placed, similarity)).select(ordered).dropDuplicates(["key_u", "key_v"]).join(tried, ["key_u", "key_v"], "left_anti")
+    return by_head.union(placed.where("alike").select("u", "v").distinct()).union(_alike(checkpointed(pairs.select("u", "v", "key_u", "key_v")), texts, similarity, k))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -251,6 +251,49 @@ def test_keep_one_against_brute_force(spark):
     assert len(want) < len(rows) - 50
 
 
+def test_large_groups_of_near_copies_cost_their_rows(spark, monkeypatch):
+    """Copies changed in so many places of their own that many are below 0.8 to all others: the groups of brute force, without comparing their pairs."""
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+
+    def changed(words: list[str], most: int) -> list[str]:
+        out = list(words)
+        for at in rng.sample(range(len(words)), rng.randint(0, most)):
+            out[at] = rng.choice(("", word(), f"{out[at]} {word()}"))
+        return out
+
+    base = [word() for _ in range(120)]
+    far = changed(base, 12)
+    texts = [changed(base, 12) for _ in range(320)] + [changed(far, 6) for _ in range(60)] + [base[:100] + changed(base[100:], 9) for _ in range(60)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    sets = {i: set(simhash.shingle_hashes(t.encode(), 5)) for i, t in rows}
+    prints = {i: simhash.fingerprint(simhash.shingle_hashes(t.encode(), 5)) % (1 << 64) for i, t in rows}
+    alike = lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 4 or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    want = sorted(set(brute.components(list(sets), [(a, b) for a in sets for b in sets if a < b and alike(a, b)]).values()))
+    compared, exact = [], simhash._alike
+    monkeypatch.setattr(simhash, "_alike", lambda pairs, *more: compared.append(pairs.count()) or exact(pairs, *more))
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), similarity=0.8, k=5)
+    assert sorted(r["doc_id"] for r in kept.collect()) == want
+    assert 50 < len(want) < len(rows) - 50 and sum(compared) < 12 * len(rows)
+
+
+def test_pairs_that_share_their_differences(spark):
+    """All pairs at 0.8 of which one is below 0.8 to the centre, whatever the centre; none that both share too little."""
+    rng = random.Random(5)
+    sets = {0: set(range(100))}
+    for i in range(1, 160):
+        start = sets[rng.choice([0, 0, 0, *range(i)])]
+        sets[i] = set(rng.sample(sorted(start), len(start) - rng.randint(0, len(start) // 8))) | {rng.randrange(100, 400) for _ in range(rng.randint(0, 20))}
+    like = lambda a, b: 5 * len(a & b) >= 4 * len(a | b)
+    for centre in (0, 7, 150):
+        rows = [(centre, centre, len(sets[centre]), i, i, len(s), i, like(s, sets[centre]), sorted(s ^ sets[centre])) for i, s in sets.items() if i != centre]
+        ddl = "key_u long, u long, n_u int, key_v long, v long, n int, now long, alike boolean, differ array<long>"
+        found = {(min(r["u"], r["v"]), max(r["u"], r["v"])) for r in simhash.sharing(spark.createDataFrame(rows, ddl), 0.8).collect()}
+        near = {r[3] for r in rows if r[7]}
+        want = {(a, b) for a in sets for b in sets if a < b and centre not in (a, b) and not {a, b} <= near and like(sets[a], sets[b])}
+        assert want <= found and len(want) > 20 and len(found) < 160 * 159 // 4
+
+
 def test_bands_depend_on_sets_alone():
     hashes = simhash.shingle_hashes(" ".join(f"w{i}" for i in range(5000)).encode(), 5)
     assert simhash.bands(hashes) == simhash.bands(hashes[::-1] + hashes[:9]) and simhash.bands([]) == (0, [])
