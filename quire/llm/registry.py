@@ -6,10 +6,10 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import byte_bpe, chat, decontaminate, licenses, pii, quality, sharding, simhash, substrings, token_counts
+from quire.llm import audit, byte_bpe, chat, decontaminate, lexical, licenses, packing, pii, quality, sharding, simhash, substrings, token_counts
 from quire.llm.common import spread, table
 
-BPE_FILE, PIECE_FILE = "byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model"
+BPE_FILE, PIECE_FILE, PACK_FILE = "byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model", "byte_bpe_50k.json"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,9 +70,21 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), [1.0] * 24).withColumn("law", F.lit("key"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.replay(audit.failures(documents(spark, sf_dir), table(spark, sf_dir, "labels")))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path(PACK_FILE))
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_substrings, op3_quality, op4_decontaminate, op5_token_counts, op6_chat, op7_simhash, op8_pii, op9_licenses, op10_sharding)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_substrings, op3_quality, op4_decontaminate, op5_token_counts, op6_chat, op7_simhash, op8_pii, op9_licenses, op10_sharding, op11_filter_audit, op12_packing, op13_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substrings": substrings.ORACLE, "op4_decontaminate": decontaminate.ORACLE, "op6_chat": chat.ORACLE, "op9_licenses": licenses.ORACLE, "op10_sharding": sharding.oracle(24)}
+    return {"op2_substrings": substrings.ORACLE, "op4_decontaminate": decontaminate.ORACLE, "op6_chat": chat.ORACLE, "op9_licenses": licenses.ORACLE, "op10_sharding": sharding.oracle(24), "op11_filter_audit": audit.ORACLE, "op13_search": lexical.ORACLE}

@@ -1,8 +1,10 @@
 """Plain versions of the operators, for small tables."""
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
+from itertools import permutations
 
 import regex
 import xxhash
@@ -232,3 +234,61 @@ def md5(text):
 
 def sha(text):
     return hashlib.sha256(text.encode() if isinstance(text, str) else text).hexdigest()
+
+
+def audited(docs, labels):
+    """{(part, order, step): counts} for rows (id, text, part) and (id, quality, toxic), by going through the orders document by document."""
+    good, toxic = ({r[0] for r in labels if r[0] is not None and r[k] == 1} for k in (1, 2))
+    fails = []
+    for i, text, part in docs:
+        text = text or ""
+        words = SPACE_WORD.findall(text)
+        failed = "A" if len(words) < 200 else ""
+        failed += "B" if 100 * len(set(words)) < 50 * len(words) else ""
+        failed += "C" if 100 * len(re.findall("[A-Z]", text)) > 3 * len(text) else ""
+        failed += "D" if re.search("[#$%&*|]", text) else ""
+        failed += "E" if i is not None and any(j is not None and j < i and (t or "") == text for j, t, _ in docs) else ""
+        fails.append((i, part or "", failed))
+    out = {}
+    for order in map("".join, permutations("ABCDE")):
+        for i, part, failed in fails:
+            gone = None
+            for step, f in enumerate(order, 1):
+                counts = out.setdefault((part, order, step), [0] * 6)
+                if gone is None and f in failed:
+                    gone = step
+                    counts[1] += 1
+                    counts[4] += i in good
+                    counts[5] += i in toxic
+                elif gone is not None and f in failed:
+                    counts[2] += 1
+                counts[0] += gone is None
+                counts[3] += failed == f
+    shapley = Counter()
+    for (part, order, step), counts in out.items():
+        shapley[part, order[step - 1]] += counts[1]
+    return {k: (*v, shapley[k[0], k[1][k[2] - 1]]) for k, v in out.items()}
+
+
+SEARCH_TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def ranked(docs, items, top=50):
+    """Sorted (item, rank, id, score) for rows (id, text)."""
+    listed = [(i, Counter(SEARCH_TERM.findall(lower(t or "")))) for i, t in docs]
+    listed = [(i, c) for i, c in listed if c]
+    n_docs, n_terms = len(listed), sum(sum(c.values()) for _, c in listed)
+    df = Counter(t for _, c in listed for t in c)
+    wanted = defaultdict(set)
+    for i, t in items:
+        wanted[i] |= set(SEARCH_TERM.findall(lower(t or "")))
+    out = []
+    for item, terms in wanted.items():
+        scores = []
+        for i, c in listed:
+            m = 50 + 50 * sum(c.values()) * n_docs // n_terms
+            s = sum(math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * (1000000000 * c[t] // (1000 * c[t] + 20 * m)) for t in terms if t in c)
+            if s > 0:
+                scores.append((-s, i is not None, i or 0, i))
+        out += [(item, rank, i, -s) for rank, (s, _, _, i) in enumerate(sorted(scores, key=lambda x: x[:3])[:top], 1)]
+    return sorted(out, key=repr)
