@@ -124,16 +124,6 @@ def test_candidates_against_a_plain_search(spark):
     assert "spellings: Muller, Hanns Mueller" in {r["pid"]: r["card"] for r in search.rendered(people).collect()}["p1"]
 
 
-def test_unfolding_visits_shared_nodes_once_and_stops_at_cycles():
-    t = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
-    edges = [("r", "p#a", "x", "uri"), ("r", "p#b", "y", "uri"), ("x", "p#c", "s", "uri"), ("y", "p#d", "s", "uri"), ("s", "p#back", "r", "uri"), ("s", "p#v", "5", "literal"), ("s", t, "k#Money", "uri"), ("x", t, "k#T", "uri"), ("y", t, "k#T", "uri")]
-    u = graph.Unfolding(edges)
-    assert u.structural("r") == ["E|a|T", "T#1|c|Money", "Money#1|back|Unknown", "Money#1|v|lit:any", "E|b|T", "T#2|d|Money"]
-    assert u.identifiers("r")[0] == "a|x" and len(u.exact("r")) == 6
-    deep = graph.Unfolding([(f"n{i}", "p#n", f"n{i + 1}", "uri") for i in range(9)])
-    assert len(deep.structural("n0")) == 5 and len(deep.tree("n0")) == 6
-
-
 def test_self_comparison_is_perfect(spark):
     twice = [("a", fixtures.GRAPHS[0][1]), ("b", fixtures.GRAPHS[0][1]), fixtures.GRAPHS[2]]
     scores, summary = pipelines.ledger_scores(spark.createDataFrame(twice, "graph string, text string"), "a", "b")
