@@ -349,7 +349,7 @@ def tagged_spans(spark: SparkSession, d: str) -> DataFrame:
     return found.select("o_orderkey", F.inline("spans"))
 
 
-def entry_weights(spark: SparkSession, d: str) -> DataFrame:
+def customer_graph_weights(spark: SparkSession, d: str) -> DataFrame:
     """Entries of a graph for each customer's orders; a broken graph for some, none at all for others: these weigh 1."""
     key = F.col("o_custkey")
     head = '<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:bk="urn:bk#">'
@@ -456,7 +456,7 @@ def one_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = [
-    csv_written, json_written, parquet_written, work_lists_written, lines_written, texts_listed, log_appended, one_text, served_models, run_logs, class_probabilities, tagged_spans, entry_weights, day_first_dates, letter_tags, expanded_names, request_helpers, name_candidates, name_likeness, token_weights, roman_values, numeral_runs, denarii, free_text_amounts, corrected_quantities, date_phrases, free_text_dates, dated_or_year, phrase_marks, page_regions, page_boxes, ground_truth, byte_tokens, judgements,
+    csv_written, json_written, parquet_written, work_lists_written, lines_written, texts_listed, log_appended, one_text, served_models, run_logs, class_probabilities, tagged_spans, customer_graph_weights, day_first_dates, letter_tags, expanded_names, request_helpers, name_candidates, name_likeness, token_weights, roman_values, numeral_runs, denarii, free_text_amounts, corrected_quantities, date_phrases, free_text_dates, dated_or_year, phrase_marks, page_regions, page_boxes, ground_truth, byte_tokens, judgements,
     answers_checked, path_functions, model_file_rates, batch_numbers, affine_points, split_properties, back_references, validation_findings, applied_findings,
 ]
 
@@ -497,7 +497,7 @@ SELECT 'echo' AS model, sha256('be brief') AS prompt_sha256, '{"max_tokens": 64,
     "tagged_spans": """
 WITH t AS (SELECT o_orderkey, CAST(length(CAST(o_orderkey AS VARCHAR)) AS INTEGER) AS n FROM orders)
 SELECT o_orderkey, 'key' AS label, CAST(6 AS INTEGER) AS start, CAST(6 + n AS INTEGER) AS "end" FROM t UNION ALL SELECT o_orderkey, 'year', CAST(10 + n AS INTEGER), CAST(14 + n AS INTEGER) FROM t""",
-    "entry_weights": "SELECT CAST(o_custkey AS VARCHAR) AS dataset, CASE WHEN o_custkey % 13 = 0 OR o_custkey % 7 = 0 THEN 1 ELSE count(*) FILTER (WHERE o_orderkey % 3 < 2) END AS weight FROM orders GROUP BY o_custkey",
+    "customer_graph_weights": "SELECT CAST(o_custkey AS VARCHAR) AS dataset, CASE WHEN o_custkey % 13 = 0 OR o_custkey % 7 = 0 THEN 1 ELSE count(*) FILTER (WHERE o_orderkey % 3 < 2) END AS weight FROM orders GROUP BY o_custkey",
     "day_first_dates": "SELECT o_orderkey, CASE WHEN o_orderkey % 10 <> 0 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS day FROM orders",
     "letter_tags": "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE 'opener:1 dateline:1 p:' || l_linenumber || ' closer:1' END AS tags FROM lineitem",
     "expanded_names": "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN c_mktsegment || ',B' WHEN 1 THEN c_mktsegment ELSE '' END AS names FROM customer",
