@@ -45,8 +45,6 @@ DOUBTFUL = {"petri martyris", "sixti pape", "translacionis valentini"}
 
 _EVANGELIST = r"e[wv]ang(?:e)?liste\.?"
 _STEPHEN = r"ste(?:ph|pf|pff|ppf|pph|ff)ani"
-_VIRGIN = r"(?:\s+vir?ginis)?"
-_APOSTLE = r"(?:\s+apostoli)?"
 
 # Spellings of feasts, the more telling before the shorter ones that would match as well.
 SPELLINGS = [
@@ -82,12 +80,12 @@ SPELLINGS = [
     ("stephani", rf"(?:sancti\s+)?(?:{_STEPHEN}(?:\s+(?:in\s+patavia|patavie))?|stef\b\.?)"),
     ("invencionis sancte crucis", r"invencion(?:is|em)\s+sancte\s+crucis"),
     ("exaltacionis crucis", r"exaltacion(?:is|em)\s+(?:sanct[ei]\s+)?crucis|angaria[m]?\s+crucis"),
-    ("nativitatis marie", rf"nativitatis\s+(?:beate\s+)?(?:vir?ginis(?:\s+gloriose)?|marie{_VIRGIN}(?:\s+gloriose)?)"),
-    ("annunciacionis", rf"annun[cti]{{1,4}}a?c?ionis\s+(?:vir?ginis\s+gloriose|marie{_VIRGIN}(?:\s+gloriose)?)|annuntiatio(?:nem)?\s+beatae?\s+maria[e]?\s+vir?ginis"),
+    ("nativitatis marie", r"nativitatis\s+(?:beate\s+)?(?:vir?ginis(?:\s+gloriose)?|marie(?:\s+vir?ginis)?(?:\s+gloriose)?)"),
+    ("annunciacionis", r"annun[cti]{1,4}a?c?ionis\s+(?:vir?ginis\s+gloriose|marie(?:\s+vir?ginis)?(?:\s+gloriose)?)|annuntiatio(?:nem)?\s+beatae?\s+maria[e]?\s+vir?ginis"),
     ("visitacionis", r"visitacionis(?:\s+(?:vir?ginis\s+gloriose|marie))?"),
-    ("purificacionis", rf"purificacionis(?:\s+(?:vir?ginis\s+gloriose|marie{_VIRGIN}))?|liecht?messe?"),
-    ("concepcionis", rf"concepcionis{_VIRGIN}(?:\s+marie)?(?:\s+gloriose)?"),
-    ("assumpcionis", rf"assumpcion(?:is|em)(?:\s+(?:vir?ginis\s+gloriose|marie{_VIRGIN}))?"),
+    ("purificacionis", r"purificacionis(?:\s+(?:vir?ginis\s+gloriose|marie(?:\s+vir?ginis)?))?|liecht?messe?"),
+    ("concepcionis", r"concepcionis(?:\s+vir?ginis)?(?:\s+marie)?(?:\s+gloriose)?"),
+    ("assumpcionis", r"assumpcion(?:is|em)(?:\s+(?:vir?ginis\s+gloriose|marie(?:\s+vir?ginis)?))?"),
     ("johannis baptiste", r"nativitatis\s+(?:sancti\s+)?johannis\s+[wb]aptiste"),
     ("christmas", r"nat(?:alis|ivitatis)\s+(?:christi|domini)|nativitatis|weihnacht\w*|christtag"),
     ("epiphany", r"ep[iy]p[p]?[hf]ani(?:a|e)[ms]?(?:\s+domini)?"),
@@ -100,7 +98,7 @@ SPELLINGS = [
     ("johannis baptiste", r"(?:sancti\s+)?johannis\s+[wb]aptiste"),
     ("johannis apostoli", rf"(?:sancti\s+)?johannis\s+(?:apostoli(?:\s+et\s+{_EVANGELIST})?|{_EVANGELIST})"),
     ("kathedra petri", r"kathedr[ae]\s+(?:sancti\s+)?petri"),
-    ("vincula petri", rf"vincula\s+(?:sancti\s+)?petri{_APOSTLE}"),
+    ("vincula petri", r"vincula\s+(?:sancti\s+)?petri(?:\s+apostoli)?"),
     ("petri martyris", r"petri\s+martyris"),
     ("conversionis pauli", r"conversion(?:is|em)\s+(?:sancti\s+)?pauli"),
     ("translacionis benedicti", r"translacion(?:is|e|em)\s+sancti\s+benedicti(?:\s+abbat[t]?is)?"),
@@ -113,23 +111,23 @@ SPELLINGS = [
     ("martini", r"(?:sancti\s+)?martini(?:\s+episcopi)?|martinstag"),
     ("leonhardi", r"(?:sancti\s+)?l(?:eo|i)n[h]?ard[io](?:\s+confessoris)?"),
     ("bernhardi", r"(?:sanctissimi\s+patris\s+nostri\s+)?(?:sancti\s+)?bernhardi(?:\s+abbat[t]?is)?"),
-    ("bartholomei", rf"(?:sancti\s+)?[wb]artholomei{_APOSTLE}"),
-    ("andree apostoli", rf"(?:sancti\s+)?andre[e]?{_APOSTLE}(?:\s+(?:in\s+patavia|patavie))?"),
-    ("thome apostoli", rf"(?:sancti\s+)?thome{_APOSTLE}"),
-    ("jacobi apostoli", rf"(?:sancti\s+)?jacobi{_APOSTLE}(?:\s+in\s+partibus\s+inferioribus)?"),
+    ("bartholomei", r"(?:sancti\s+)?[wb]artholomei(?:\s+apostoli)?"),
+    ("andree apostoli", r"(?:sancti\s+)?andre[e]?(?:\s+apostoli)?(?:\s+(?:in\s+patavia|patavie))?"),
+    ("thome apostoli", r"(?:sancti\s+)?thome(?:\s+apostoli)?"),
+    ("jacobi apostoli", r"(?:sancti\s+)?jacobi(?:\s+apostoli)?(?:\s+in\s+partibus\s+inferioribus)?"),
     ("philippi et jacobi", r"philippi\s+et\s+jacobi(?:\s+apostolorum)?"),
     ("mathie apostoli", r"(?:sancti\s+)?mathie\s+apostoli"),
     ("mathei apostoli", rf"(?:sancti\s+)?mathei(?:\s+(?:apostoli|{_EVANGELIST})(?:\s+et\s+{_EVANGELIST})?)?"),
     ("marci ewangeliste", rf"marci(?:\s+{_EVANGELIST})?"),
     ("luce ewangeliste", rf"luce\s+{_EVANGELIST}"),
     ("marie magdalene", r"marie\s+magdalene"),
-    ("katherine", rf"(?:sancte\s+)?kath(?:e|a)rine{_VIRGIN}"),
-    ("margrethe", rf"marg[ae]?ret[h]?e{_VIRGIN}"),
-    ("cecilie", rf"cecilie{_VIRGIN}"),
-    ("lucie", rf"(?:angaria[m]?\s+)?lucie{_VIRGIN}"),
-    ("angnetis", rf"a[n]?gnetis{_VIRGIN}"),
-    ("agathe", rf"agat[h]?e{_VIRGIN}(?:\s+martyris)?"),
-    ("scolastice", rf"sc[h]?olastic(?:ae|e){_VIRGIN}"),
+    ("katherine", r"(?:sancte\s+)?kath(?:e|a)rine(?:\s+vir?ginis)?"),
+    ("margrethe", r"marg[ae]?ret[h]?e(?:\s+vir?ginis)?"),
+    ("cecilie", r"cecilie(?:\s+vir?ginis)?"),
+    ("lucie", r"(?:angaria[m]?\s+)?lucie(?:\s+vir?ginis)?"),
+    ("angnetis", r"a[n]?gnetis(?:\s+vir?ginis)?"),
+    ("agathe", r"agat[h]?e(?:\s+vir?ginis)?(?:\s+martyris)?"),
+    ("scolastice", r"sc[h]?olastic(?:ae|e)(?:\s+vir?ginis)?"),
     ("elisabet", r"eli[sz]abet[h]?"),
     ("innocentum", r"innocentum|kindlein\w*tag\w*"),
     ("laurencii", r"(?:sancti\s+)?laurencii(?:\s+martyris)?"),
@@ -163,7 +161,7 @@ SPELLINGS = [
     ("oswaldi regis", r"oswaldi\s+regis(?:\s+et\s+mart[yi]ris)?"),
     ("kiliani", r"kiliani"),
     ("egidi", r"egidi[i]?(?:\s+abbat[t]?is)?"),
-    ("barnabe apostoli", rf"[wb]arnabe{_APOSTLE}"),
+    ("barnabe apostoli", r"[wb]arnabe(?:\s+apostoli)?"),
     ("galli abbatis", r"galli(?:\s+abbatis)?"),
     ("cholmanni", r"(?:solucionis\s+)?cholmanni|colmani"),
     ("processi et martiniani", r"processi\s+et\s+martiniani"),
@@ -176,22 +174,26 @@ SPELLINGS = [
     ("silvestri", r"silvestri"),
 ]
 
-# Numbers of weekdays (Monday 1 to Saturday 6; Sunday 7 where it is named), in words, digits and numerals.
+# The number of a weekday (Monday 1 to Saturday 6) by its word, digit or numeral.
 FERIA_NUMBERS = {
-    1: ["secunda", "2", "2a", "2da", "ii", "iia", "iida"],
-    2: ["tertia", "tercia", "3", "3a", "3cia", "3tia", "iii", "iiia", "iiicia", "iiitia"],
-    3: ["quarta", "4", "4a", "4ta", "iiii", "iiiia", "iiiita", "iv", "iva", "ivta"],
-    4: ["quinta", "5", "5a", "5ta", "v", "va", "vta"],
-    5: ["sexta", "6", "6a", "6ta", "vi", "via", "vita"],
-    6: ["septima", "7", "7a", "7ma", "vii", "viia", "viita"],
-}
-DAY_NAMES = {6: ["sabbato", "sabbatho"], 7: ["dominica", "dominicam", "domica", "domicam"]}
+    "secunda": 1, "2": 1, "2a": 1, "2da": 1, "ii": 1, "iia": 1, "iida": 1,
+    "tertia": 2, "tercia": 2, "3": 2, "3a": 2, "3cia": 2, "3tia": 2, "iii": 2, "iiia": 2, "iiicia": 2, "iiitia": 2,
+    "quarta": 3, "4": 3, "4a": 3, "4ta": 3, "iiii": 3, "iiiia": 3, "iiiita": 3, "iv": 3, "iva": 3, "ivta": 3,
+    "quinta": 4, "5": 4, "5a": 4, "5ta": 4, "v": 4, "va": 4, "vta": 4,
+    "sexta": 5, "6": 5, "6a": 5, "6ta": 5, "vi": 5, "via": 5, "vita": 5,
+    "septima": 6, "7": 6, "7a": 6, "7ma": 6, "vii": 6, "viia": 6, "viita": 6,
+}
+# Days with a name of their own (Saturday 6, Sunday 7).
+DAY_NAMES = {
+    "sabbato": 6, "sabbatho": 6,
+    "dominica": 7, "dominicam": 7, "domica": 7, "domicam": 7,
+}
 # Which Sunday, or other weekday, after or before a feast.
 COUNTS = {
-    1: ["prima", "1", "1a", "i", "ia"],
-    2: ["secunda", "2", "2a", "ii", "iia"],
-    3: ["tertia", "tercia", "3", "3a", "iii", "iiia"],
-    4: ["quarta", "4", "4a", "iiii", "iiiia", "iv", "iva"],
-}
+    "prima": 1, "1": 1, "1a": 1, "i": 1, "ia": 1,
+    "secunda": 2, "2": 2, "2a": 2, "ii": 2, "iia": 2,
+    "tertia": 3, "tercia": 3, "3": 3, "3a": 3, "iii": 3, "iiia": 3,
+    "quarta": 4, "4": 4, "4a": 4, "iiii": 4, "iiiia": 4, "iv": 4, "iva": 4,
+}
 # Endings of ordinals on year numerals, shortest first.
 YEAR_ENDINGS = ("", "o", "mo", "to", "no", "do", "vo", "io", "mi", "ti", "ni", "di", "cio", "tio", "cii", "tii")
