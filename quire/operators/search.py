@@ -1,8 +1,6 @@
 """Name search: mentions to persons of a catalogue, by rarity-weighted fuzzy tokens.
 
-Distinct tokens are compared with distinct name forms, not mentions with persons. Two strings of likeness r (twice their longest common
-subsequence over their lengths) at 82 or more share a bigram and have lengths within a ratio of 1.44, so a join on bigrams with a length condition
-loses nothing; only those pairs reach the Arrow function. A bigram that many forms share is split by AQE.
+Distinct tokens are compared with distinct name forms, not mentions with persons, and of those only the pairs that a partition index proposes: see ``proposed``.
 """
 
 import re
@@ -119,18 +117,87 @@ def token_set_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([set_likeness(x or "", y or "") for x, y in zip(a, b)], dtype="float64")
 
 
-def _bigrams(s: Column) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - 1, F.lit(1))), lambda i: F.substring(s, i, 2)))
+#: Two lengths whose strings have at most so many ways to lose the letters they do not share, three at most, meet by what is left; up to so many edits, two segments make a
+#: key; beyond, one does, as the places of two become too many.
+WAYS, PAIRS = 100, 6
+#: Where a segment starts and how long it is, of n that cut a string of lb letters: the last ones are the longer by one.
+_START = "({0} - 1) * (lb div n) + greatest(0, {0} - 1 - (n - lb % n)) + 1"
+_SIZE = "lb div n + CASE WHEN {0} > n - lb % n THEN 1 ELSE 0 END"
+_CHOICES = "CASE {0} - common WHEN 0 THEN 1 WHEN 1 THEN {0} WHEN 2 THEN {0} * ({0} - 1) / 2 WHEN 3 THEN {0} * ({0} - 1) * ({0} - 2) / 6 ELSE 1000000 END"
+
+
+#: The distinct strings that s becomes without ``gone`` letters, three at most: letter after letter, from left to right.
+_RESTS = """array_distinct(transform(aggregate(slice(array(1, 2, 3), 1, gone), array(struct(s AS t, 1 AS p)), (acc, _) -> flatten(transform(filter(acc, y -> y.p <= length(y.t)), x ->
+    transform(sequence(x.p, length(x.t)), q -> struct(concat(substring(x.t, 1, q - 1), substring(x.t, q + 1)) AS t, q AS p))))), z -> z.t))"""
+
+
+def _cut(strings: DataFrame, column: str, own: str, other: str, floor: float) -> DataFrame:
+    """Rows (s, la, lb, k, n, i, j, rests): each distinct string with each length of its partners, the edits allowed, the segments, and each pair of segments that may be the one that matches.
+
+    Where what is left is the key, i is -1 and rests are the strings that are left.
+    """
+    ratio = floor / (200 - floor)
+    rows = strings.select(F.col(column).alias("s")).where("s IS NOT NULL").distinct().withColumn(own, F.length("s"))
+    rows = rows.withColumn(other, F.explode(F.sequence(F.ceil(F.col(own) * ratio - 1e-9).cast("int"), F.floor(F.col(own) / ratio + 1e-9).cast("int"))))
+    rows = rows.withColumn("common", F.ceil((F.col("la") + F.col("lb")) * (floor / 200) - 1e-9).cast("int")).where("common <= least(la, lb)")
+    rows = rows.withColumn("k", F.expr("la + lb - 2 * common")).withColumn("n", F.expr(f"greatest(1, least(k + CASE WHEN k <= {PAIRS} THEN 2 ELSE 1 END, lb))"))
+    pairs = f"""CASE WHEN greatest({_CHOICES.format("la")}, {_CHOICES.format("lb")}) <= {WAYS} THEN array(struct(-1 AS i, -1 AS j))
+                     WHEN n - k >= 2 THEN flatten(transform(sequence(1, n - 1), i -> transform(sequence(i + 1, n), j -> struct(i AS i, j AS j))))
+                     WHEN n - k = 1 THEN transform(sequence(1, n), i -> struct(i AS i, i AS j)) ELSE array(struct(0 AS i, 0 AS j)) END"""
+    rows = rows.select("s", "la", "lb", "k", "n", (F.col(own) - F.col("common")).alias("gone"), F.expr(f"inline({pairs})"))
+    return rows.withColumn("rests", F.expr(f"CASE WHEN i = -1 THEN {_RESTS} END"))
+
+
+_KEY = ["la", "lb", "i", "j", "one", "two"]
+
+
+def indexed(right: DataFrame, column: str, floor: float = FLOOR) -> DataFrame:
+    """The index: rows (_KEY, s) of the strings and their pairs of segments, or what is left of them."""
+    segment = lambda x: f"substring(s, {_START.format(x)}, {_SIZE.format(x)})"
+    one = F.expr(f"CASE WHEN i = -1 THEN rests WHEN i > 0 THEN array({segment('i')}) ELSE array('') END")
+    two = F.expr(f"CASE WHEN j > i THEN {segment('j')} ELSE '' END")
+    return _cut(right, column, "lb", "la", floor).select("la", "lb", "i", "j", F.explode(one).alias("one"), two.alias("two"), "s")
+
+
+def probes(left: DataFrame, column: str, floor: float = FLOOR) -> DataFrame:
+    """Rows (_KEY, s) of what the strings ask the index for: the pieces that stand where a segment may have been moved to, or what is left of them."""
+    rows = _cut(left, column, "la", "lb", floor).withColumns({"pi": F.expr(_START.format("i")), "si": F.expr(_SIZE.format("i")), "pj": F.expr(_START.format("j")), "sj": F.expr(_SIZE.format("j"))})
+    # Moved by as many letters as there are edits before it, or by two, four, … fewer.
+    rows = rows.withColumn("move", F.explode(F.expr("CASE WHEN i <= 0 THEN array(0) ELSE sequence(1 - i, i - 1, 2) END")))
+    rows = rows.withColumn("more", F.explode(F.expr("CASE WHEN j > i THEN sequence(i + 1 - j, j - i - 1, 2) ELSE array(0) END")))
+    fits = """i <= 0 OR (pi + move >= 1 AND pi + move + si - 1 <= la AND abs(la - lb - move - more) <= k - j + CASE WHEN j > i THEN 2 ELSE 1 END
+              AND (j = i OR (pj + move + more >= pi + move + si AND pj + move + more + sj - 1 <= la)))"""
+    one = "CASE WHEN i = -1 THEN rests WHEN i > 0 THEN array(substring(s, pi + move, si)) ELSE array('') END"
+    two = "CASE WHEN j > i THEN substring(s, pj + move + more, sj) ELSE '' END"
+    return rows.where(fits).select("la", "lb", "i", "j", F.explode(F.expr(one)).alias("one"), F.expr(two).alias("two"), "s")
+
+
+def proposed(left: DataFrame, right: DataFrame, a: str, b: str, floor: float = FLOOR) -> DataFrame:
+    """Distinct rows (a, b): all pairs of strings at least ``floor`` alike, and few others.
+
+    Strings of la and lb letters are that alike when k = la + lb - 2 * (letters in common) insertions and deletions turn one into the other. The second is cut into k + 2
+    segments. Each edit touches one of them, so two are whole. Counted from the left, take the first that is preceded by as many edits as segments, and the next such
+    one behind it: edits before either are then known, so each stands at one of few places in the first string. Pairs of segments, with both lengths, are the key; a
+    syllable that all names share is one segment and makes no bucket by itself.
+
+    Segments of short strings are short, so for these the key is what is left when the letters that need not be shared are gone: only strings that are alike meet there.
+    Strings with fewer than k + 2 letters, and those with many edits, have k + 1 segments and a key of one; where even these are more than letters (low floors, short strings with
+    many ways to lose letters) all of two lengths are compared.
+    """
+    if not 0 < floor <= 100:
+        raise ValueError("the floor is a likeness above 0, to 100")
+    return probes(left, a, floor).withColumnRenamed("s", a).join(indexed(right, b, floor).withColumnRenamed("s", "__b"), _KEY).select(a, F.col("__b").alias(b)).distinct()
+
+
+def buckets(left: DataFrame, right: DataFrame, a: str, b: str, floor: float = FLOOR) -> DataFrame:
+    """Rows (_KEY, n_left, n_right): how many strings of each side meet in a bucket of the index, to see how skewed it is."""
+    sides = [side.groupBy(*_KEY).agg(F.count("*").alias(n)) for side, n in ((probes(left, a, floor), "n_left"), (indexed(right, b, floor), "n_right"))]
+    return sides[0].join(sides[1], _KEY)
 
 
 def similar(left: DataFrame, right: DataFrame, a: str, b: str, floor: float = FLOOR) -> DataFrame:
-    """Rows (a, b, ratio) of strings at least ``floor`` alike. Complete for floors from 82 and strings that are together five characters or longer."""
-    x = left.select(a).distinct().select(F.col(a), F.length(a).alias("__la"), F.explode(_bigrams(F.col(a))).alias("__g"))
-    y = right.select(b).distinct().select(F.col(b), F.length(b).alias("__lb"), F.explode(_bigrams(F.col(b))).alias("__g"))
-    # A likeness r needs the shorter string to have r / (200 - r) of the longer one's length.
-    near = (F.least("__la", "__lb") * (200 - floor) >= F.greatest("__la", "__lb") * floor) if floor < 200 else F.lit(False)
-    pairs = x.join(y, "__g").where(near).select(a, b).distinct()
-    return pairs.withColumn("ratio", ratio(F.col(a), F.col(b))).where(F.col("ratio") >= floor)
+    """Rows (a, b, ratio) of strings at least ``floor`` alike, all of them. Nulls are like nothing."""
+    return proposed(left, right, a, b, floor).withColumn("ratio", ratio(F.col(a), F.col(b))).where(F.col("ratio") >= floor)
 
 
 def candidates(mentions: DataFrame, persons: DataFrame, mention: str = "mention", floor: float = FLOOR, most_forms: int = FORMS, top: int = TOP) -> DataFrame:

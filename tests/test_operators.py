@@ -102,13 +102,38 @@ def test_set_likeness():
     assert search.set_likeness("hans muler", "hans muller") > 90 and search.set_likeness("abc", "xyz") == 0.0
 
 
-def test_blocked_join_loses_nothing(spark):
+def strings(spark, values, name):
+    return spark.createDataFrame([(v,) for v in values], f"{name} string")
+
+
+@pytest.mark.parametrize("floor", [100, 90, 82, 60, 33.3])
+def test_partition_index_loses_nothing(spark, floor):
+    """All pairs of short strings over few letters, of names with up to three edits, and of empty and long ones, against a comparison of all with all."""
     rng = random.Random(6)
-    names = ["".join(rng.choice("abcde") for _ in range(rng.randint(4, 9))) for _ in range(150)]
-    typos = [n[:i] + rng.choice("abcde") + n[i + 1 :] for n in names for i in (rng.randrange(len(n)),)]
-    df = lambda xs, c: spark.createDataFrame([(x,) for x in set(xs)], f"{c} string")
-    got = {(r["a"], r["b"]) for r in search.similar(df(typos, "a"), df(names, "b"), "a", "b").collect()}
-    assert got == {(a, b) for a in set(typos) for b in set(names) if search.likeness(a, b) >= 82}
+    some = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    one = {some(rng.randint(0, 7), "ab") for _ in range(60)} | {some(rng.randint(4, 12), "abcde") for _ in range(60)} | {"", "é" * 30, some(40, "abc")}
+    two = set(one)
+    for name in list(one):
+        for _ in range(rng.randint(1, 3)):
+            at = rng.randint(0, len(name))
+            name = rng.choice([name[:at] + rng.choice("abz") + name[at:], name[:at] + name[at + 1 :], name[:at] + "z" + name[at + 1 :]])
+        two.add(name)
+    got = [(r["a"], r["b"], r["ratio"]) for r in search.similar(strings(spark, [*one, None, *one], "a"), strings(spark, [*two, None], "b"), "a", "b", floor).collect()]
+    want = {(a, b, search.likeness(a, b)) for a in one for b in two if search.likeness(a, b) >= floor}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_a_shared_syllable_makes_no_large_bucket(spark):
+    """Names of one length that all end alike: single bigrams would compare all with all (a million pairs); what the index proposes grows as the names do."""
+    rng = random.Random(7)
+    names = sorted({"".join(rng.choice("abcdefghijklmnopqrstuvw") for _ in range(5)) + "er" for _ in range(2000)})
+    proposals = {}
+    for n in (500, 1000, 2000):
+        df = strings(spark, names[:n:1], "a")
+        proposals[n] = search.proposed(df, df.withColumnRenamed("a", "b"), "a", "b").count()
+    assert proposals[2000] < 12 * 2000
+    largest = search.buckets(df, df.withColumnRenamed("a", "b"), "a", "b").agg(F.max(F.col("n_left") * F.col("n_right"))).first()[0]
+    assert largest < 2000
 
 
 def test_candidates_against_a_plain_search(spark):
