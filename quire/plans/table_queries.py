@@ -167,7 +167,7 @@ def topk_per_group(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stripe_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return windows.striped(table(spark, d, "documents").select("doc_id", "text"), "text", "doc_id", 4).select("doc_id", F.col("place").cast("long").alias("place"), "stripe")
+    return windows.striped(table(spark, d, "documents").select("doc_id", F.length("text").alias("letters")), "letters", "doc_id", 4).select("doc_id", F.col("place").cast("long").alias("place"), "stripe")
 
 
 def neighbour_context(spark: SparkSession, d: str) -> DataFrame:
