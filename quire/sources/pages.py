@@ -120,3 +120,44 @@ def page_xml(image: Column, width: Column, height: Column, lines: Column) -> Col
 def with_image_urls(xml: Column, url: Column) -> Column:
     """The page with its image file name replaced by a URL."""
     return F.when(url.isNull(), xml).otherwise(F.regexp_replace(xml, F.lit(r'imageFilename="[^"]*"'), F.concat(F.lit('imageFilename="'), F.replace(url, F.lit("$"), F.lit("\\$")), F.lit('"'))))
+
+
+#: A page between its lines: before each line's tag, and behind each line's end.
+_BESIDE_LINES = r"(?=<(?:\w{1,20}:)?TextLine[\s>/])|(?<=</TextLine>)|(?<=</\w{1,20}:TextLine>)"
+#: Words keep their texts; what is the line's own goes.
+_OWN_TEXTS = r"(?s)(<(\w+:)?Word[\s>].*?</(?:\w+:)?Word>)|<(?:\w+:)?TextEquiv(?:\s[^>]*)?(?:/>|(?<!/)>.*?</(?:\w+:)?TextEquiv>)"
+_LINE_HEAD = r"^<(\w+:)?TextLine(?:\s[^>]*?)?(/?)>"
+
+
+def _escaped(text: Column) -> Column:
+    return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def with_line_texts(pages: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pages (path, text) with new texts of lines in place: rows (path, line_id, text, conf or none) of ``texts``.
+
+    A line that is named loses the texts it had and gets the new one, unless that is null or empty; other lines, and all else of a page, stay byte for byte. The page is cut at
+    its lines, the lines looked up in the page's own new texts, and joined again: no page is parsed, one join brings the texts. Of several texts for one line the greatest counts.
+    """
+    said = texts if "conf" in texts.columns else texts.withColumn("conf", F.lit(None).cast("double"))
+    one = said.where("line_id IS NOT NULL").groupBy("path", "line_id").agg(F.max(F.struct("text", "conf")).alias("new"))
+    of_page = one.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("line_id", "new"))).alias("__new"))  # as many as the page has lines
+
+    def line(piece: Column) -> Column:
+        head = F.regexp_extract(piece, _LINE_HEAD, 0)
+        new = F.element_at(F.col("__new"), F.regexp_extract(head, r"\sid=[\"']([^\"']*)[\"']", 1))
+        prefix = F.regexp_extract(piece, _LINE_HEAD, 1)
+        conf = F.when(new["conf"].isNotNull(), F.concat(F.lit(' conf="'), new["conf"].cast("string"), F.lit('"'))).otherwise("")
+        equiv = F.concat(F.lit("<"), prefix, F.lit("TextEquiv"), conf, F.lit("><"), prefix, F.lit("Unicode>"), _escaped(new["text"]), F.lit("</"), prefix, F.lit("Unicode></"), prefix, F.lit("TextEquiv>"))
+        added = F.when(F.coalesce(new["text"], F.lit("")) != "", equiv).otherwise("")
+        # Its place is behind the words, before what describes the line.
+        bare = F.regexp_replace(piece, _OWN_TEXTS, "$1")
+        behind = F.regexp_extract(bare, r"(?s)((?:<(?:\w+:)?(?:TextStyle|UserDefined|Labels)[\s>/].*)?</(?:\w+:)?TextLine>)$", 1)
+        full = F.concat(F.left(bare, F.length(bare) - F.length(behind)), added, behind)
+        closed = F.endswith(head, F.lit("/>"))
+        opened = F.concat(F.left(head, F.length(head) - 2), F.lit(">"), added, F.lit("</"), prefix, F.lit("TextLine>"), F.substr(piece, F.length(head) + 1))
+        return F.when((head == "") | new.isNull(), piece).when(closed & (added == ""), piece).when(closed, opened).otherwise(full)
+
+    joined = pages.join(of_page, "path", "left")
+    edited = F.array_join(F.transform(F.split("text", _BESIDE_LINES), line), "")
+    return joined.withColumn("text", F.when(F.col("__new").isNotNull(), edited).otherwise(F.col("text"))).drop("__new")

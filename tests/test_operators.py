@@ -209,3 +209,19 @@ def test_streams_resume_and_upsert(spark, tmp_path):
         write(rows)
     files.run_available(files.stream(spark, src, "k string, v int", 1), ckpt, files.upsert_into(out, ["k"]))
     assert {tuple(r) for r in files.current(spark, out, ["k"]).collect()} == {("a", 1), ("b", 2), ("c", 3)}
+
+
+def test_rounding_is_exact(spark):
+    """A million doubles of all sizes, decimal and binary ties among them, against Python's own rounding."""
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(4)
+    n = 250_000
+    values = np.concatenate([rng.random(n), rng.integers(0, 2000, n) / 2000, rng.integers(0, 1 << 20, n) / 2.0 ** rng.integers(1, 21, n), rng.standard_normal(n) * 10.0 ** rng.integers(-8, 17, n)])
+    values = np.concatenate([values, -values[:1000], [0.0, 0.0005, 0.0015, 0.00049999999999999, 1e-300, 5e-324, 1e300, 2.0**49, 2.0**49 - 0.0625, 2.0**43 + 2**-9, 9007199254740.992, 1.0, 2.0, 0.25, 0.125]])
+    df = spark.createDataFrame(pd.DataFrame({"v": values})).repartition(4)
+    got = df.select("v", metrics.round3(F.col("v")).alias("r")).toPandas()
+    assert (got["r"] == got["v"].map(lambda v: round(v, 3))).all()
+    odd = spark.createDataFrame([(None,), (float("nan"),), (float("inf"),), (float("-inf"),)], "v double").select(metrics.round3(F.col("v")).alias("r")).collect()
+    assert [str(r["r"]) for r in odd] == ["None", "nan", "inf", "-inf"]

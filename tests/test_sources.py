@@ -76,3 +76,15 @@ def test_options_take_the_types_of_their_defaults(spark):
     for key, value in {"generation.model": "other", "run.max_retries": "5", "run.fail": "true", "paths.output": "/out"}.items():
         spark.conf.set(f"quire.{key}", value)
     assert options(spark, defaults) == {"generation.model": "other", "run.max_retries": 5, "generation.temperature": 0.0, "run.fail": True, "paths.output": "/out"}
+
+
+def test_texts_of_lines_are_edited_in_place(spark):
+    line = '<TextLine id="a" custom="x"><Coords points="1,1"/><Word id="w"><TextEquiv><Unicode>word</Unicode></TextEquiv></Word><TextEquiv conf="0.1"><Unicode>old</Unicode></TextEquiv>\n<TextEquiv/><TextStyle bold="true"/></TextLine>'
+    other = "<pc:TextLine id='b'><pc:TextEquiv><pc:Unicode>old</pc:Unicode></pc:TextEquiv></pc:TextLine>"
+    page = f'<?xml version="1.0"?>\n<Page>é{line}\n<TextRegion><TextEquiv><Unicode>region</Unicode></TextEquiv>{other}<TextLine id="c"/><TextLine id="d" /> <TextLineX/></TextRegion></Page>\n'
+    df = spark.createDataFrame([("p", page, 1), ("q", page, 2), (None, page, 3), ("r", None, 4)], "path string, text string, n int")
+    new = [("p", "a", "a & <b> $1", 0.5), ("p", "b", "", None), ("p", "b", None, None), ("p", "c", "new", None), ("p", "zz", "lost", None), ("p", None, "x", None), ("r", "a", "x", None)]
+    got = {r["n"]: r["text"] for r in pages.with_line_texts(df, spark.createDataFrame(new, "path string, line_id string, text string, conf double")).collect()}
+    want = page.replace('<TextEquiv conf="0.1"><Unicode>old</Unicode></TextEquiv>\n<TextEquiv/><TextStyle', '\n<TextEquiv conf="0.5"><Unicode>a &amp; &lt;b&gt; $1</Unicode></TextEquiv><TextStyle')
+    want = want.replace("<pc:TextEquiv><pc:Unicode>old</pc:Unicode></pc:TextEquiv>", "").replace('<TextLine id="c"/>', '<TextLine id="c"><TextEquiv><Unicode>new</Unicode></TextEquiv></TextLine>')
+    assert got == {1: want, 2: page, 3: page, 4: None}
