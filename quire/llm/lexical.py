@@ -1,7 +1,7 @@
 """Ranked lexical search over term-bucketed postings.
 
 The postings are a DataFrame with a row for each distinct term of a document: (bucket, term, id, row, n, tf), bucket being a hash of the term, and in
-bucket -1 one row for each document with its number of terms. Written with a folder for each bucket, a search reads the buckets of its terms alone. The items' terms,
+bucket -1 one row for each document with its number of terms. Saved by ``save`` with a folder for each bucket, a search reads the buckets of its terms alone. The items' terms,
 each with its weight, are joined to the postings by bucket and term, every match is scored in integers, the scores are summed by item and document, and
 a window keeps each item's best.
 
@@ -67,10 +67,15 @@ def postings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", only
     return rows.select(_bucket(F.col("term")).alias("bucket"), "term", "id", "row", "n", "tf")
 
 
+def save(index: DataFrame, path: str) -> None:
+    """The postings as a table with a folder for each bucket, for searches to come."""
+    index.write.partitionBy("bucket").parquet(path)
+
+
 def search(index: DataFrame, terms: DataFrame, top: int = 50, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Rows (item, rank, id, score): each item's ``top`` best documents, those with a score above 0.
 
-    index: what ``postings`` gives, written; terms: rows (item, term).
+    index: what ``postings`` gives, written or saved; terms: rows (item, term).
     """
     n_docs, n_terms = index.where("bucket = -1").agg(F.count("*"), F.sum("n")).first()
     held = written(index.where("bucket >= 0").groupBy("bucket", "term").agg(F.count("*").alias("df")))
@@ -94,7 +99,7 @@ def search(index: DataFrame, terms: DataFrame, top: int = 50, broadcast_bytes: i
 def ranked(docs: DataFrame, items: DataFrame, top: int = 50, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Rows (item, rank, id, score) under the names of the two id columns: all documents ranked for each item."""
     terms = written(item_terms(items, item_col, text_col))
-    index = written(postings(docs, id_col, text_col, terms, broadcast_bytes), "bucket")
+    index = written(postings(docs, id_col, text_col, terms, broadcast_bytes))
     return search(index, terms, top, broadcast_bytes).withColumnsRenamed({"item": item_col, "id": id_col})
 
 

@@ -130,7 +130,7 @@ def test_search_against_brute_force(spark, limit):
 def test_search_in_a_saved_index(spark, tmp_path):
     """An index of all terms, a folder for each bucket, answers like one made for the items."""
     docs = edge_documents()
-    lexical.postings(frame(spark, docs)).write.partitionBy("bucket").parquet(f"{tmp_path}/index")
+    lexical.save(lexical.postings(frame(spark, docs)), f"{tmp_path}/index")
     items = spark.createDataFrame([(1, "the alpha")], "item_id long, text string")
     got = lexical.search(spark.read.parquet(f"{tmp_path}/index"), lexical.item_terms(items), 5)
     assert sorted(map(tuple, got.collect()), key=repr) == brute.ranked([d[:2] for d in docs], [(1, "the alpha")], 5)
