@@ -42,7 +42,7 @@ def _shared_folder(df: DataFrame) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, which Spark removes once nothing refers to it."""
+    """Cut the lineage with a reliable checkpoint. It stays until the folder goes, unless the session has spark.cleaner.referenceTracking.cleanCheckpoints."""
     _shared_folder(df)
     return df.checkpoint(eager=True)
 
