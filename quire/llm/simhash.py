@@ -36,8 +36,8 @@ SHINGLE, SEED, BITS = 4, 42, 4
 #: (shift, width) of the five segments.
 SEGMENTS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
 _BLOCK = 1 << 14
-#: Links by Jaccard similarity: bands of least values, and values of a band.
-BANDS, BAND_ROWS = 20, 6
+#: Links by Jaccard similarity: bands of least values, values of a band, and differing bits that a pair may have.
+BANDS, BAND_ROWS, LOOSE_BITS = 20, 6, 20
 #: Buckets of at most so many texts are compared pair by pair.
 SMALL = 32
 _SEEDS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * BAND_ROWS), np.uint64)
@@ -176,9 +176,9 @@ def bands(hashes: list[int]) -> tuple[int, list[int]]:
 
 
 def _could_link(a: str, b: str, similarity: float) -> Column:
-    """What pairs of that similarity meet: set sizes in proportion."""
+    """What pairs of that similarity meet: set sizes in proportion (always), fingerprints within LOOSE_BITS (but for about one in ten thousand at 0.8)."""
     small, large = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
-    return small >= F.lit(similarity) * large
+    return (small >= F.lit(similarity) * large) & (F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= LOOSE_BITS)
 
 
 def _beside(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -276,64 +276,46 @@ def similar_links(rows: DataFrame, df_texts: DataFrame, only: DataFrame, edges:
     are nearest to. What is then in different components is compared pair by pair in buckets of at most ``small`` texts; in larger ones every
     text's difference from a centre is taken, and only pairs that share enough of their differences are compared: see ``sharing``. Both ways
     try all pairs that can be similar, so a large group of near copies costs a row for each copy, not its pairs.
-
-    What is shuffled by bucket are numbers alone, a bucket's and a text's; what is known of a text stands once, in a table of texts. Each table is written before it is joined by
-    a key that many of its rows may share, so that adaptive execution can split them.
     """
     least_id = F.min(F.struct(F.col("id").isNull().alias("late"), "id"))
     folded = rows.groupBy("key").agg(least_id.alias("of"), F.min("fp").alias("fp"), F.max("n").alias("n"), F.first("bands").alias("bands"))
-    known = written(folded.join(_grouped(only, edges).select("fp", "group"), "fp").select("key", "fp", "n", "group", F.col("of.id").alias("id"), "bands"))
-
-    buckets = F.transform("bands", lambda value, band: F.xxhash64(band, value))
-    listed = known.select("key", "group", F.explode(buckets).alias("bucket"))
-    open_buckets = written(listed.groupBy("bucket").agg(F.min("group").alias("a"), F.max("group").alias("b"), F.count("*").alias("size")).where("a < b").select("bucket", "size"))
-    met = written(listed.select("key", "bucket").join(open_buckets, "bucket"))
-    ranks = met.groupBy("key").agg((-F.sum("size")).alias("rank"))
-    texts_known = written(known.drop("bands").join(ranks, "key"))
-    heads = written(met.join(texts_known.select("key", "rank"), "key").groupBy("bucket").agg(F.min(F.struct("rank", "key")).alias("h")))
-
+    member = folded.join(_grouped(only, edges).select("fp", "group"), "fp").select(F.struct("group", "key", "fp", "n").alias("m"), "of", F.posexplode("bands").alias("band", "bucket"))
+    sizes = member.groupBy("band", "bucket").agg(F.min("m.group").alias("a"), F.max("m.group").alias("b"), F.count("*").alias("size")).where("a < b").drop("a", "b")
+    met = written(member.join(sizes, ["band", "bucket"]))
+    weights = met.groupBy(F.col("m.key").alias("weighed")).agg((-F.sum("size")).alias("rank"))
+    heads = met.join(weights, F.col("m.key") == F.col("weighed")).groupBy("band", "bucket").agg(F.min(F.struct("rank", "m.key", "m.fp", "m.n", "m.group")).alias("h"))
+    shared = written(met.join(heads, ["band", "bucket"]))
+
+    needed = shared.select(F.col("of.id").alias("needed_id"), F.col("m.key").alias("needed")).distinct()
     is_needed = F.col("id").eqNullSafe(F.col("needed_id")) & (F.col("key") == F.col("needed"))
-    needed = texts_known.select(F.col("id").alias("needed_id"), F.col("key").alias("needed"))
     texts = written(df_texts.join(needed, is_needed, "left_semi").dropDuplicates(["id", "key"]).select("key", F.coalesce("text", F.lit("")).alias("text")))
 
-    def described(pairs: DataFrame, a: str, b: str) -> DataFrame:
-        """Pairs of keys with what is known of both texts, as structs under the same names."""
-        sides = [texts_known.select(F.col("key").alias(c), F.struct("key", "fp", "n", "group").alias(f"__{c}")) for c in (a, b)]
-        return pairs.join(sides[0], a).join(sides[1], b).drop(a, b).withColumnsRenamed({f"__{c}": c for c in (a, b)})
-
     def ends(a: str, b: str) -> list[Column]:
         return [F.col(f"{a}.fp").alias("u"), F.col(f"{b}.fp").alias("v"), F.col(f"{a}.key").alias("key_u"), F.col(f"{b}.key").alias("key_v")]
 
-    # A text's head in each of its buckets, once each, and the best of them.
-    led = written(met.join(heads, "bucket").select("key", "h").distinct())
-    stars = described(led.select(F.col("h.key").alias("h"), F.col("key").alias("m")), "h", "m").where((F.col("m.group") != F.col("h.group")) & _could_link("h", "m", similarity))
-    stars = written(stars.select(ends("h", "m")))
+    stars = written(shared.where((F.col("m.group") != F.col("h.group")) & _could_link("h", "m", similarity)).select(ends("h", "m")).distinct())
     by_head = _alike(stars, texts, similarity, k)
 
-    now = written(_grouped(only, edges.union(by_head)).select("fp", F.col("group").alias("now")).join(texts_known.select("key", "fp", "n"), "fp"))
-    placed_now = written(met.join(now, "key").join(heads.select("bucket", F.col("h.key").alias("head")), "bucket").where("key <> head"))
-    mixed = written(placed_now.groupBy("bucket").agg(F.min("now").alias("a"), F.max("now").alias("b")).where("a < b").select("bucket"))
-    still = written(placed_now.join(mixed, "bucket"))
+    groups = _grouped(only, edges.union(by_head)).select("fp", F.col("group").alias("now"))
+    open_rows = shared.join(groups, F.col("m.fp") == groups["fp"]).select("band", "bucket", "size", "h", "m", "now")
+    mixed = open_rows.where("m.key != h.key").groupBy("band", "bucket").agg(F.min("now").alias("a"), F.max("now").alias("b")).where("a < b").select("band", "bucket")
+    still = written(open_rows.join(mixed, ["band", "bucket"]))
 
-    # The head of a small bucket was compared with all others, so pairs are of the rest.
-    few = still.where(F.col("size") <= small).select("bucket", F.struct("key", "fp", "n").alias("m"), "now")
-    other = few.select("bucket", F.col("m").alias("o"), F.col("now").alias("now_o"))
+    few = still.where(F.col("size") <= small).select("band", "bucket", "m", "now")
+    other = few.select("band", "bucket", F.col("m").alias("o"), F.col("now").alias("now_o"))
     apart = (F.col("now") != F.col("now_o")) & (F.col("m.key") < F.col("o.key")) & _could_link("m", "o", similarity)
-    rest = few.join(other, "bucket").where(apart).select(ends("m", "o"))
+    rest = few.join(other, ["band", "bucket"]).where(apart).select(ends("m", "o"))
 
     # Any text can be the centre; the head of the head's heaviest bucket is one that the buckets of a large group have in common.
-    centres = led.groupBy("key").agg(F.min("h")["key"].alias("centre"))
-    centres = written(centres.join(heads.select(F.col("h.key").alias("key")).distinct(), "key", "left_semi").select(F.col("key").alias("head"), "centre"))
-    large = written(still.where(F.col("size") > small).select("key", "fp", "n", "now", "head").distinct())
-    placed = large.join(centres, "head").where("key <> centre").select("key", "fp", "n", "now", "centre").distinct()
-    of_centre = texts_known.select(F.col("key").alias("centre"), F.col("fp").alias("u"), F.col("n").alias("n_u"))
-    placed = placed.join(of_centre, "centre").select("u", F.col("fp").alias("v"), F.col("centre").alias("key_u"), F.col("key").alias("key_v"), "n_u", "n", "now")
+    centres = shared.groupBy(F.col("m.key").alias("of_head")).agg(F.min("h").alias("centre"))
+    placed = still.where(F.col("size") > small).join(centres, F.col("h.key") == F.col("of_head")).where("m.key != centre.key")
+    placed = placed.select(*ends("centre", "m"), F.col("centre.n").alias("n_u"), F.col("m.n").alias("n"), "now").distinct()
     placed = _differences(placed, texts, similarity, k)
 
     ordered = [F.col("u"), F.col("v"), F.least("key_u", "key_v").alias("key_u"), F.greatest("key_u", "key_v").alias("key_v")]
     tried = stars.select(ordered).select("key_u", "key_v")
     pairs = rest.union(sharing(placed, similarity)).select(ordered).dropDuplicates(["key_u", "key_v"]).join(tried, ["key_u", "key_v"], "left_anti")
-    return by_head.union(placed.where("alike").select("u", "v").distinct()).union(_alike(written(pairs.select("u", "v", "key_u", "key_v")), texts, similarity, k))
+    return by_head.union(placed.where("alike").select("u", "v").distinct()).union(_alike(checkpointed(pairs.select("u", "v", "key_u", "key_v")), texts, similarity, k))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
