@@ -32,3 +32,15 @@ def sheared_rotated(shape: Column, shear: Column, degrees: Column, cx: Column, c
         return F.struct((F.cos(angle) * x - F.sin(angle) * y + cx).alias("x"), (F.sin(angle) * x + F.cos(angle) * y + cy).alias("y"))
 
     return F.transform(shape, move)
+
+
+def sheared_rotated_back(shape: Column, shear: Column, degrees: Column, cx: Column, cy: Column) -> Column:
+    """The points that ``sheared_rotated`` moved to these: the rotation is undone, then the shear."""
+    angle = F.radians(degrees)
+
+    def move(p: Column) -> Column:
+        x, y = p["x"] - cx, p["y"] - cy
+        level = F.cos(angle) * y - F.sin(angle) * x
+        return F.struct((F.cos(angle) * x + F.sin(angle) * y - shear * level + cx).alias("x"), (level + cy).alias("y"))
+
+    return F.transform(shape, move)

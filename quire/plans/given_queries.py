@@ -11,12 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quire.functions import answers, calendar, dates
-from quire.operators import alignment, diffs, graph, metrics, models, repair, search
+from quire.functions import answers, calendar, dates, geometry
+from quire.operators import aggregates, alignment, diffs, graph, metrics, models, repair, search
 from quire.operators.joins import nearest_century, united
 from quire.plans import graph_queries, pipelines, table_queries, written_queries
 from quire.plans.text_queries import EASTER_SQL, ORACLES as TEXT_ORACLES
-from quire.sources import folders, pages, readers, reports, triples
+from quire.sources import folders, pages, readers, reports, service, triples
 
 table = readers.table
 
@@ -70,7 +70,7 @@ def doubtful_feasts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def manifest_pages(spark: SparkSession, d: str) -> DataFrame:
-    """A manifest for each page: of version 3 with two pictures, of version 2 with one, or of no known structure."""
+    """A manifest for each page: of version 3 with two pictures, of version 2 with one, or of no known structure; written as the pages of a service and read from it."""
     key = F.col("page_id").cast("string")
     three = F.concat(
         F.lit('{"metadata":[{"label":{"de":["Jahr"]},"value":{"de":["ca. '), 1800 + F.col("page_id") % 100, F.lit('"]}}],"items":[{"items":[{"items":[{"motivation":"painting","body":{"id":"http://x/a","service":[{"id":"http://x/s/'), key,
@@ -78,8 +78,14 @@ def manifest_pages(spark: SparkSession, d: str) -> DataFrame:
     )
     two = F.concat(F.lit('{"sequences":[{"canvases":[{"images":[{"resource":{"service":{"@id":"http://y/'), key, F.lit('/"}}}]}]}]}'))
     kind = F.col("page_id") % 3
-    rows = table(spark, d, "pages").select("page_id", F.when(kind == 0, three).when(kind == 1, two).otherwise('{"other":1}').alias("manifest"))
-    return readers.manifest_pages(rows, "manifest")
+    body = F.when(kind == 0, three).when(kind == 1, two).otherwise('{"other":1}')
+    path = folders.scratch(spark, "service")
+    # Fifty manifests to a page of the service.
+    records = table(spark, d, "pages").select(F.floor(F.col("page_id") / 50).alias("page"), F.to_json(F.struct(F.col("page_id").alias("id"), body.alias("body"))).alias("value"))
+    records.repartition("page").write.partitionBy("page").text(path)
+    service.register(spark)
+    served = spark.read.format("paged_service").option("path", path).load().where("error IS NULL")
+    return readers.manifest_pages(served.select(F.col("id").cast("long").alias("page_id"), F.col("body").alias("manifest")), "manifest")
 
 
 def image_status(spark: SparkSession, d: str) -> DataFrame:
@@ -230,7 +236,31 @@ def century_years(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", nearest_century(F.col("o_orderkey") % 100, near).alias("year"))
 
 
+def affine_back(spark: SparkSession, d: str) -> DataFrame:
+    """Points of line items sheared, rotated by 30 degrees and brought back."""
+    q, n = F.col("l_quantity").cast("int"), F.col("l_linenumber")
+    how = F.lit(0.25), F.lit(30.0), F.lit(3), F.lit(2)
+    back = geometry.sheared_rotated_back(geometry.sheared_rotated(geometry.polygon(F.format_string("%d,%d %d,%d", q, n, n, q)), *how), *how)
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.posexplode(back).alias("pos", "p"))
+    return rows.select("l_orderkey", "l_linenumber", "pos", F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y"))
+
+
+def best_models(spark: SparkSession, d: str) -> DataFrame:
+    """The best of the model files of each brand, by the rate in their names."""
+    name = F.concat(F.lit("run"), F.lpad(F.col("p_partkey"), 9, "0"), F.when(F.col("p_partkey") % 6 == 0, "").otherwise("_0."), F.lpad(F.col("p_partkey") * 7 % 1000, 3, "0"), F.lit(".mlmodel"))
+    return reports.best_model(table(spark, d, "part").select("p_brand", name.alias("name")), "name", ["p_brand"])
+
+
+def status_counted(spark: SparkSession, d: str) -> DataFrame:
+    return aggregates.status_counts(image_status(spark, d))
+
+
+def values_known(spark: SparkSession, d: str) -> DataFrame:
+    return aggregates.known_values(table(spark, d, "customer"), ["c_nationkey", "c_mktsegment"])
+
+
 QUERIES = [
+    affine_back, best_models, status_counted, values_known,
     line_changes, word_changes, graph_aligned, rounded_scores, page_texts, doubtful_feasts, manifest_pages, image_status, report_scores, repaired_text, cached_answers, united_candidates, seeded_draw,
     person_cards, reconciled, reconciled_scores, match_scores, kind_accuracy, newspaper_pipeline, julian_easter, advent, feast_dates, century_years,
 ]
@@ -245,6 +275,13 @@ judged AS (SELECT *, CASE WHEN nobody AND k % 2 = 0 THEN 'new' ELSE 'known' END
   FROM told WHERE k % 11 <> 0)"""
 
 ORACLES = {
+    "affine_back": "SELECT l_orderkey, l_linenumber, 0 AS pos, CAST(CAST(l_quantity AS INTEGER) AS DOUBLE) AS x, CAST(l_linenumber AS DOUBLE) AS y FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, 1, CAST(l_linenumber AS DOUBLE), CAST(CAST(l_quantity AS INTEGER) AS DOUBLE) FROM lineitem",
+    "best_models": """
+WITH f AS (SELECT p_brand, 'run' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') || '_0.' || lpad(CAST(p_partkey * 7 % 1000 AS VARCHAR), 3, '0') || '.mlmodel' AS name, round((1 - CAST('0.' || lpad(CAST(p_partkey * 7 % 1000 AS VARCHAR), 3, '0') AS DOUBLE)) * 100, 1) AS cer
+  FROM part WHERE p_partkey % 6 <> 0)
+SELECT p_brand, name, cer FROM f QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY cer, name) = 1""",
+    "status_counted": "SELECT CASE WHEN page_id % 3 = 0 THEN 'skipped' WHEN page_id % 3 = 1 AND url IS NOT NULL THEN 'success' ELSE 'error' END AS status, count(*) AS n FROM pages GROUP BY 1",
+    "values_known": "SELECT DISTINCT c_nationkey, c_mktsegment FROM customer",
     "line_changes": """
 WITH t AS (SELECT *, (conv_id + turn) % 3 <> 0 AS kept, turn || ' ' || coalesce(role, '') || ' ' || coalesce(text, '') AS line FROM conversations),
 n AS (SELECT *, count(*) FILTER (kept) OVER (PARTITION BY conv_id ORDER BY turn) AS gap FROM t),

@@ -35,3 +35,10 @@ def file_metric(name: Column) -> Column:
     """Character error rate in per cent of a model file whose name ends with its accuracy, such as model_0.93.mlmodel."""
     accuracy = F.regexp_extract(name, r"_([01](?:\.\d+)?)\.[A-Za-z]+$", 1).try_cast("double")
     return F.round((1 - accuracy) * 100, 1)
+
+
+def best_model(files: DataFrame, name: str = "name", by: list[str] | None = None) -> DataFrame:
+    """The file of the lowest error rate, of those the first by name, in each group; files whose name has no rate do not count."""
+    rated = files.withColumn("cer", file_metric(F.col(name))).where("cer IS NOT NULL")
+    best = rated.groupBy(*(by or [])).agg(F.min(F.struct("cer", name)).alias("best")).where("best IS NOT NULL")
+    return best.select(*(by or []), F.col("best")[name].alias(name), "best.cer")
