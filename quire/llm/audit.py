@@ -36,7 +36,8 @@ def _own_failures(utf8: bytes, text: str) -> tuple[int, bytes]:
 
 
 def _dealt(few: DataFrame) -> DataFrame:
-    return few.withColumn("lane", F.explode(F.array(*map(F.lit, range(LANES)))))
+    """Each row once for each lane, to be joined by a shuffle: Spark's estimate leaves the lanes out, and by it would send millions of rows through the driver."""
+    return few.withColumn("lane", F.explode(F.array(*map(F.lit, range(LANES))))).hint("merge")
 
 
 def failures(df: DataFrame, labels: DataFrame, part_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -41,6 +41,13 @@ def test_audit_against_brute_force(spark):
     assert {tuple(r)[:3]: tuple(r)[3:] for r in got} == brute.audited(docs, said) and len(got) == 600 * 4
 
 
+def test_audit_sends_no_lanes_through_the_driver(spark):
+    docs = spark.range(40).selectExpr("id doc_id", "'en' lang", "concat('t', id % 30) text")
+    said = spark.range(40).selectExpr("id doc_id", "1 quality", "0 toxic")
+    plan = audit.failures(docs, said)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") == 2
+
+
 def test_audit_of_nothing_and_of_fewer_filters(spark):
     none = frame(spark, edge_documents()).limit(0)
     assert audit.replay(audit.failures(none, labels(spark, []))).count() == 0
