@@ -9,13 +9,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def arrow_udf(kind: str) -> Callable[[Callable], Callable[..., Column]]:
-    """Like ``pandas_udf`` with a DDL type that is read when the function is first applied to columns."""
+def arrow_udf(kind: str, once: bool = False) -> Callable[[Callable], Callable[..., Column]]:
+    """Like ``pandas_udf`` with a DDL type that is read when the function is first applied to columns.
+
+    once: a filter on the result does not call the function a second time.
+    """
 
     def decorate(f: Callable) -> Callable[..., Column]:
         @wraps(f)
         def apply(*columns) -> Column:
-            return F.pandas_udf(f, kind)(*columns)
+            made = F.pandas_udf(f, kind)
+            return (made.asNondeterministic() if once else made)(*columns)
 
         return apply
 

@@ -16,6 +16,7 @@ from quire.operators import aggregates, alignment, diffs, graph, metrics, models
 from quire.operators.joins import nearest_century, united
 from quire.plans import graph_queries, pipelines, table_queries, written_queries
 from quire.plans.text_queries import EASTER_SQL, ORACLES as TEXT_ORACLES
+from quire.session import dealt
 from quire.sources import folders, pages, readers, reports, service, triples
 
 table = readers.table
@@ -65,7 +66,7 @@ def doubtful_feasts(spark: SparkSession, d: str) -> DataFrame:
     """How often phrases name each of five feasts, two of them of doubtful day."""
     names = F.array(*map(F.lit, ["Sixti pape", "Petri martyris", "Kiliani", "Martini", "Blasii"]))
     phrase = F.concat(F.lit("in die "), F.element_at(names, (F.col("p_partkey") % 5 + 1).cast("int")))
-    found = table(spark, d, "part").select(dates.resolve_phrase(phrase, F.lit(1455)).alias("r")).select("r.feast")
+    found = dealt(table(spark, d, "part").select("p_partkey"), "p_partkey").select(dates.resolve_phrase(phrase, F.lit(1455)).alias("r")).select("r.feast")
     return dates.feasts_used(found)
 
 

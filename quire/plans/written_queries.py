@@ -13,6 +13,7 @@ from quire.functions import answers, chunks, dates, geometry, numerals, text
 from quire.operators import models, repair, search, validate, windows
 from quire.plans.model_queries import lcs_sql
 from quire.plans.text_queries import EASTER_SQL
+from quire.session import dealt
 from quire.sources import folders, pages, readers, reports, triples, writers
 
 STRUCK = "j" + numerals.STROKE
@@ -36,14 +37,14 @@ def roman_values(spark: SparkSession, d: str) -> DataFrame:
     h, half, struck = F.col("p_partkey") % 4, (F.col("p_partkey") % 5 == 0) & (F.col("p_partkey") % 4 > 0), F.col("p_partkey") % 3 == 0
     hundreds = F.when(h > 0, F.concat(F.repeat(F.lit("i"), h.cast("int")), F.when(half, F.lit(STRUCK)).otherwise(""), F.lit("C "))).otherwise("")
     written = F.concat(hundreds, additive(F.col("p_size")), F.when(struck, F.lit(STRUCK)).otherwise(""))
-    return table(spark, d, "part").select("p_partkey", numerals.read_numeral(written).alias("n")).select("p_partkey", "n.value", "n.misread", "n.reason")
+    return dealt(table(spark, d, "part").select("p_partkey", "p_size"), "p_partkey").select("p_partkey", numerals.read_numeral(written).alias("n")).select("p_partkey", "n.value", "n.misread", "n.reason")
 
 
 def numeral_runs(spark: SparkSession, d: str) -> DataFrame:
     """Two numerals in a text without units: a struck one, and one of two tokens."""
     size = F.col("p_size")
     entry = F.concat(F.lit("Item "), additive(size), F.lit(STRUCK), F.lit(" et "), additive(size % 7 + 1), F.lit("  x solvit"))
-    rows = table(spark, d, "part").select("p_partkey", F.explode(numerals.find_numerals(entry)).alias("r"))
+    rows = dealt(table(spark, d, "part").select("p_partkey", "p_size"), "p_partkey").select("p_partkey", F.explode(numerals.find_numerals(entry)).alias("r"))
     return rows.select("p_partkey", "r.run", "r.value", "r.misread")
 
 
@@ -52,14 +53,14 @@ def denarii(spark: SparkSession, d: str) -> DataFrame:
     q, n = F.col("l_quantity").cast("int"), F.col("l_linenumber")
     forms = [F.lit(" lb. d."), F.concat(F.lit(" lb. minus "), additive(n), F.lit(" d.")), F.lit(" f. rhen."), F.lit(" lb. i ort")]
     phrase = F.concat(additive(q), F.coalesce(*[F.when(n % 4 == k, form) for k, form in enumerate(forms)]))
-    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", numerals.read_amount(phrase).alias("a"))
+    rows = dealt(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), "l_orderkey", "l_linenumber").select("l_orderkey", "l_linenumber", numerals.read_amount(phrase).alias("a"))
     return rows.select("l_orderkey", "l_linenumber", "a.quantity", "a.unit", "a.subtracted", "a.denarii", numerals.denarii(F.col("a.quantity"), F.col("a.unit")).alias("again"))
 
 
 def free_text_amounts(spark: SparkSession, d: str) -> DataFrame:
     """Two amounts in a text, with units of several words."""
     entry = F.concat(F.lit("Item dedit "), additive(F.col("l_quantity").cast("int")), F.lit(" lb. d. Wien. et  "), additive(F.col("l_linenumber")), F.lit(" gr. nobis"))
-    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.explode(numerals.find_amounts(entry)).alias("a"))
+    rows = dealt(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), "l_orderkey", "l_linenumber").select("l_orderkey", "l_linenumber", F.explode(numerals.find_amounts(entry)).alias("a"))
     return rows.select("l_orderkey", "l_linenumber", "a.span", "a.quantity", "a.unit", numerals.denarii(F.col("a.quantity"), F.col("a.unit")).alias("denarii"))
 
 
@@ -118,7 +119,7 @@ def date_phrases(spark: SparkSession, d: str) -> DataFrame:
     """Phrases over feasts, weekdays, sides, counts, vigils and octaves, every third with a year of its own."""
     key = F.col("o_orderkey")
     own = F.when(key % 3 == 0, _year_words(key % 4)).otherwise("")
-    rows = table(spark, d, "orders").select("o_orderkey", F.concat(_written_date(key), own).alias("phrase"), F.when(key % 3 == 0, F.lit(1455)).otherwise((1440 + key % 50).cast("int")).alias("near"))
+    rows = dealt(table(spark, d, "orders").select("o_orderkey"), "o_orderkey").select("o_orderkey", F.concat(_written_date(key), own).alias("phrase"), F.when(key % 3 == 0, F.lit(1455)).otherwise((1440 + key % 50).cast("int")).alias("near"))
     return rows.withColumn("r", dates.resolve_phrase(F.col("phrase"), F.col("near"))).select("o_orderkey", "r.feast", "r.iso", "r.precision", "r.year", "r.year_source", "r.reason")
 
 
@@ -126,7 +127,7 @@ def free_text_dates(spark: SparkSession, d: str) -> DataFrame:
     """A date in the middle of an entry, with the place where it stands."""
     key = F.col("o_orderkey")
     entry = F.concat(F.lit("Item solvit  Georius de Wien "), _written_date(key), F.lit(", nichil"))
-    rows = table(spark, d, "orders").select("o_orderkey", F.explode(dates.find_dates(entry, (1440 + key % 50).cast("int"))).alias("x"))
+    rows = dealt(table(spark, d, "orders").select("o_orderkey"), "o_orderkey").select("o_orderkey", F.explode(dates.find_dates(entry, (1440 + key % 50).cast("int"))).alias("x"))
     return rows.where("x.iso IS NOT NULL").select("o_orderkey", "x.feast", "x.iso", "x.start", "x.ambiguous")
 
 
@@ -136,7 +137,7 @@ def dated_or_year(spark: SparkSession, d: str) -> DataFrame:
     phrase = F.when(key % 4 == 0, _written_date(key)).otherwise("nichil")
     declared = F.when(key % 4 <= 1, (1440 + key % 50).cast("string")).when(key % 4 == 2, "")
     there = F.when(key % 8 < 4, F.array(F.lit("anno"), F.lit("1457-02-01"))).otherwise(F.array().cast("array<string>"))
-    rows = table(spark, d, "orders").select("o_orderkey", phrase.alias("phrase"), declared.alias("declared"), there.alias("there"))
+    rows = dealt(table(spark, d, "orders").select("o_orderkey"), "o_orderkey").select("o_orderkey", phrase.alias("phrase"), declared.alias("declared"), there.alias("there"))
     resolved = dates.resolve_phrase(F.col("phrase"), F.col("declared").try_cast("int"))
     return rows.select("o_orderkey", dates.date_or_year(resolved, F.col("declared"), F.col("there")).alias("iso"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "quire", **conf: str) -> SparkSession:
@@ -25,6 +25,15 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(key, ours)
 
 
+#: Tasks for each core where work on a row is long.
+TASKS = 4
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows over tasks for all cores, by keys: for long work on each row, as a file has few tasks with rows (one for each of its row groups, however it is split)."""
+    return df.repartition(TASKS * df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def options(spark: SparkSession, defaults: dict[str, object], prefix: str = "quire.") -> dict[str, object]:
     """The defaults, each in its own type, with what the session's configuration says below the prefix (``quire.generation.model``).
 

@@ -131,3 +131,21 @@ def test_polygons(spark):
     assert tuple(one(spark, lambda c: geometry.bbox(geometry.polygon(c)), "1,2 30,4 x 5,60")) == (1, 30, 2, 60)
     turned = one(spark, lambda c: geometry.sheared_rotated(geometry.polygon(c), F.lit(0.0), F.lit(90.0), F.lit(0), F.lit(0)), "2,0")
     assert abs(turned[0]["x"]) < 1e-9 and abs(turned[0]["y"] - 2) < 1e-9
+
+
+def test_feasts_are_found_alike_in_any_case():
+    finder, _ = dates.feast_finder()
+    for text in ("feria 3a post OCULI", "in die Sancti  Georii et viti", "\u017fancti Martini", "lxx\u0130 me pasce", "Nativitatis sancti Johannis Baptiste", "nichil", ""):
+        one, two = finder.search(text, 0), dates.feasts_named(text)(0)
+        assert (one and (one.span(), one.lastindex)) == (two and (two.span(), two.lastindex))
+
+
+def test_phrases_are_read_once_and_by_all_cores(spark):
+    from quire.plans import catalogue, given_queries
+
+    dates._remembered.cache_clear()
+    assert [dates.first_date("dominica post Oculi", 1455) for _ in range(3)][0]["iso"] and dates._remembered.cache_info().misses == 1
+    plan = given_queries.doubtful_feasts(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [") == 1
+    for name in ("free_text_dates", "date_phrases", "free_text_amounts", "denarii"):
+        assert "REPARTITION_BY_NUM" in catalogue.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
