@@ -11,8 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.arrow import arrow_udf
+from quire.session import dealt
+from quire.sources.folders import kept
 
 FLOOR, FORMS, TOP = 82, 30, 6
+#: A token that leads to more persons is frequent; such are joined in so many tasks each.
+RARE, LANES = 100, 32
 #: Words of rank and of connection in names.
 TITLES = [
     "kg", "kgin", "kr", "ks", "hg", "hgin", "ehg", "ehgin", "gf", "gfin", "mgf", "pfgf", "landgf", "burggf", "fst", "frh", "bf", "ebf", "kard",
@@ -102,9 +106,11 @@ def set_likeness(a: str, b: str) -> float:
     both, one, two = " ".join(sorted(x & y)), " ".join(sorted(x - y)), " ".join(sorted(y - x))
     if both and (not one or not two):
         return 100.0
-    first, second = (both + " " + one).strip(), (both + " " + two).strip()
-    best = likeness(first, second)
-    return max(best, likeness(both, first), likeness(both, second)) if both else best
+    if not both:
+        return likeness(one, two)
+    # All begin with the words they share and a blank, which the longest common subsequence may take.
+    n, m, k = len(both), len(one), len(two)
+    return max(200.0 * (n + 1 + common_length(one, two)) / (2 * n + m + k + 2), 200.0 * n / (2 * n + 1 + m), 200.0 * n / (2 * n + 1 + k))
 
 
 @arrow_udf("double")
@@ -137,7 +143,7 @@ def _cut(strings: DataFrame, column: str, own: str, other: str, floor: float) ->
     Where what is left is the key, i is -1 and rests are the strings that are left.
     """
     ratio = floor / (200 - floor)
-    rows = strings.select(F.col(column).alias("s")).where("s IS NOT NULL").distinct().withColumn(own, F.length("s"))
+    rows = dealt(strings.select(F.col(column).alias("s")).where("s IS NOT NULL").distinct(), "s").withColumn(own, F.length("s"))
     rows = rows.withColumn(other, F.explode(F.sequence(F.ceil(F.col(own) * ratio - 1e-9).cast("int"), F.floor(F.col(own) / ratio + 1e-9).cast("int"))))
     rows = rows.withColumn("common", F.ceil((F.col("la") + F.col("lb")) * (floor / 200) - 1e-9).cast("int")).where("common <= least(la, lb)")
     rows = rows.withColumn("k", F.expr("la + lb - 2 * common")).withColumn("n", F.expr(f"greatest(1, least(k + CASE WHEN k <= {PAIRS} THEN 2 ELSE 1 END, lb))"))
@@ -183,10 +189,12 @@ def proposed(left: DataFrame, right: DataFrame, a: str, b: str, floor: float = F
     Segments of short strings are short, so for these the key is what is left when the letters that need not be shared are gone: only strings that are alike meet there.
     Strings with fewer than k + 2 letters, and those with many edits, have k + 1 segments and a key of one; where even these are more than letters (low floors, short strings with
     many ways to lose letters) all of two lengths are compared.
+
+    The sides meet by a shuffle: Spark's estimate does not count the hundreds of keys of a string, and by it would send them all through the driver.
     """
     if not 0 < floor <= 100:
         raise ValueError("the floor is a likeness above 0, to 100")
-    return probes(left, a, floor).withColumnRenamed("s", a).join(indexed(right, b, floor).withColumnRenamed("s", "__b"), _KEY).select(a, F.col("__b").alias(b)).distinct()
+    return probes(left, a, floor).withColumnRenamed("s", a).join(indexed(right, b, floor).withColumnRenamed("s", "__b").hint("merge"), _KEY).select(a, F.col("__b").alias(b)).distinct()
 
 
 def buckets(left: DataFrame, right: DataFrame, a: str, b: str, floor: float = FLOOR) -> DataFrame:
@@ -205,6 +213,9 @@ def candidates(mentions: DataFrame, persons: DataFrame, mention: str = "mention"
 
     A word of rank adds its weight, a token the best likeness / 100 * weight over its most similar forms (ties by form); persons are
     ranked by score, then likeness of the whole mention to their label, then id. The limits are the search's own.
+
+    Where as many persons as are wanted, found by rare tokens and words of rank, score more than the frequent ones can add up to, persons who have only these are not looked at.
+    For other mentions they are: mentions times persons with a frequent name, over all tasks.
     """
     said = mentions.select(mention).distinct()
     forms = name_forms(persons)
@@ -215,10 +226,23 @@ def candidates(mentions: DataFrame, persons: DataFrame, mention: str = "mention"
     pairs = similar(toks, weighed, "token", "form", floor)
     best_forms = F.row_number().over(Window.partitionBy("token").orderBy(F.desc("ratio"), "form"))
     held = pairs.withColumn("__r", best_forms).where(F.col("__r") <= most_forms).drop("__r").join(weighed, "form")
-    per_token = held.join(forms, "form").groupBy("token", "pid").agg(F.max(F.col("ratio") / 100 * F.col("weight")).alias("part"))
-    by_token = toks.join(per_token, "token").select(mention, "pid", "part")
-    scored = by_rank.union(by_token).groupBy(mention, "pid").agg(F.sum("part").alias("raw"))
-    labelled = scored.join(persons.select(F.col("id").alias("pid"), "label"), "pid").withColumn("whole", token_set_ratio(fold(F.col(mention)), fold(F.col("label"))))
+    per_token = kept(held.join(forms, "form").groupBy("token", "pid").agg(F.max(F.col("ratio") / 100 * F.col("weight")).alias("part")))
+    of_token = kept(toks.join(per_token.groupBy("token").agg(F.count("*").alias("n"), F.max("part").alias("most")), "token"))
+    rare, frequent = of_token.where(F.col("n") <= RARE), of_token.where(F.col("n") > RARE).select(mention, "at", "token", "most")
+    by_rare = kept(by_rank.union(rare.join(per_token, "token").select(mention, "pid", "part")).groupBy(mention, "pid").agg(F.sum("part").alias("part")))
+    # The least score of those wanted, if there are as many: nobody below it is among them.
+    nth = F.row_number().over(Window.partitionBy(mention).orderBy(F.desc("part")))
+    least = by_rare.withColumn("__n", nth).where(F.col("__n") == top).select(mention, F.col("part").alias("least"))
+    settled = frequent.groupBy(mention).agg(F.sum("most").alias("bound")).join(least, mention, "left").select(mention, F.coalesce(F.col("least") > F.col("bound") + 1e-6, F.lit(False)).alias("settled"))
+    frequent = frequent.join(settled, mention)
+    of_found = frequent.where("settled").join(by_rare.select(mention, "pid"), mention).join(per_token.hint("merge"), ["token", "pid"]).select(mention, "pid", "part")
+    lane = F.pmod(F.xxhash64(mention), F.lit(LANES)).cast("int").alias("lane")
+    open_ones = frequent.where("NOT settled").select(mention, "token", lane)
+    names = per_token.join(open_ones.select("token").distinct(), "token", "left_semi").withColumn("lane", F.explode(F.array(*map(F.lit, range(LANES)))))
+    by_all = dealt(open_ones, "token", "lane").join(dealt(names, "token", "lane").hint("merge"), ["token", "lane"]).select(mention, "pid", "part")
+    scored = by_rare.union(of_found).union(by_all).groupBy(mention, "pid").agg(F.sum("part").alias("raw"))
+    plain = said.withColumn("__said", fold(F.col(mention))), persons.select(F.col("id").alias("pid"), fold(F.col("label")).alias("__label"))
+    labelled = scored.join(plain[1], "pid").join(plain[0], mention).withColumn("whole", token_set_ratio("__said", "__label"))
     rank = F.row_number().over(Window.partitionBy(mention).orderBy(F.desc("raw"), F.desc("whole"), "pid"))
     return labelled.withColumn("rank", rank).where(F.col("rank") <= top).select(mention, "pid", F.round("raw", 2).alias("score"), "rank")
 

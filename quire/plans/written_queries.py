@@ -304,7 +304,7 @@ def _named_suppliers(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]
 def name_candidates(spark: SparkSession, d: str) -> DataFrame:
     """The best person for each mention, with the score."""
     mentions, persons = _named_suppliers(spark, d)
-    return search.candidates(mentions, persons).where("rank = 1").select("mention", "pid", "score")
+    return search.candidates(mentions, persons, top=1).select("mention", "pid", "score")
 
 
 def name_likeness(spark: SparkSession, d: str) -> DataFrame:

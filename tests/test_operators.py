@@ -225,3 +225,19 @@ def test_rounding_is_exact(spark):
     assert (got["r"] == got["v"].map(lambda v: round(v, 3))).all()
     odd = spark.createDataFrame([(None,), (float("nan"),), (float("inf"),), (float("-inf"),)], "v double").select(metrics.round3(F.col("v")).alias("r")).collect()
     assert [str(r["r"]) for r in odd] == ["None", "nan", "inf", "-inf"]
+
+
+def test_frequent_names_are_left_out_only_where_they_cannot_matter(spark, monkeypatch):
+    from quire.plans import written_queries
+
+    mentions, persons = written_queries._named_suppliers(spark, "/root/testdata/sf0.001")
+    pick = lambda top: {tuple(r) for r in search.candidates(mentions, persons, top=top).collect()}
+    all_six = pick(6)
+    monkeypatch.setattr(search, "RARE", 1)
+    assert pick(6) == all_six and pick(1) == {r for r in all_six if r[3] == 1}
+
+
+def test_index_of_names_does_not_pass_the_driver(spark):
+    rows = spark.createDataFrame([("Hans Muler",), ("Georg",)], "s string")
+    plan = search.proposed(rows, rows.withColumnRenamed("s", "t"), "s", "t")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
