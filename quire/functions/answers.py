@@ -78,8 +78,9 @@ def tags_allowed(xml: Column, allowed: list[str] = INTERVENTION_TAGS) -> Column:
 
 def tag_counts(xml: Column, of: list[str] = LETTER_TAGS) -> Column:
     """``tag:n`` of the tags that occur, in the given order, joined by spaces; empty for what is not well-formed."""
-    found = tags(xml)
-    parts = F.transform(F.lit(of), lambda t: F.concat(t, F.lit(":"), F.size(F.filter(found, lambda x: x == t)).cast("string")))
+    counted = lambda found: F.transform(F.lit(of), lambda t: F.concat(t, F.lit(":"), F.size(F.filter(found, lambda x: x == t)).cast("string")))
+    # As the element of an array the tags are found once, not once for each that is counted.
+    parts = F.element_at(F.transform(F.array(tags(xml)), counted), 1)
     return F.when(well_formed(xml), F.array_join(F.filter(parts, lambda p: ~p.endswith(":0")), " ")).otherwise("")
 
 

@@ -372,7 +372,8 @@ def letter_tags(spark: SparkSession, d: str) -> DataFrame:
     """Counts of a letter's elements; broken ones have none."""
     n = F.col("l_linenumber")
     xml = F.concat(F.lit("<opener><dateline>x</dateline></opener>"), F.repeat(F.lit("<p>y<lb/></p>"), n), F.when(n % 3 == 0, "<closer>").otherwise("<closer/>"))
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", answers.tag_counts(xml).alias("tags"))
+    rows = dealt(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), "l_orderkey", "l_linenumber")
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", answers.tag_counts(xml).alias("tags"))
 
 
 def expanded_names(spark: SparkSession, d: str) -> DataFrame:
