@@ -7,19 +7,26 @@ error. What fits patterns (ground-truth lines) is native.
 from __future__ import annotations
 
 import xml.etree.ElementTree as ET
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.geometry import bbox, polygon
+from quire.session import bounded_batches
 
 REGIONS = "path string, region_id string, reading_order int, text string, last_text string, points string, error string"
 
 
+@lru_cache(maxsize=1000)
+def _bare(tag: str) -> str:
+    return tag.rsplit("}", 1)[-1]
+
+
 def _name(node: ET.Element) -> str:
-    return node.tag.rsplit("}", 1)[-1]
+    return _bare(node.tag)
 
 
 def _kids(node: ET.Element, *names: str) -> list[ET.Element]:
@@ -45,7 +52,8 @@ def reading_order(page: ET.Element) -> list[str]:
     regions = [r.get("id") for r in page.iter() if _name(r) == "TextRegion"]
     groups = [g for order in _kids(page, "ReadingOrder") for g in _kids(order, "OrderedGroup", "UnorderedGroup")]
     named = list(_ordered(groups[0])) if groups else []
-    return named + [r for r in regions if r not in set(named)]
+    known = set(named)
+    return named + [r for r in regions if r not in known]
 
 
 def page_rows(path: str, xml: str) -> list[dict]:
@@ -76,13 +84,15 @@ def page_rows(path: str, xml: str) -> list[dict]:
 
 def regions(pages: DataFrame) -> DataFrame:
     """Rows of REGIONS from rows (path, text) of PAGE-XML files; reading_order counts the regions with line texts."""
-    names = [f.split()[0] for f in REGIONS.split(", ")]
+    kinds = pa.schema([(name, pa.int32() if kind == "int" else pa.string()) for name, kind in (f.split() for f in REGIONS.split(", "))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame([r for p, x in zip(batch["path"], batch["text"]) for r in page_rows(p, x)], columns=names).astype({"reading_order": "Int32"})
+            rows = [r for p, x in zip(*(c.to_pylist() for c in batch.columns)) for r in page_rows(p, x)]
+            yield pa.RecordBatch.from_pylist(rows, kinds)
 
-    return pages.select("path", "text").mapInPandas(run, REGIONS)
+    bounded_batches(pages.sparkSession)
+    return pages.select("path", "text").mapInArrow(run, REGIONS)
 
 
 def text_regions(pages: DataFrame) -> DataFrame:
@@ -122,8 +132,8 @@ def with_image_urls(xml: Column, url: Column) -> Column:
     return F.when(url.isNull(), xml).otherwise(F.regexp_replace(xml, F.lit(r'imageFilename="[^"]*"'), F.concat(F.lit('imageFilename="'), F.replace(url, F.lit("$"), F.lit("\\$")), F.lit('"'))))
 
 
-#: A page between its lines: before each line's tag, and behind each line's end.
-_BESIDE_LINES = r"(?=<(?:\w{1,20}:)?TextLine[\s>/])|(?<=</TextLine>)|(?<=</\w{1,20}:TextLine>)"
+#: A page between its lines: before each line's tag, and behind each line's end. What may end one is looked at first: to look back by all lengths at each character is most of the work.
+_BESIDE_LINES = r"(?=<(?:\w{1,20}:)?TextLine[\s>/])|(?<=TextLine>)(?:(?<=</TextLine>)|(?<=</\w{1,20}:TextLine>))"
 #: Words keep their texts; what is the line's own goes.
 _OWN_TEXTS = r"(?s)(<(\w+:)?Word[\s>].*?</(?:\w+:)?Word>)|<(?:\w+:)?TextEquiv(?:\s[^>]*)?(?:/>|(?<!/)>.*?</(?:\w+:)?TextEquiv>)"
 _LINE_HEAD = r"^<(\w+:)?TextLine(?:\s[^>]*?)?(/?)>"
@@ -143,21 +153,30 @@ def with_line_texts(pages: DataFrame, texts: DataFrame) -> DataFrame:
     one = said.where("line_id IS NOT NULL").groupBy("path", "line_id").agg(F.max(F.struct("text", "conf")).alias("new"))
     of_page = one.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("line_id", "new"))).alias("__new"))  # as many as the page has lines
 
-    def line(piece: Column) -> Column:
-        head = F.regexp_extract(piece, _LINE_HEAD, 0)
-        new = F.element_at(F.col("__new"), F.regexp_extract(head, r"\sid=[\"']([^\"']*)[\"']", 1))
-        prefix = F.regexp_extract(piece, _LINE_HEAD, 1)
-        conf = F.when(new["conf"].isNotNull(), F.concat(F.lit(' conf="'), new["conf"].cast("string"), F.lit('"'))).otherwise("")
-        equiv = F.concat(F.lit("<"), prefix, F.lit("TextEquiv"), conf, F.lit("><"), prefix, F.lit("Unicode>"), _escaped(new["text"]), F.lit("</"), prefix, F.lit("Unicode></"), prefix, F.lit("TextEquiv>"))
-        added = F.when(F.coalesce(new["text"], F.lit("")) != "", equiv).otherwise("")
+    def with_(name: str, value: Callable[[Column], Column], fields: tuple[str, ...]) -> Callable[[Column], Column]:
+        return lambda x: F.struct(*(x[f].alias(f) for f in fields), value(x).alias(name))
+
+    def edited(x: Column) -> Column:
+        conf = F.when(x["new"]["conf"].isNotNull(), F.concat(F.lit(' conf="'), x["new"]["conf"].cast("string"), F.lit('"'))).otherwise("")
+        equiv = F.concat(F.lit("<"), x["prefix"], F.lit("TextEquiv"), conf, F.lit("><"), x["prefix"], F.lit("Unicode>"), _escaped(x["new"]["text"]), F.lit("</"), x["prefix"], F.lit("Unicode></"), x["prefix"], F.lit("TextEquiv>"))
+        added = F.when(F.coalesce(x["new"]["text"], F.lit("")) != "", equiv).otherwise("")
         # Its place is behind the words, before what describes the line.
-        bare = F.regexp_replace(piece, _OWN_TEXTS, "$1")
-        behind = F.regexp_extract(bare, r"(?s)((?:<(?:\w+:)?(?:TextStyle|UserDefined|Labels)[\s>/].*)?</(?:\w+:)?TextLine>)$", 1)
-        full = F.concat(F.left(bare, F.length(bare) - F.length(behind)), added, behind)
-        closed = F.endswith(head, F.lit("/>"))
-        opened = F.concat(F.left(head, F.length(head) - 2), F.lit(">"), added, F.lit("</"), prefix, F.lit("TextLine>"), F.substr(piece, F.length(head) + 1))
-        return F.when((head == "") | new.isNull(), piece).when(closed & (added == ""), piece).when(closed, opened).otherwise(full)
+        full = F.concat(F.left(x["bare"], F.length(x["bare"]) - F.length(x["behind"])), added, x["behind"])
+        closed = F.endswith(x["head"], F.lit("/>"))
+        opened = F.concat(F.left(x["head"], F.length(x["head"]) - 2), F.lit(">"), added, F.lit("</"), x["prefix"], F.lit("TextLine>"), F.substr(x["piece"], F.length(x["head"]) + 1))
+        return F.when(x["new"].isNull(), x["piece"]).when(closed & (F.coalesce(x["new"]["text"], F.lit("")) == ""), x["piece"]).when(closed, opened).otherwise(full)
+
+    # Each step finds one thing of a piece, so every pattern runs once, and but the first only on lines.
+    steps = {
+        "head": lambda x: F.regexp_extract(x["piece"], _LINE_HEAD, 0),
+        "new": lambda x: F.when(x["head"] != "", F.element_at(F.col("__new"), F.regexp_extract(x["head"], r"\sid=[\"']([^\"']*)[\"']", 1))),
+        "prefix": lambda x: F.when(x["new"].isNotNull(), F.regexp_extract(x["head"], _LINE_HEAD, 1)),
+        "bare": lambda x: F.when(x["new"].isNotNull() & ~F.endswith(x["head"], F.lit("/>")), F.regexp_replace(x["piece"], _OWN_TEXTS, "$1")),
+        "behind": lambda x: F.regexp_extract(x["bare"], r"(?s)((?:<(?:\w+:)?(?:TextStyle|UserDefined|Labels)[\s>/].*)?</(?:\w+:)?TextLine>)$", 1),
+    }
+    pieces, fields = F.transform(F.split("text", _BESIDE_LINES), lambda p: F.struct(p.alias("piece"))), ("piece",)
+    for name, value in steps.items():
+        pieces, fields = F.transform(pieces, with_(name, value, fields)), (*fields, name)
 
     joined = pages.join(of_page, "path", "left")
-    edited = F.array_join(F.transform(F.split("text", _BESIDE_LINES), line), "")
-    return joined.withColumn("text", F.when(F.col("__new").isNotNull(), edited).otherwise(F.col("text"))).drop("__new")
+    return joined.withColumn("text", F.when(F.col("__new").isNotNull(), F.array_join(F.transform(pieces, edited), "")).otherwise(F.col("text"))).drop("__new")

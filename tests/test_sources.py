@@ -88,3 +88,44 @@ def test_texts_of_lines_are_edited_in_place(spark):
     want = page.replace('<TextEquiv conf="0.1"><Unicode>old</Unicode></TextEquiv>\n<TextEquiv/><TextStyle', '\n<TextEquiv conf="0.5"><Unicode>a &amp; &lt;b&gt; $1</Unicode></TextEquiv><TextStyle')
     want = want.replace("<pc:TextEquiv><pc:Unicode>old</pc:Unicode></pc:TextEquiv>", "").replace('<TextLine id="c"/>', '<TextLine id="c"><TextEquiv><Unicode>new</Unicode></TextEquiv></TextLine>')
     assert got == {1: want, 2: page, 3: page, 4: None}
+
+
+def test_pages_come_in_small_batches_and_are_parsed_once(spark):
+    from quire.plans import pipelines
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    docs = spark.createDataFrame([("/in/a/1905/p.xml", "<PcGts><Page/></PcGts>")], "path string, text string")
+    out = pipelines.newspaper(docs, lambda: lambda b: b.assign(post_corrected=b["chunk"]))
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert plan.count("MapInPandas") + plan.count("MapInArrow") == 1  # the model's
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "512"
+
+
+def test_functions_of_texts_and_graphs_take_small_batches(spark):
+    from pyspark.sql import functions as F
+    from quire.functions import chunks
+    from quire.sources import triples
+
+    kept = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    for use in (lambda: chunks.chunk_bytes(F.col("t")), lambda: triples.triples(spark.createDataFrame([], "graph string, text string"))):
+        spark.conf.set(kept, "10000")
+        use()
+        assert spark.conf.get(kept) == "512"
+
+
+def test_lines_end_where_a_tag_of_theirs_closes(spark):
+    from pyspark.sql import functions as F
+    from quire.sources import pages
+
+    assert "(?<=TextLine>)(?:" in pages._BESIDE_LINES
+    rows = spark.createDataFrame([('<p:TextLine id="a">x</p:TextLine>TextLine><TextLine id="b"/>',)], "t string")
+    assert rows.select(F.split("t", pages._BESIDE_LINES)).first()[0] == ['<p:TextLine id="a">x</p:TextLine>', "TextLine>", '<TextLine id="b"/>']
+
+
+def test_tags_are_found_once(spark):
+    from pyspark.sql import functions as F
+    from quire.functions import answers
+
+    rows = spark.createDataFrame([("<p>a</p><closer/><p/>",), ("<p>",), (None,)], "t string").select(answers.tag_counts(F.col("t")).alias("n"))
+    assert [r["n"] for r in rows.collect()] == ["p:2 closer:1", "", ""]
+    assert "transform(array(regexp_extract_all" in rows._jdf.queryExecution().optimizedPlan().toString()
