@@ -241,3 +241,25 @@ def test_index_of_names_does_not_pass_the_driver(spark):
     rows = spark.createDataFrame([("Hans Muler",), ("Georg",)], "s string")
     plan = search.proposed(rows, rows.withColumnRenamed("s", "t"), "s", "t")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_other_candidates_are_ranked_only_where_the_first_one_is_doubtful(spark, monkeypatch):
+    from quire.plans import given_queries, pipelines
+
+    digests, persons = given_queries._digests(spark, "/root/testdata/sf0.001")
+    short = "'d-1' AS id, array(named_struct('text', 'Hans', 'kind', 'direct'), named_struct('text', 'Herzog Georg Qqqqqqqqqqqqqqqqqqqq', 'kind', 'direct'), named_struct('text', cast(NULL AS string), 'kind', 'direct')) AS mentions"
+    digests = digests.select("id", "mentions").union(spark.sql(f"SELECT {short}"))
+    rows = lambda **more: pipelines.reconciliation(digests, persons, pipelines.by_similarity(), **more).select("id", "mention", "kind", "decision", "entity_ids")
+    want = sorted(map(str, rows().collect()))
+    asked = []
+
+    def candidates(mentions, persons, top=search.TOP, find=search.candidates):
+        asked.append((top, mentions.select("mention").where("mention IS NOT NULL").distinct().count()))
+        return find(mentions, persons, top=top)
+
+    monkeypatch.setattr(search, "candidates", candidates)
+    assert sorted(map(str, rows(enough=pipelines.WEAK).collect())) == want and any("Qqqq" in r and "decision='new'" in r for r in want)
+    of_all = asked[0][1]
+    assert asked == [(1, of_all), (search.TOP, 1)]
+    given_queries.reconciled(spark, "/root/testdata/sf0.001").collect()
+    assert {top for top, _ in asked[2:]} == {1}
