@@ -190,7 +190,7 @@ def reconciled(spark: SparkSession, d: str) -> DataFrame:
 
 def _outcomes(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     digests, persons = _digests(spark, d)
-    return pipelines.reconciliation_scores(digests, folders.kept(pipelines.reconciliation(digests, persons, pipelines.by_similarity())))
+    return pipelines.reconciliation_scores(digests, folders.kept(pipelines.reconciliation(digests, persons, pipelines.by_similarity(), pipelines.WEAK)))
 
 
 def reconciled_scores(spark: SparkSession, d: str) -> DataFrame:
